@@ -1,0 +1,59 @@
+"""Replaying a sample table as a stream of wire files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wattshift.config import DetectorParams
+from wattshift.functions.power import int_div
+from wattshift.session import scratch_path
+from wattshift.sources.samples import flush_batches, to_batches
+
+ROWS_PER_FILE = 2_000_000
+FLUSH_STEPS = 3
+
+
+def write_replay(
+    spark: SparkSession, samples: DataFrame, params: DetectorParams, steps: int = 4,
+    shuffle_within: int = 0, label: str = "replay",
+) -> tuple[str, int]:
+    """Write samples as wire files in arrival order; returns the folder and files per step.
+
+    The file source reads by modification time, so the table is written in ``steps`` jobs,
+    one after the other, each spread over as many files as its rows need. With
+    ``shuffle_within`` samples arrive up to that many windows late. Marked flush batches
+    follow at the end.
+    """
+    path = scratch_path(spark, label)
+    bounds = samples.agg(F.max("batch_no").alias("last"), F.count(F.lit(1)).alias("rows")).first()
+    if not bounds["rows"]:
+        spark.createDataFrame([], samples.schema).write.json(path)
+        return path, 1
+    last, files = int(bounds["last"]), 1 + int(bounds["rows"]) // (steps * ROWS_PER_FILE)
+    arrival = F.col("batch_no")
+    if shuffle_within:
+        # Every sample is held back by a fixed, hashed number of windows.
+        arrival = arrival + F.pmod(F.xxhash64("stream_id", "i"), F.lit(shuffle_within + 1))
+        last += shuffle_within
+    span = last // steps + 1
+    placed = samples.withColumn("batch_no", arrival)
+    for step in range(steps):
+        low = step * span
+        part = placed.filter((F.col("batch_no") >= low) & (F.col("batch_no") < low + span))
+        to_batches(part).repartition(files).write.mode("append").json(path)
+    beyond = (last + 1) * params.w1 + (params.max_latency + 2) * params.w1
+    for step in range(FLUSH_STEPS):
+        flush_batches(
+            spark, samples, beyond + step * params.w1 * (params.max_latency + 2), last + 1 + step
+        ).coalesce(1).write.mode("append").json(path)
+    return path, files
+
+
+def arrival_span(params: DetectorParams) -> int:
+    """Watermark delay, in windows, that loses no sample of a shuffled replay."""
+    return params.max_latency + 1
+
+
+def batch_of(i, params: DetectorParams):
+    return int_div(i, params.w1)
