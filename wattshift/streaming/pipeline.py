@@ -32,6 +32,9 @@ def stateful_session(spark: SparkSession) -> SparkSession:
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
+    session.conf.set(
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"
+    )
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cores = spark.sparkContext.defaultParallelism
     session.conf.set("spark.sql.shuffle.partitions", str(min(wanted, 2 * cores)))
@@ -115,15 +118,13 @@ def sort_by_event_time(
     samples: DataFrame, params: DetectorParams, delay_windows: int
 ) -> DataFrame:
     """Samples of each stream released in event-time order behind the watermark."""
-    columns = ["stream_id", "i", "voltage", "current"]
-    schema = "stream_id:bigint,i:bigint,voltage:double,current:double"
     delay_ms = delay_windows * params.w1 - 1
     return (
         samples.withWatermark("ts", f"{delay_ms} milliseconds")
         .withColumn("at_ms", F.unix_millis("ts"))
         .groupBy("stream_id")
         .transformWithStateInPandas(
-            EventTimeSorter(columns, "at_ms", schema),
+            EventTimeSorter(params.w1),
             "stream_id long, i long, voltage double, current double",
             "append",
             "EventTime",

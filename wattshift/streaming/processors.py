@@ -104,37 +104,38 @@ class SignalProcessor(StatefulProcessor):
 class EventTimeSorter(StatefulProcessor):
     """Releases rows in event-time order once the watermark has passed them.
 
-    Rows wait in map state under their time; one event-time timer per distinct time.
+    Rows wait in map state under the span of time they fall in; one event-time timer per
+    span releases it, sorted, when no more rows of it can come.
     """
 
-    def __init__(self, columns: list[str], time_ms: str, schema: str) -> None:
-        self.columns, self.time_ms, self.schema = columns, time_ms, schema
+    def __init__(self, span_ms: int) -> None:
+        self.span_ms = span_ms
 
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState(
-            "waiting", "at long", f"rows array<struct<{self.schema}>>"
+            "waiting", "span long", "i array<bigint>, voltage array<double>, current array<double>"
         )
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows))
-        late = timerValues.getCurrentWatermarkInMs()
-        for at, group in batch.groupby(self.time_ms):
-            at = int(at)
-            if at <= late:
-                continue
-            found = [tuple(r) for r in group[self.columns].itertuples(index=False)]
-            if self.waiting.containsKey((at,)):
-                found = [tuple(r) for r in self.waiting.getValue((at,))[0]] + found
-            self.waiting.updateValue((at,), (found,))
-            self.handle.registerTimer(at)
-        yield pd.DataFrame([], columns=self.columns)
+        batch = batch[~batch["flush"] & (batch["at_ms"] > timerValues.getCurrentWatermarkInMs())]
+        for span, group in batch.groupby(batch["at_ms"] // self.span_ms):
+            at = (int(span),)
+            found = [group[c].tolist() for c in ("i", "voltage", "current")]
+            if self.waiting.containsKey(at):
+                found = [list(a) + b for a, b in zip(self.waiting.getValue(at), found)]
+            self.waiting.updateValue(at, tuple(found))
+            self.handle.registerTimer((at[0] + 1) * self.span_ms - 1)
+        yield pd.DataFrame([], columns=["stream_id", "i", "voltage", "current"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at = (expiredTimerInfo.getExpiryTimeInMs(),)
-        rows = sorted(tuple(r) for r in self.waiting.getValue(at)[0])
+        at = (expiredTimerInfo.getExpiryTimeInMs() // self.span_ms,)
+        i, voltage, current = self.waiting.getValue(at)
         self.waiting.removeKey(at)
-        yield pd.DataFrame(rows, columns=self.columns)
+        out = pd.DataFrame({"i": i, "voltage": voltage, "current": current})
+        out.insert(0, "stream_id", key[0])
+        yield out.sort_values(["i", "voltage", "current"])
 
     def close(self) -> None:
         pass

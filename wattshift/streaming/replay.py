@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattshift.config import DetectorParams
-from wattshift.functions.power import int_div
 from wattshift.session import scratch_path
 from wattshift.sources.samples import flush_batches, to_batches
 
 ROWS_PER_FILE = 2_000_000
-FLUSH_STEPS = 3
+FLUSH_STEPS = 2
 
 
 def write_replay(
-    spark: SparkSession, samples: DataFrame, params: DetectorParams, steps: int = 4,
+    spark: SparkSession, samples: DataFrame, params: DetectorParams, steps: int = 3,
     shuffle_within: int = 0, label: str = "replay",
 ) -> tuple[str, int]:
     """Write samples as wire files in arrival order; returns the folder and files per step.
@@ -48,12 +47,3 @@ def write_replay(
             spark, samples, beyond + step * params.w1 * (params.max_latency + 2), last + 1 + step
         ).coalesce(1).write.mode("append").json(path)
     return path, files
-
-
-def arrival_span(params: DetectorParams) -> int:
-    """Watermark delay, in windows, that loses no sample of a shuffled replay."""
-    return params.max_latency + 1
-
-
-def batch_of(i, params: DetectorParams):
-    return int_div(i, params.w1)
