@@ -23,6 +23,7 @@ from wattshift.operators.ordering import number_rows
 from wattshift.session import settle
 
 KEYS = ["stream_id", "window_no"]
+CROWDED = 8  # rows per slot of a window beyond which copies are combined before a shuffle
 
 
 def window_sums(samples: DataFrame, params: DetectorParams) -> DataFrame:
@@ -73,95 +74,114 @@ def features(samples: DataFrame, params: DetectorParams) -> DataFrame:
     return _as_features(dense_index(settle(window_sums(samples, params)), params), params)
 
 
+def _latest_readings(samples: DataFrame, crowded: bool, params: DetectorParams) -> DataFrame:
+    """Last reading of each slot in each window, laid out by stream and block of windows.
+
+    A block holds ``carry_block`` windows, so its rows fit a task unless samples are copied
+    very often; only then (``crowded``) duplicates are combined before the shuffle as well.
+    """
+    if "batch_no" not in samples.columns:
+        samples = samples.withColumn("batch_no", batch_tag("i", params.w1))
+    latest = F.max("reading").alias("reading")
+    cell = ["stream_id", "block", "slot", "window_no"]
+    readings = (
+        samples.withColumn("window_no", batch_tag("i", params.w1))
+        .withColumn("block", int_div(F.col("window_no"), params.carry_block))
+        .filter("stream_id is not null and block is not null")
+        .select(
+            *[c for c in cell if c != "slot"],
+            slot_index("i", params.w1).alias("slot"),
+            F.struct("batch_no", "voltage", "current").alias("reading"),
+        )
+    )
+    if crowded:
+        readings = readings.groupBy(*cell).agg(latest)
+    return readings.repartition("stream_id", "block").groupBy(*cell).agg(latest)
+
+
 def locf_sums(samples: DataFrame, params: DetectorParams) -> DataFrame:
     """Numbered window sums where short windows are filled with last-known slot values.
 
     The first window of a stream and every window with at least ``w1`` rows stay as they
-    are. Any other window is replaced by the last value of every slot seen so far. All work
-    is keyed by stream and a block of windows: a slot's last value is handed from block to
-    block, and inside a block a value is copied only into the short windows before the next
-    value of its slot. Without short windows the samples are scanned once.
+    are. Any other window is replaced by the last value of every slot seen so far. Work is
+    keyed by stream and a block of windows, so a long stream spreads over many tasks: inside
+    a block a value is copied into the short windows before the next value of its slot, and
+    one row per slot and block hands the last value on. Without short windows the samples
+    are scanned once and not shuffled at all.
     """
     numbered = settle(dense_index(settle(window_sums(samples, params)), params))
     short = numbered.filter((F.col("n") < params.w1) & (F.col("idx") > 0)).select(*KEYS)
     if short.isEmpty():
         return numbered
-
-    block = int_div(F.col("window_no"), params.carry_block)
+    crowded = not numbered.filter(F.col("n") > CROWDED * params.w1).isEmpty()
     slot_key = ["stream_id", "block", "slot"]
-    if "batch_no" not in samples.columns:
-        samples = samples.withColumn("batch_no", batch_tag("i", params.w1))
-    # One row per distinct sample, duplicates combined before the shuffle. Both users of
-    # this table keep all its columns, so they share its exchange.
-    cells = (
-        samples.withColumn("window_no", batch_tag("i", params.w1))
-        .withColumn("block", block)
-        .withColumn("slot", slot_index("i", params.w1))
-        .filter("stream_id is not null and block is not null")
-        .groupBy(*slot_key, "window_no")
-        .agg(F.max(F.struct("batch_no", "voltage", "current")).alias("reading"))
-    )
+    readings = _latest_readings(samples, crowded, params)
     targets = (
-        short.withColumn("block", block)
+        short.withColumn("block", int_div(F.col("window_no"), params.carry_block))
         .groupBy("stream_id", "block")
         .agg(F.sort_array(F.collect_list("window_no")).alias("targets"))
     )
-
-    # Last value per slot before each block that has short windows.
-    edges = cells.groupBy(*slot_key).agg(F.max_by("reading", "window_no").alias("reading"))
-    asked = targets.select("stream_id", "block").withColumn(
-        "slot", F.explode(F.sequence(F.lit(0), F.lit(params.w1 - 1)).cast("array<bigint>"))
-    )
-    along = (
-        Window.partitionBy("stream_id", "slot")
-        .orderBy("block", F.col("asked").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    carried = (
-        edges.withColumn("asked", F.lit(False))
-        .unionByName(
-            asked.withColumn("asked", F.lit(True)).withColumn(
-                "reading", F.lit(None).cast(edges.schema["reading"].dataType)
-            )
-        )
-        .withColumn("reading", F.last("reading", ignorenulls=True).over(along))
-        .filter("asked and reading is not null")
-        .select(
-            *slot_key,
-            (F.col("block") * params.carry_block - 1).alias("window_no"),
-            "reading",
-        )
-    )
+    window_no, until, listed = F.col("window_no"), F.col("until"), F.col("targets")
 
     # Each value counts for the short windows from its own up to the next value of its slot.
-    window_no, until, listed = F.col("window_no"), F.col("until"), F.col("targets")
     in_reach = F.when(
         until == window_no + 1,
         F.when(F.array_contains(listed, window_no), F.array(window_no)),
     ).otherwise(
         F.filter(listed, lambda w: (w >= window_no) & (until.isNull() | (w < until)))
     )
-    copies = (
-        cells.unionByName(carried)
-        .repartition("stream_id", "block")
-        .withColumn(
-            "until",
-            F.lead("window_no").over(Window.partitionBy(*slot_key).orderBy("window_no")),
+    following = F.lead("window_no").over(Window.partitionBy(*slot_key).orderBy("window_no"))
+    inside = (
+        readings.withColumn("until", following)
+        .join(targets, ["stream_id", "block"])
+        .select("stream_id", F.explode(in_reach).alias("window_no"), "reading")
+    )
+
+    # The value carried into a block counts until the slot's first value in it. An "asked"
+    # row stands before its block's own row, so it sees earlier blocks only.
+    edges = readings.groupBy(*slot_key).agg(
+        F.max_by("reading", "window_no").alias("reading"), F.min("window_no").alias("opens")
+    )
+    asked = targets.select(
+        "stream_id",
+        "block",
+        F.explode(F.sequence(F.lit(0), F.lit(params.w1 - 1)).cast("array<bigint>")).alias("slot"),
+        F.lit(None).cast(edges.schema["reading"].dataType).alias("reading"),
+        F.lit(None).cast("long").alias("opens"),
+        F.lit(True).alias("asked"),
+    )
+    by_block = Window.partitionBy("stream_id", "slot").orderBy("block", F.col("asked").desc())
+    so_far = by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own_row = F.lead("block").over(by_block) == F.col("block")
+    carried = (
+        edges.withColumn("asked", F.lit(False))
+        .unionByName(asked)
+        .select(
+            "stream_id",
+            "block",
+            "asked",
+            F.last("reading", ignorenulls=True).over(so_far).alias("reading"),
+            F.when(own_row, F.lead("opens").over(by_block)).alias("until"),
         )
+        .filter("asked and reading is not null")
         .join(targets, ["stream_id", "block"])
         .select(
             "stream_id",
-            F.explode(in_reach).alias("window_no"),
-            F.col("reading.voltage").alias("voltage"),
-            F.col("reading.current").alias("current"),
+            F.explode(F.filter(listed, lambda w: until.isNull() | (w < until))).alias("window_no"),
+            "reading",
         )
     )
-    v, c = F.col("voltage"), F.col("current")
-    filled = copies.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(v * c).alias("sum_vi"),
-        F.sum(v * v).alias("sum_vv"),
-        F.sum(c * c).alias("sum_cc"),
+
+    v, c = F.col("reading.voltage"), F.col("reading.current")
+    filled = (
+        inside.unionByName(carried)
+        .groupBy(*KEYS)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(v * c).alias("sum_vi"),
+            F.sum(v * v).alias("sum_vv"),
+            F.sum(c * c).alias("sum_cc"),
+        )
     )
     return numbered.alias("own").join(filled.alias("all"), KEYS, "left").select(
         *KEYS,

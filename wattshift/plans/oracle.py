@@ -185,19 +185,26 @@ results AS (
     a AS event_start, b AS event_end FROM walked)"""
 DIRECT = "detector_input AS (SELECT stream_id, idx, f1, f2 FROM features)"
 # Partitions of P features plus the first W2 of the next one, each a series of its own.
-PARTS = f"""parts AS (
-  SELECT idx // {P} AS part_key, idx % {P} AS part_offset, idx, f1, f2 FROM features
+def parts(p: int) -> str:
+    return f"""parts AS (
+  SELECT idx // {p} AS part_key, idx % {p} AS part_offset, idx, f1, f2 FROM features
   UNION ALL
-  SELECT idx // {P} - 1, idx % {P} + {P}, idx, f1, f2 FROM features
-  WHERE idx % {P} < {W2} AND idx // {P} > 0),
+  SELECT idx // {p} - 1, idx % {p} + {p}, idx, f1, f2 FROM features
+  WHERE idx % {p} < {W2} AND idx // {p} > 0),
 detector_input AS (SELECT part_key AS stream_id, part_offset AS idx, f1, f2 FROM parts)"""
-PROVISIONAL = f"""provisional AS (
-  SELECT 0::BIGINT AS stream_id, stream_id * {P} + s AS s, d,
-    CASE WHEN d THEN event_s + stream_id * {P} ELSE -1 END AS event_s,
-    event_start + stream_id * {P} AS event_start, event_end + stream_id * {P} AS event_end
+
+
+def provisional(p: int) -> str:
+    return f"""provisional AS (
+  SELECT 0::BIGINT AS stream_id, stream_id * {p} + s AS s, d,
+    CASE WHEN d THEN event_s + stream_id * {p} ELSE -1 END AS event_s,
+    event_start + stream_id * {p} AS event_start, event_end + stream_id * {p} AS event_end
   FROM results WHERE NOT (stream_id > 0 AND s < {W2}))"""
 
 
+PARTS = parts(P)
+
+
 def _rename(sql: str, suffix: str) -> str:
     """The same definitions under other names, to run the detector twice in one statement."""
     names = [
@@ -225,8 +232,14 @@ MANY = (MULTI, POWER, FEATURES)
 ONE_BLOCKS = (*ONE, BLOCKS, clusters(BLOCK_KEYS))
 ONE_RESULTS = (*ONE, DIRECT, DETECTOR)
 MANY_RESULTS = (*MANY, DIRECT, DETECTOR)
-BOTH = (*ONE, PARTS, DETECTOR, PROVISIONAL,
-        _rename(DIRECT, "_true"), _rename(DETECTOR, "_true"))
+
+
+def both(p: int) -> tuple[str, ...]:
+    """Results of partitions judged on their own, and of the whole series."""
+    return (*ONE, parts(p), DETECTOR, provisional(p),
+            _rename(DIRECT, "_true"), _rename(DETECTOR, "_true"))
+
+
 
 ORACLE: dict[str, str] = {
     # sources and sinks
@@ -354,14 +367,14 @@ ORACLE: dict[str, str] = {
            WHERE new_start <> old_start"""),
     "sorted_results": select(*MANY_RESULTS, RESULT_ROWS + " ORDER BY stream_id, s"),
     # results
-    "provisional_results": select(*ONE, PARTS, DETECTOR, PROVISIONAL, "SELECT * FROM provisional"),
+    "provisional_results": select(*ONE, PARTS, DETECTOR, provisional(P), "SELECT * FROM provisional"),
     "reconcile_merge": select(
-        *BOTH,
+        *both(130),
         """SELECT stream_id, s, r.d, r.event_s, p.d AND NOT r.d AS retracted
            FROM provisional p JOIN results_true r USING (stream_id, s)"""),
     "pending_minus_verified": select(
-        *BOTH,
-        """SELECT stream_id, s, event_s FROM provisional p WHERE d AND NOT EXISTS (
+        *both(P),
+        """SELECT stream_id, s, event_s FROM provisional p WHERE NOT EXISTS (
              SELECT 1 FROM results_true r WHERE r.d AND r.stream_id = p.stream_id AND r.s = p.s)"""),
     "range_lookup": select(
         *ONE_RESULTS, f"""SELECT f.stream_id, r.s AS region_id, f.idx, {SHOWN} FROM results r
@@ -382,7 +395,7 @@ ORACLE: dict[str, str] = {
         GAPPY, POWER, f"""SELECT stream_id, s, n FROM (
           SELECT stream_id, window_no AS s, n,
             row_number() OVER (PARTITION BY stream_id ORDER BY window_no) - 1 AS place
-          FROM power WHERE n * 2 > {W1}) WHERE s = place"""),
+          FROM power WHERE n * 10 > {W1 * 6}) WHERE s = place"""),
     # streaming
     "stream_tumbling": select(*ONE, WINDOW_ROWS),
     "stream_out_of_order": select(GAPPY, POWER, FEATURES, WINDOW_ROWS),
