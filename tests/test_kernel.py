@@ -70,3 +70,12 @@ def test_no_candidate_has_a_loss():
     for seed in range(30):
         points = steps(seed, 40)
         assert all(brute.loss(*c) == 0 for c in brute.candidates(points, 0.1))
+
+
+def test_long_series_in_one_sweep():
+    # Positions in the sweep's tables exceed 16 bits here.
+    points = steps(2, 1500, change=0.03)
+    rows, restarts = brute.detect(points, 0.1, w2=40)
+    moves, _ = follow(points, 0.1, 40)
+    assert [(m[0], m[1], m[2] is not None) for m in moves] == restarts
+    assert {m[0]: m[2:4] for m in moves if m[2] is not None} == {r[0]: r[3:5] for r in rows if r[1]}

@@ -97,7 +97,7 @@ def chunk_entries(
         groups = maps.groupBy(
             *keys, int_div(F.col("chunk"), params.fan).cast("long").alias("part")
         ).agg(steps.alias("steps"))
-        identity = F.array(*[F.lit(e) for e in range(params.w2 + 1)])
+        identity = F.sequence(F.lit(0), F.lit(params.w2))
         composed = groups.select(
             *keys,
             F.col("part").alias("chunk"),
@@ -132,8 +132,16 @@ def summarise_chunks(
 ) -> DataFrame:
     """Transfer map and chain moves of every chunk, settled for the passes that follow."""
     schema = ", ".join([f"{k} long" for k in keys] + [f"{c} {t}" for c, t in _SUMMARY.items()])
+    spark = features.sparkSession
+    # Chunks are small in bytes but not in work: a fixed count keeps adaptive execution from
+    # merging them into few tasks.
+    tasks = max(
+        4 * spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
     return settle(
         with_context(features, params, keys)
+        .repartition(tasks, *keys, "chunk")
         .groupBy(*keys, "chunk")
         .applyInPandas(_summarise(params, keys, resets), schema)
     )

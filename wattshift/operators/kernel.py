@@ -73,61 +73,93 @@ def window_intervals(f1, f2, w2: int, eps: float, min_locality: float):
     return first, last
 
 
+def _ends_of(links: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where chains of links from ``at`` end; the chains are shortened on the way."""
+    end = links[at]
+    moving = np.flatnonzero(links[end] != end)
+    while len(moving):
+        step = links[end[moving]]
+        end[moving] = step
+        moving = moving[links[step] != step]
+    links[at] = end
+    return end
+
+
 def _sweep(near, begin, stop, w2, fewest, first, last):
+    """Judge the windows that end in ``[begin, stop)``, all of one length at a time.
+
+    A component is named by its oldest offset. The point entering at offset ``k`` is the
+    oldest of its window, so it names the component that it joins; ``parent`` leads from
+    the names it replaced to it. ``below`` and ``above`` lead from an offset to the nearest
+    noise point on that side. Tables are ``[offset, column]``, read by flat position.
+    """
     width = stop - begin
     cols = np.arange(width)
-    label = np.zeros((w2 + 1, width), dtype=np.intp)   # flat index of (component, column)
-    size = np.zeros((w2 + 1, width), dtype=np.int16)   # by component: its oldest offset
-    newest = np.zeros((w2 + 1, width), dtype=np.int16)
-    size[0] = 1
-    label[0] = cols
-    offsets = np.arange(w2 + 1, dtype=np.int16)[:, None]
-    row, item = near.strides
-    for k in range(1, w2 + 1):
-        # linked[j, t]: is the point entering at offset k a neighbour of the one at offset j?
-        linked = np.lib.stride_tricks.as_strided(
-            near[k:, begin:], shape=(k, width), strides=(-(row + item), item), writeable=False
-        )
-        at, col = np.nonzero(linked)
-        joined = np.zeros((k, width), dtype=bool)
-        joined.ravel()[label[at, col]] = True
-        size[k] = 1 + np.where(joined, size[:k], 0).sum(axis=0, dtype=np.int16)
-        newest[k] = np.where(joined, newest[:k], k).min(axis=0)
-        size[:k][joined] = 0
-        moved = joined.ravel()[label[:k]]
-        np.copyto(label[:k], k * width + cols, where=moved)
-        label[k] = k * width + cols
+    gap, late = np.nonzero(near[:, :stop])
+    early = late - gap
+    order = np.argsort(early, kind="stable")
+    gap, early = gap[order], early[order]
+
+    rows = w2 + 1
+    parent = np.arange(rows * width)
+    above = np.arange((rows + 1) * width)
+    below = np.arange((rows + 1) * width)              # one row lower: row 0 means none
+    ticket = np.empty(rows * width, dtype=np.intp)
+    size = np.ones((rows, width), dtype=np.int16)
+    newest = np.zeros((rows, width), dtype=np.int16)
+    dense = np.zeros((rows, width), dtype=bool)
+    flat_size, flat_newest, flat_dense = size.ravel(), newest.ravel(), dense.ravel()
+    for k in range(1, rows):
+        # Links of the entering points: to points already in the same window.
+        lo, hi = np.searchsorted(early, (begin - k, stop - k))
+        inside = np.flatnonzero(gap[lo:hi] <= k) + lo
+        col = early[inside] + (k - begin)
+        point = (k - gap[inside]) * width + col
+        root = _ends_of(parent, point)
+        # Every joined component once per column.
+        ticket[root] = turn = np.arange(len(root))
+        once = ticket[root] == turn
+        root, column = root[once], col[once]
+        parent[point] = k * width + col
+        parent[root] = k * width + column
+        np.add.at(size[k], column, flat_size[root])
+        newest[k] = k
+        np.minimum.at(newest[k], column, flat_newest[root])
+        flat_dense[root] = False
+        dense[k] = (size[k] >= 2) & (size[k] >= fewest[k - newest[k] + 1])
+        # Points that are noise no longer: the joined single ones, and those that join.
+        single = root[flat_size[root] == 1]
+        joins = k * width + np.flatnonzero(size[k] > 1)
+        for gone in (single, joins):
+            above[gone] = gone + width
+            below[gone + width] = gone
         if k >= 4:
-            _choose(size[: k + 1], newest[: k + 1], fewest, offsets[: k + 1], first[k], last[k])
+            _choose(dense[: k + 1], above, below, flat_newest, cols, first[k], last[k])
 
 
-def _choose(size, newest, fewest, offsets, first, last):
+def _choose(dense, above, below, flat_newest, cols, first, last):
     """First pair of dense clusters, in time order, with noise strictly between them."""
-    span = offsets - newest + 1
-    dense = (size >= 2) & (size >= fewest[span])
-    noise = size == 1
-    cols = np.flatnonzero((dense.sum(axis=0, dtype=np.int16) >= 2) & noise.any(axis=0))
-    if not len(cols):
+    rows, width = dense.shape
+    at = np.flatnonzero(dense.ravel())                 # by offset, so late starts come first
+    if not len(at):
         return
-    whole = len(cols) == size.shape[1]
-    if not whole:
-        dense, noise, newest = dense[:, cols], noise[:, cols], newest[:, cols]
-    k = len(offsets) - 1
-    local = np.arange(dense.shape[1])
+    start = at // width
+    col = at - start * width
     # Next noise in time after each cluster's newest member = greatest noise offset below it.
-    upto = np.maximum.accumulate(np.where(noise, offsets, NONE), axis=0)
-    follow = upto[np.maximum(newest - 1, 0), local]
-    follow[newest == 0] = NONE
-    latest = dense.argmax(axis=0)                      # start of the latest dense cluster
-    valid = dense & (follow > latest)
-    pick = k - valid[::-1].argmax(axis=0)              # oldest start wins
-    found = valid[pick, local]
-    opening = follow[pick, local]
-    after = dense & (offsets < opening)
-    second = k - after[::-1].argmax(axis=0)
-    closing = (noise & (offsets > second)).argmax(axis=0)
-    first[cols[found]] = opening[found]
-    last[cols[found]] = closing[found]
+    follow = _ends_of(below, flat_newest[at].astype(np.intp) * width + col) // width - 1
+    latest = np.full(width, rows)
+    latest[col[::-1]] = start[::-1]                    # the last write per column stays
+    valid = follow > latest[col]
+    if not valid.any():
+        return
+    opening = np.full(width, NONE)
+    opening[col[valid]] = follow[valid]                # oldest valid start wins
+    after = start < opening[col]
+    second = np.full(width, NONE)
+    second[col[after]] = start[after]                  # the next dense cluster behind it
+    found = cols[opening != NONE]
+    first[found] = opening[found]
+    last[found] = _ends_of(above, (second[found] + 1) * width + found) // width
 
 
 def backward_pass(first: np.ndarray, last: np.ndarray):

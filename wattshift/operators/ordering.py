@@ -7,6 +7,9 @@ carry only one small row per block across them.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +51,13 @@ def row_chunks(
     Equal rows are counted first and dealt out again in pieces, so a value that is copied
     very often neither sorts nor expands inside one task.
     """
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    blocked = counted.withColumn("_block", block)
+    present = [F.col(k).isNotNull() for k in keys] + [block.isNotNull()]
+    blocked = (
+        df.filter(reduce(and_, present))  # in both branches, so they share one exchange
+        .groupBy(*df.columns)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .withColumn("_block", block)
+    )
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         blocked.groupBy(*keys, "_block")

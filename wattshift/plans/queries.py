@@ -28,7 +28,7 @@ from wattshift.operators.udtf import detect_udtf
 from wattshift.plans.testbed import BLOCK, PARAMS, events, gappy, signal, signal_multi
 from wattshift.session import scratch_path, settle
 from wattshift.sources import samples as src
-from wattshift.sources.results import result_json
+from wattshift.sources.results import read_results, result_json, stream_results
 from wattshift.streaming import pipeline as pl
 from wattshift.streaming.replay import write_replay
 
@@ -579,17 +579,21 @@ def stream_detect(spark, sf):
     return pl.run_to_files(pl.signal_results(stream, PARAMS, fill=False), spark, "detect")
 
 
+def _end_to_end(spark, samples, delay_windows, shuffle_within=0):
+    """Wire files in, one JSON result per feature out."""
+    session, stream = _replayed(spark, samples, shuffle_within)
+    out = scratch_path(spark, "results")
+    results = pl.signal_results(stream, PARAMS, delay_windows)
+    pl.run_available(stream_results(results, f"{out}/rows", f"{out}/checkpoint"))
+    return result_json(read_results(spark, f"{out}/rows"))
+
+
 @query
 def e2e_ordered(spark, sf):
-    session, stream = _replayed(spark, signal(spark, sf))
-    return result_json(pl.run_to_files(pl.signal_results(stream, PARAMS), spark, "ordered"))
+    return _end_to_end(spark, signal(spark, sf), 1)
 
 
 @query
 def e2e_out_of_order(spark, sf):
-    session, stream = _replayed(spark, gappy(spark, sf), PARAMS.max_latency)
-    return result_json(
-        pl.run_to_files(
-            pl.signal_results(stream, PARAMS, PARAMS.max_latency + 1), spark, "late"
-        )
-    )
+    late = PARAMS.max_latency
+    return _end_to_end(spark, gappy(spark, sf), late + 1, shuffle_within=late)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,13 @@ def result_json(results: DataFrame) -> DataFrame:
     )
 
 
+RESULT_FIELDS = "stream_id long, s long, d boolean, event_s long"
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RESULT_FIELDS).json(path)
+
+
 def write_results(results: DataFrame, path: str, ordered: bool = False) -> None:
     """Results as JSON lines, in order of stream and ``s`` if asked."""
     rows = results.orderBy("stream_id", "s") if ordered else results
@@ -21,7 +28,8 @@ def write_results(results: DataFrame, path: str, ordered: bool = False) -> None:
 def stream_results(results: DataFrame, path: str, checkpoint: str):
     """Continuous file sink for a result stream; returns the unstarted writer."""
     return (
-        results.writeStream.format("json")
+        results.select("stream_id", "s", "d", "event_s")
+        .writeStream.format("json")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)

@@ -37,7 +37,7 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     )
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cores = spark.sparkContext.defaultParallelism
-    session.conf.set("spark.sql.shuffle.partitions", str(min(wanted, 2 * cores)))
+    session.conf.set("spark.sql.shuffle.partitions", str(min(wanted, cores)))
     session.conf.set("spark.sql.session.timeZone", "UTC")
     return session
 
@@ -132,16 +132,18 @@ def sort_by_event_time(
     )
 
 
+def run_available(writer) -> None:
+    """Start a stream writer over everything available and wait for its end."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def run_to_files(result: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """Run a streaming query over everything available and read its output back."""
     out = scratch_path(spark, label)
-    query = (
+    run_available(
         result.writeStream.format("parquet")
         .outputMode("append")
         .option("path", f"{out}/rows")
         .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{out}/rows")

@@ -10,7 +10,6 @@ from wattshift.session import scratch_path
 from wattshift.sources.samples import flush_batches, to_batches
 
 ROWS_PER_FILE = 2_000_000
-FLUSH_STEPS = 2
 
 
 def write_replay(
@@ -21,8 +20,9 @@ def write_replay(
 
     The file source reads by modification time, so the table is written in ``steps`` jobs,
     one after the other, each spread over as many files as its rows need. With
-    ``shuffle_within`` samples arrive up to that many windows late. Marked flush batches
-    follow at the end.
+    ``shuffle_within`` samples arrive up to that many windows late. A marked flush batch
+    follows at the end: it moves the watermark, and the empty batch that Spark then runs
+    closes the last windows.
     """
     path = scratch_path(spark, label)
     bounds = samples.agg(F.max("batch_no").alias("last"), F.count(F.lit(1)).alias("rows")).first()
@@ -42,8 +42,5 @@ def write_replay(
         part = placed.filter((F.col("batch_no") >= low) & (F.col("batch_no") < low + span))
         to_batches(part).repartition(files).write.mode("append").json(path)
     beyond = (last + 1) * params.w1 + (params.max_latency + 2) * params.w1
-    for step in range(FLUSH_STEPS):
-        flush_batches(
-            spark, samples, beyond + step * params.w1 * (params.max_latency + 2), last + 1 + step
-        ).coalesce(1).write.mode("append").json(path)
+    flush_batches(spark, samples, beyond, last + 1).coalesce(1).write.mode("append").json(path)
     return path, files
