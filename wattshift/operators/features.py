@@ -23,6 +23,7 @@ from wattshift.operators.ordering import number_rows
 from wattshift.session import settle
 
 KEYS = ["stream_id", "window_no"]
+IN_WINDOW = -1  # marks a value counted for a window, where a slot number hands it on
 CROWDED = 8  # rows per slot of a window beyond which copies are combined before a shuffle
 
 
@@ -115,33 +116,52 @@ def locf_sums(samples: DataFrame, params: DetectorParams) -> DataFrame:
         return numbered
     crowded = not numbered.filter(F.col("n") > CROWDED * params.w1).isEmpty()
     slot_key = ["stream_id", "block", "slot"]
-    readings = _latest_readings(samples, crowded, params)
     targets = (
         short.withColumn("block", int_div(F.col("window_no"), params.carry_block))
         .groupBy("stream_id", "block")
         .agg(F.sort_array(F.collect_list("window_no")).alias("targets"))
     )
-    window_no, until, listed = F.col("window_no"), F.col("until"), F.col("targets")
-
     # Each value counts for the short windows from its own up to the next value of its slot.
-    in_reach = F.when(
-        until == window_no + 1,
-        F.when(F.array_contains(listed, window_no), F.array(window_no)),
-    ).otherwise(
-        F.filter(listed, lambda w: (w >= window_no) & (until.isNull() | (w < until)))
+    # The last value of a slot in its block also reaches the window after the block: there
+    # it is handed on, with the window of the slot's first value.
+    order = Window.partitionBy(*slot_key).orderBy("window_no")
+    beyond = (F.col("block") + 1) * params.carry_block
+    last_reach = F.coalesce(F.lead("window_no").over(order) - 1, beyond)
+    at, handed = F.col("at"), F.col("at") == beyond
+    v, c = F.col("reading.voltage"), F.col("reading.current")
+    sums = [
+        F.count(F.lit(1)).alias("n"),
+        F.sum(v * c).alias("sum_vi"),
+        F.sum(v * v).alias("sum_vv"),
+        F.sum(c * c).alias("sum_cc"),
+    ]
+    # One pass over the samples gives both; what it leaves is small and read twice.
+    passed = settle(
+        _latest_readings(samples, crowded, params)
+        .withColumn("last_reach", last_reach)
+        .withColumn("opens", F.first("window_no").over(order))
+        .join(targets, ["stream_id", "block"], "left")
+        .withColumn("at", F.explode(F.sequence("window_no", "last_reach")))
+        .filter(handed | F.array_contains("targets", at))
+        .select(
+            "stream_id", "reading", "opens",
+            F.when(handed, F.col("block")).otherwise(at).alias("at"),
+            F.when(handed, F.col("slot")).otherwise(F.lit(IN_WINDOW)).alias("slot"),
+        )
+        .groupBy("stream_id", "at", "slot")
+        .agg(
+            *sums,
+            F.first(v).alias("voltage"), F.first(c).alias("current"), F.first("opens").alias("opens"),
+        )
     )
-    following = F.lead("window_no").over(Window.partitionBy(*slot_key).orderBy("window_no"))
-    inside = (
-        readings.withColumn("until", following)
-        .join(targets, ["stream_id", "block"])
-        .select("stream_id", F.explode(in_reach).alias("window_no"), "reading")
+    inside = passed.filter(F.col("slot") == IN_WINDOW).withColumnRenamed("at", "window_no")
+    edges = passed.filter(F.col("slot") != IN_WINDOW).select(
+        "stream_id", F.col("at").alias("block"), "slot",
+        F.struct("voltage", "current").alias("reading"), "opens",
     )
 
     # The value carried into a block counts until the slot's first value in it. An "asked"
     # row stands before its block's own row, so it sees earlier blocks only.
-    edges = readings.groupBy(*slot_key).agg(
-        F.max_by("reading", "window_no").alias("reading"), F.min("window_no").alias("opens")
-    )
     asked = targets.select(
         "stream_id",
         "block",
@@ -150,6 +170,7 @@ def locf_sums(samples: DataFrame, params: DetectorParams) -> DataFrame:
         F.lit(None).cast("long").alias("opens"),
         F.lit(True).alias("asked"),
     )
+    until = F.col("until")
     by_block = Window.partitionBy("stream_id", "slot").orderBy("block", F.col("asked").desc())
     so_far = by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own_row = F.lead("block").over(by_block) == F.col("block")
@@ -167,30 +188,28 @@ def locf_sums(samples: DataFrame, params: DetectorParams) -> DataFrame:
         .join(targets, ["stream_id", "block"])
         .select(
             "stream_id",
-            F.explode(F.filter(listed, lambda w: until.isNull() | (w < until))).alias("window_no"),
+            F.explode(F.filter("targets", lambda w: until.isNull() | (w < until))).alias("window_no"),
             "reading",
         )
+        .groupBy(*KEYS)
+        .agg(*sums)
     )
 
-    v, c = F.col("reading.voltage"), F.col("reading.current")
+    names = ["n", "sum_vi", "sum_vv", "sum_cc"]
     filled = (
-        inside.unionByName(carried)
+        inside.select(*KEYS, *names)
+        .unionByName(carried)
         .groupBy(*KEYS)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(v * c).alias("sum_vi"),
-            F.sum(v * v).alias("sum_vv"),
-            F.sum(c * c).alias("sum_cc"),
-        )
+        .agg(*[F.sum(name).alias(name) for name in names])
     )
     return numbered.alias("own").join(filled.alias("all"), KEYS, "left").select(
         *KEYS,
         "idx",
         *[
-            F.when(F.col("all.n").isNotNull(), F.col(f"all.{s}"))
-            .otherwise(F.col(f"own.{s}"))
-            .alias(s)
-            for s in ("n", "sum_vi", "sum_vv", "sum_cc")
+            F.when(F.col("all.n").isNotNull(), F.col(f"all.{name}"))
+            .otherwise(F.col(f"own.{name}"))
+            .alias(name)
+            for name in names
         ],
     )
 
