@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from wattshift.session import settle
 
-__all__ = ["documents", "table", "settle", "partitions", "row_key", "null_safe", "chunks", "flat_text", "words_of",
-           "mix", "powers", "key_runs"]
+__all__ = ["documents", "table", "settle", "partitions", "row_key", "chunks", "flat_text", "words_of",
+           "mix", "powers", "prefix_hash", "byte_set", "spaces"]
 
 CHUNK_BYTES = 1 << 20   # text handled by one vectorised step; a longer document is a step of its own
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))   # A-Z to a-z, all other bytes as they are
@@ -32,16 +32,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Columns that tell rows apart where ids may be null or repeat: the id and a hash of the text."""
-    return [F.col(doc_id).alias("k_id"), F.xxhash64(F.col(text)).alias("k_text")]
-
-
-def null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Equality of the key columns of two frames in which null equals null."""
-    out = a[keys[0]].eqNullSafe(b[keys[0]])
-    for k in keys[1:]:
-        out = out & a[k].eqNullSafe(b[k])
-    return out
+    """Two columns, never null, that tell rows apart where ids may be null or repeat: the id and a hash of the text."""
+    return [F.coalesce(F.col(doc_id), F.lit(0)).alias("k_id"), F.xxhash64(F.col(doc_id).isNull(), F.col(text)).alias("k_text")]
 
 
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,23 +120,3 @@ def byte_set(pattern: bytes) -> np.ndarray:
 def spaces() -> np.ndarray:
     """The ASCII white space that parts words: space and 09 to 0D."""
     return byte_set(b" \t\n\x0b\x0c\r")
-
-
-def key_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of consecutive rows with one key; the input is sorted by it. A run may span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:]):
-            if held and keys[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = keys[a]
-    if held:
-        yield pa.Table.from_batches(held)

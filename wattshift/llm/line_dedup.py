@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattshift.llm.common import row_key
+
 RATIO = 0.05
 MIN_PAGES = 20
 
@@ -30,7 +32,7 @@ def _digest(line):
 def _lines(pages: DataFrame, host: str) -> DataFrame:
     """(host, page key, digest, position, first): one row per line that has a word; first marks a page's first copy."""
     keyed = pages.select(
-        F.col(host).alias("host"), F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_text"),
+        F.col(host).alias("host"), *row_key(),
         F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(
             F.when(x.rlike("[^ \\t\\x0B\\f\\r]"), _digest(x)).alias("digest"), i.alias("pos"))),
             lambda e: e["digest"].isNotNull()).alias("e"))
@@ -61,8 +63,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATI
                        "left_semi")
             .groupBy("host", "k_id", "k_text").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
     keyed = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("page"),
-                         F.col(host).alias("p_host"), F.col("doc_id").alias("p_id"), F.xxhash64("text").alias("p_text"))
-    joined = keyed.join(hits, keyed["p_id"].eqNullSafe(hits["k_id"]) & (keyed["p_text"] == hits["k_text"])
+                         F.col(host).alias("p_host"), *[k.alias(f"p_{i}") for i, k in enumerate(row_key())])
+    joined = keyed.join(hits, (keyed["p_0"] == hits["k_id"]) & (keyed["p_1"] == hits["k_text"])
                         & keyed["p_host"].eqNullSafe(hits["host"]), "left")
     split = joined.withColumn("l", F.split("page.text", "\n"))
     rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size("l") - 1), "gone"), lambda i: F.get("l", i))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshift.llm import line_dedup, quality_rules
+from wattshift.llm import line_dedup, minhash, quality_rules
 from wattshift.llm.common import documents, table
 
 
@@ -19,4 +19,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), width=4)
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op9_minhash_near_dedup)}
