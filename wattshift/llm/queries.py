@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshift.llm import line_dedup, minhash, quality_rules
+from wattshift.llm import decontaminate, line_dedup, minhash, packing, quality_rules
 from wattshift.llm.common import documents, table
 
 
@@ -23,4 +23,16 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op9_minhash_near_dedup)}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_items", "item_ids", (F.col("n_items") == 0).alias("kept"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = F.xxhash64(F.lower("text"))
+    return packing.pack(documents(spark, sf_dir), copies)
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op7_benchmark_decontamination,
+                                 op9_minhash_near_dedup, op10_best_fit_packing)}
