@@ -236,10 +236,15 @@ def candidate_clusters(described: DataFrame, percent: int) -> DataFrame:
     return components(tiles.mapInArrow(_similar_signatures(least), "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest id reachable), kept."""
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest id reachable), kept.
+
+    carry: further long columns of docs that the result shall have.
+    """
     texts = docs.select("doc_id", "text")
-    described = settle(texts.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_key binary, keys array<long>, low binary"))
+    more = "".join(f"{c} long, " for c in carry)
+    described = settle(docs.select("doc_id", *carry, "text").mapInArrow(
+        _describe(width), f"doc_id long, {more}n_shingles long, set_key binary, keys array<long>, low binary"))
     known = described.filter("doc_id is not null")
     classes = known.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
     clusters = settle(candidate_clusters(known, percent))
@@ -250,5 +255,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = components(tiles.mapInArrow(_confirmed(width, percent), "u long, v long"))
     named = described.join(classes, "set_key", "left").join(links, "node", "left")
     smallest = F.coalesce("component", "node", "doc_id")
-    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), smallest).alias("component_id"),
+    return named.select("doc_id", *carry, "n_shingles", F.when(F.col("doc_id").isNotNull(), smallest).alias("component_id"),
                         F.coalesce(F.col("doc_id") == smallest, F.lit(True)).alias("kept"))
