@@ -9,18 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshift.llm.common import documents, null_safe, row_key, table
+from wattshift.llm.common import documents, row_key, table
+from wattshift.llm.decontaminate import decontaminate
 from wattshift.llm.line_dedup import drop_boilerplate
+from wattshift.llm.minhash import near_duplicates
+from wattshift.llm.packing import pack
 from wattshift.llm.quality_rules import quality_rules
 from wattshift.session import scratch_path
 
 
+def _rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose keys are in kept."""
+    return docs.select("*", *row_key()).join(kept.select("k_id", "k_text").distinct(), ["k_id", "k_text"], "left_semi")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
     verdict = quality_rules(docs, table(spark, sf_dir, "labels"), carry=row_key())
-    kept = verdict.filter("kept").select("k_id", "k_text").distinct()
-    keyed = docs.select("*", *row_key())
-    return keyed.join(kept, null_safe(keyed, kept, ["k_id", "k_text"]), "left_semi").select(*docs.columns)
+    return _rows(docs, verdict.filter("kept")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +36,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                             for c in docs.columns])
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines)]
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of copies and near copies stays, the one with the smallest id; of repeated rows one."""
+    marked = near_duplicates(docs.select("doc_id", "text", *row_key()), carry=("k_id", "k_text"))
+    return _rows(docs, marked.filter("kept")).dropDuplicates(["k_id", "k_text"]).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_items = 0").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents and their places in sequences."""
+    return pack(docs, F.xxhash64(F.lower("text")))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash_near_dedup", near_duplicate),
+          ("benchmark_decontamination", decontaminated), ("best_fit_packing", packed)]
 ORACLE_SQL = None
 
 
