@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshift.llm import decontaminate, line_dedup, minhash, packing, quality_rules
+from wattshift.llm import decontaminate, line_dedup, minhash, packing, quality_rules, token_store
 from wattshift.llm.common import documents, table
 
 
@@ -23,6 +23,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=4)
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.encode_and_read(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -34,5 +40,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), copies)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op7_benchmark_decontamination,
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op5_token_ids, op7_benchmark_decontamination,
                                  op9_minhash_near_dedup, op10_best_fit_packing)}
