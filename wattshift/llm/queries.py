@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshift.llm import decontaminate, line_dedup, minhash, packing, quality_rules, token_store
+from wattshift.llm import decontaminate, line_dedup, minhash, ordinal, packing, quality_rules, token_store, toxicity
 from wattshift.llm.common import documents, table
 
 
@@ -19,6 +19,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Grades: 0 poor, 1 good but toxic, 2 good.
+    rating = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, 2 - F.coalesce("toxic", F.lit(0)))
+    graded = ordinal.grade(documents(spark, sf_dir), table(spark, sf_dir, "labels"), rating)
+    return graded.select("doc_id", "held_out", "expected_grade", F.get("tails", F.lit(0)).alias("p_good"),
+                         F.get("tails", F.lit(1)).alias("p_clean"), "kept")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=4)
 
@@ -29,6 +37,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -40,5 +52,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), copies)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op5_token_ids, op7_benchmark_decontamination,
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op5_token_ids, op6_toxicity,
+                                 op7_benchmark_decontamination, op8_quality_grade,
                                  op9_minhash_near_dedup, op10_best_fit_packing)}
