@@ -246,14 +246,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: t
     described = settle(docs.select("doc_id", *carry, "text").mapInArrow(
         _describe(width), f"doc_id long, {more}n_shingles long, set_key binary, keys array<long>, low binary"))
     known = described.filter("doc_id is not null")
-    classes = known.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    classes = settle(known.filter("set_key is not null").groupBy("set_key")
+                     .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     clusters = settle(candidate_clusters(known, percent))
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     inside = clusters.join(sizes, "component")
     met = texts.join(inside, texts["doc_id"] == inside["node"]).select("component", "size", "node", "text")
     tiles = by_tile(tiled(met, "component", F.col("size"), CLUSTER_BLOCK).select("tile", "node", "text"))
     links = components(tiles.mapInArrow(_confirmed(width, percent), "u long, v long"))
-    named = described.join(classes, "set_key", "left").join(links, "node", "left")
-    smallest = F.coalesce("component", "node", "doc_id")
+    named = (described.select("doc_id", *carry, "n_shingles", "set_key").join(classes, "set_key", "left")
+             .withColumn("node", F.coalesce("node", "doc_id")).join(links, "node", "left"))
+    smallest = F.coalesce("component", "node")
     return named.select("doc_id", *carry, "n_shingles", F.when(F.col("doc_id").isNotNull(), smallest).alias("component_id"),
                         F.coalesce(F.col("doc_id") == smallest, F.lit(True)).alias("kept"))
