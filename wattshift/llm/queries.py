@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshift.llm import decontaminate, licenses, line_dedup, minhash, ordinal, packing, quality_rules, token_store, toxicity
+from wattshift.llm import decontaminate, licenses, line_dedup, minhash, ordinal, packing, quality_rules, suffix_dedup, token_store, toxicity
 from wattshift.llm.common import documents, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), texts=False).drop("kept")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -56,6 +60,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), copies)
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_quality_rules, op4_line_dedup, op5_token_ids, op6_toxicity,
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_quality_rules, op4_line_dedup, op5_token_ids, op6_toxicity,
                                  op7_benchmark_decontamination, op8_quality_grade,
                                  op9_minhash_near_dedup, op10_best_fit_packing)}
