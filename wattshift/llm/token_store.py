@@ -80,13 +80,13 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Put pieces into the cache, many by one call: behind one another with a space or line feed before each, they
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pieces, many by one call: behind one another with a space or line feed before each, they
         part as they did in their texts, and the tokens' lengths tell whose the ids are."""
         spaced = [x for x in new if x[0] == " " and x[1:2].strip()]
         bare = [x for x in new if x[0].strip()]
         alone = [x for x in new if not x[:2].strip()]
-        size = self.dtype.itemsize
+        size, found = self.dtype.itemsize, {}
         for pieces, gap in ((spaced, ""), (bare, "\n")):
             groups = [pieces[i: i + 256] for i in range(0, len(pieces), 256)]
             texts = [gap + gap.join(g) for g in groups]
@@ -101,20 +101,33 @@ class Encoder:
                     alone += group      # a piece did not part as expected
                     continue
                 raw = ids.tobytes()
-                self.cache.update(zip(group, [raw[a:b] for a, b in zip((start * size).tolist(), ((stop + 1) * size).tolist())]))
-        self.cache.update(zip(alone, self._whole(alone)))
+                found.update(zip(group, [raw[a:b] for a, b in zip((start * size).tolist(), ((stop + 1) * size).tolist())]))
+        found.update(zip(alone, self._whole(alone)))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.by_piece and not self.unusual(t) and not any(s in t for s in self.special) for t in texts]
         whole = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
         split = [self.pieces(t) if p else None for t, p in zip(texts, plain)]
-        wanted = set().union(*[x for x in split if x])
-        new = wanted.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = wanted
-        self._learn(list(new))
-        return [next(whole) if x is None else b"".join(map(self.cache.__getitem__, x)) for x in split]
+        new = list(set().union(*[x for x in split if x]).difference(self.cache))
+        room = max(0, CACHE_PIECES - len(self.cache))      # frequent pieces come early and stay; later ones serve this call
+        passing = self._learn(new[room:])
+        self.cache.update(self._learn(new[:room]))
+        self.cache.update(passing)
+        out = [next(whole) if x is None else b"".join(map(self.cache.__getitem__, x)) for x in split]
+        for x in passing:
+            del self.cache[x]
+        return out
+
+
+def shared_encoder(path: str) -> Encoder:
+    """One encoder per worker process. Functions travel by value, so only an installed module outlives a task."""
+    import tokenizers
+
+    made = tokenizers.__dict__.setdefault("_wattshift_encoders", {})
+    if path not in made:
+        made[path] = Encoder(path)
+    return made[path]
 
 
 def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -229,7 +242,7 @@ def _write_shard(folder: str, tokenizer: str):
                 continue
             if out is None:
                 fs.create_dir(base, recursive=True)
-                out, encoder = fs.open_output_stream(f"{base}/ids-{name}.bin"), Encoder(tokenizer)
+                out, encoder = fs.open_output_stream(f"{base}/ids-{name}.bin"), shared_encoder(tokenizer)
                 end = np.array([END_ID], encoder.dtype).tobytes()
             nulls += batch.column(0).null_count
             keys.append(batch.column(0).drop_null().to_numpy())
