@@ -10,7 +10,7 @@ evenly, and every group is packed by one task. The number of groups follows the
 cluster reach these tasks, never texts.
 
 Defined cases: null text and texts without words have no piece and no row; null source or cluster conflicts with nothing;
-ties go to the smaller id, then the text's hash; repeated rows are packed each, and conflict with each other as one cluster;
+ties go to the smaller id, then the text's hash; repeated rows are packed each (their copies are numbered), and conflict with each other as one cluster;
 an empty table gives an empty result; extra columns are not read.
 """
 
@@ -86,12 +86,14 @@ def pack(docs: DataFrame, cluster: Column, source: str = "source", capacity: int
     docs: doc_id, text and the source column; cluster: an expression over docs whose equal values must not meet.
     """
     sized = settle(docs.select("doc_id", F.col(source).cast("string").alias("source"), cluster.cast("string").alias("cluster"),
-                               row_key()[1], word_count(F.col("text")).alias("words")).filter("words > 0"))
+                               row_key()[1], word_count(F.col("text")).alias("words")).filter("words > 0")
+                   .groupBy("doc_id", "source", "cluster", "k_text", "words").agg(F.count(F.lit(1)).alias("copies"))
+                   .select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")))
     whole = F.floor(F.col("words") / capacity)
-    filled = sized.filter(F.col("words") >= capacity).select("doc_id", "k_text", F.explode(F.sequence(F.lit(1).cast("long"), whole)).alias("piece"))
+    filled = sized.filter(F.col("words") >= capacity).select("doc_id", "k_text", "copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)).alias("piece"))
     filled = filled.select("doc_id", (F.col("piece") - 1).alias("piece"), F.lit(capacity).cast("long").alias("n_words"),
                            F.concat(F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("-"), F.hex("k_text"),
-                                    F.lit("-"), F.col("piece").cast("string")).alias("bin_id"), F.lit(0).cast("long").alias("start"))
+                                    F.lit("-"), F.col("copy").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("bin_id"), F.lit(0).cast("long").alias("start"))
     rest = sized.filter(F.col("words") % capacity > 0).select(
         "doc_id", "k_text", "source", "cluster", whole.cast("long").alias("piece"), (F.col("words") % capacity).alias("size"))
     groups = max(1, -(-rest.count() // group_rows))
