@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wattshift.session import settle
 
-__all__ = ["documents", "table", "settle", "partitions", "row_key", "let", "chunks", "flat_text", "words_of",
+__all__ = ["documents", "table", "settle", "partitions", "row_key", "boxed", "let", "chunks", "flat_text", "words_of",
            "mix", "powers", "prefix_hash", "byte_set", "spaces"]
 
 CHUNK_BYTES = 1 << 20   # text handled by one vectorised step; a longer document is a step of its own
@@ -36,6 +36,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.coalesce(F.col(doc_id), F.lit(0)).alias("k_id"), F.xxhash64(F.col(doc_id).isNull(), F.col(text)).alias("k_text")]
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """(row, k_id, k_text): the whole row as one struct beside its keys, so that no column name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row; a plain column may be copied into lambdas by the optimiser."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattshift.llm.common import let, row_key, settle
+from wattshift.llm.common import boxed, let, settle
 
 WIDTH = 5
 SHARE = 0.8
@@ -98,10 +98,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The input's rows and columns plus ``n_items`` and ``item_ids`` (sorted ids of the items a document holds)."""
-    keyed = docs.select("*", *row_key())
-    held = (contamination(keyed, benchmark, **params).groupBy("k_id", "k_text")
+    """The input's rows and columns plus ``n_items`` and ``item_ids`` (sorted ids of the items a document holds), which replace
+    columns of these names."""
+    keyed = boxed(docs)
+    held = (contamination(keyed.select("k_id", "k_text", F.col("row.text").alias("text")), benchmark, **params).groupBy("k_id", "k_text")
             .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")))
-    joined = keyed.alias("d").join(held.alias("h"), (F.col("d.k_id") == F.col("h.k_id")) & (F.col("d.k_text") == F.col("h.k_text")), "left")
-    ids = F.coalesce(F.col("h.item_ids"), F.array().cast("array<bigint>"))
-    return joined.select(*[F.col(f"d.{c}") for c in docs.columns], F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
+    ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
+    return keyed.join(held, ["k_id", "k_text"], "left").select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_items", "item_ids")], F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))

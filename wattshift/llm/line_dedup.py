@@ -54,8 +54,9 @@ def boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATIO, mi
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATIO,
-                     min_pages: int = MIN_PAGES) -> DataFrame:
-    """The input's rows and columns with the remaining lines as ``text``, plus ``n_lines`` and ``n_dropped``."""
+                     min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+    """The input's rows and columns with the remaining lines as ``text``; with ``counts`` also ``n_lines`` and
+    ``n_dropped``, which replace columns of these names."""
     common = boilerplate(pages, host, ratio, min_pages).select(F.col("host").alias("b_host"),
                                                                F.col("digest").alias("b_digest"))
     lines = _lines(pages, host)
@@ -70,7 +71,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATI
     rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size("l") - 1), "gone"), lambda i: F.get("l", i))
     columns = [F.col("page")[c].alias(c) if c != "text" else
                F.when(F.col("gone").isNull(), F.col("page.text")).otherwise(F.array_join(rest, "\n")).alias("text")
-               for c in pages.columns]
-    return split.select(*columns,
+               for c in pages.columns if not counts or c not in ("n_lines", "n_dropped")]
+    return split.select(*columns, *[] if not counts else [
                         F.when(F.col("page.text").isNull(), 0).otherwise(F.size("l")).cast("long").alias("n_lines"),
-                        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
+                        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped")])

@@ -187,6 +187,8 @@ def _confirmed(width: int, percent: int):
                 for batch in table.slice(a, b - a).to_batches():
                     for _, data, ends in chunks(batch):
                         sets += shingle_sets(data, ends, width, tables)
+                own_rows = np.flatnonzero([len(s) > 0 for s in sets]) + a    # an id may also have a row without words
+                sets = [s for s in sets if len(s)]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 values, ids = np.unique(np.concatenate(sets), return_inverse=True)
                 starts = np.cumsum(sizes) - sizes
@@ -202,9 +204,9 @@ def _confirmed(width: int, percent: int):
                     mark[own] = False
                     return 100 * both >= percent * (sizes[others] + sizes[x] - both)
 
-                i, j = forest(b - a, linked)
-                one.append(i + a)
-                two.append(j + a)
+                i, j = forest(len(sets), linked)
+                one.append(own_rows[i])
+                two.append(own_rows[j])
             yield _edges(nodes, one, two)
     return run
 
@@ -230,9 +232,9 @@ def candidate_clusters(described: DataFrame, percent: int) -> DataFrame:
         F.col("doc_id"), F.xxhash64("set_key").alias("set_id"), F.explode("keys").alias("bucket"))
     members = keyed.groupBy("bucket", "set_id").agg(F.min("doc_id").alias("node"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = members.join(shared, "bucket").select("bucket", "size", "node")
-    low = described.filter("set_key is not null").groupBy(F.col("doc_id").alias("node")).agg(F.first("low").alias("low"))
-    tiles = by_tile(tiled(met.join(low, "node"), "bucket", F.col("size"), BUCKET_BLOCK).select("tile", "node", "low"))
+    met = members.join(shared, "bucket").select("bucket", "size", "set_id", "node")
+    low = described.filter("set_key is not null").groupBy(F.xxhash64("set_key").alias("set_id")).agg(F.first("low").alias("low"))
+    tiles = by_tile(tiled(met.join(low, "set_id"), "bucket", F.col("size"), BUCKET_BLOCK).select("tile", "node", "low"))
     return components(tiles.mapInArrow(_similar_signatures(least), "u long, v long"))
 
 

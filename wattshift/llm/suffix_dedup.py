@@ -265,8 +265,9 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, memory:
     rows = (texts.mapInArrow(_rows(span, gram), ROWS).repartition(n, "route")
             .sortWithinPartitions("route", "seg", "k_id", "k_text", "at"))
     path = scratch_path(spark, "suffix-rows")
-    rows.mapInArrow(_resolve, "route long, k_id long, k_text long, at long, kind int").write.parquet(path)
-    known = spark.read.parquet(path)
+    resolved = rows.mapInArrow(_resolve, "route long, k_id long, k_text long, at long, kind int")
+    resolved.write.parquet(path)
+    known = spark.read.schema(resolved.schema).parquet(path)
     open_ = known.filter(F.col("kind") == OPEN)
     wanted = open_.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("route", "at")).alias("ranges"))
     if open_.count() <= BROADCAST_RANGES:
