@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshift.llm.common import documents, row_key, table
-from wattshift.llm.decontaminate import decontaminate
+from wattshift.llm.common import boxed, documents, row_key, table
+from wattshift.llm.decontaminate import contamination
 from wattshift.llm.line_dedup import drop_boilerplate
 from wattshift.llm.minhash import near_duplicates
 from wattshift.llm.packing import pack
@@ -19,19 +19,19 @@ from wattshift.session import scratch_path
 
 
 def _rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose keys are in kept."""
-    return docs.select("*", *row_key()).join(kept.select("k_id", "k_text").distinct(), ["k_id", "k_text"], "left_semi")
+    """(row, k_id, k_text) of the rows of docs whose keys are in kept."""
+    return boxed(docs).join(kept.select("k_id", "k_text").distinct(), ["k_id", "k_text"], "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
     verdict = quality_rules(docs, table(spark, sf_dir, "labels"), carry=row_key())
-    return _rows(docs, verdict.filter("kept")).select(*docs.columns)
+    return _rows(docs, verdict.filter("kept")).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go from its documents."""
-    cleaned = drop_boilerplate(docs)
+    cleaned = drop_boilerplate(docs, counts=False)
     return cleaned.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else c
                             for c in docs.columns])
 
@@ -39,12 +39,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of copies and near copies stays, the one with the smallest id; of repeated rows one."""
     marked = near_duplicates(docs.select("doc_id", "text", *row_key()), carry=("k_id", "k_text"))
-    return _rows(docs, marked.filter("kept")).dropDuplicates(["k_id", "k_text"]).select(*docs.columns)
+    return _rows(docs, marked.filter("kept")).dropDuplicates(["k_id", "k_text"]).select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_items = 0").select(*docs.columns)
+    keyed = boxed(docs)
+    held = contamination(keyed.select("k_id", "k_text", F.col("row.text").alias("text")), table(spark, sf_dir, "benchmark"))
+    return keyed.join(held.select("k_id", "k_text").distinct(), ["k_id", "k_text"], "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
