@@ -39,7 +39,7 @@ def test_clusters(points, windows):
 
 def test_neighbours_and_noise(points, windows):
     near = cl.eps_neighbours(points, KEYS, P)
-    noise = {(r["stream_id"], r["pos"]) for r in cl.noise_points(points, near, KEYS).collect()}
+    noise = {(r["stream_id"], r["pos"]) for r in cl.noise_points(points, KEYS, P).collect()}
     assert noise == {(s, p) for (s, _), xy in windows.items() for p in brute.components(xy, P.eps)[1]}
 
 

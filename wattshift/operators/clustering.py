@@ -18,6 +18,7 @@ from wattshift.functions.power import euclidean
 NOISE = -1
 _SLACK = 1e-6          # grid cells slightly wider than eps, so rounding never skips a cell
 _BATCH_PAIRS = 4_000_000
+MAX_WINDOW = 2_000  # points of a window whose distances are held at once
 
 
 def _finite(c: str) -> Column:
@@ -57,10 +58,9 @@ def eps_neighbours(points: DataFrame, keys: list[str], params: DetectorParams) -
     )
 
 
-def noise_points(points: DataFrame, neighbours: DataFrame, keys: list[str]) -> DataFrame:
-    """Points that have no neighbour."""
-    near = neighbours.withColumnRenamed("a", "pos").select(*keys, "pos")
-    return points.join(near, [*keys, "pos"], "left_anti")
+def noise_points(points: DataFrame, keys: list[str], params: DetectorParams) -> DataFrame:
+    """Points that have no neighbour, from the labels; no pairs are made."""
+    return cluster_assign(points, keys, params).filter(F.col("cluster_id") == NOISE).drop("cluster_id")
 
 
 def _labels(f1: np.ndarray, f2: np.ndarray, eps: float) -> np.ndarray:
@@ -121,9 +121,14 @@ def window_arrays(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cluster_assign(points: DataFrame, keys: list[str], params: DetectorParams) -> DataFrame:
-    """Add ``cluster_id`` to every point; one shuffle, many windows per Arrow batch."""
+    """Add ``cluster_id`` to every point; one shuffle, many windows per Arrow batch.
+
+    A window is one row with a table of its distances; one of more than ``MAX_WINDOW`` points is an error.
+    """
+    whole = window_arrays(points, keys).withColumn("points", F.when(F.size("points") <= MAX_WINDOW, F.col("points")).otherwise(
+        F.raise_error(F.lit(f"a window has more than {MAX_WINDOW} points"))))
     return (
-        window_arrays(points, keys)
+        whole
         .withColumn("cluster_id", cluster_ids("points.f1", "points.f2", params))
         .select(*keys, F.inline(F.arrays_zip("points", "cluster_id")))
         .select(*keys, "points.*", "cluster_id")

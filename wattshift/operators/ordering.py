@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 from wattshift.functions.power import int_div
 
 
+def join_blocks(rows: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """Join a block's rows with what precedes the block; a null key is a key like any other."""
+    names = {k: f"_start{n}" for n, k in enumerate(keys)}
+    right = starts.withColumnsRenamed(names)
+    return rows.join(right, reduce(and_, [rows[k].eqNullSafe(right[n]) for k, n in names.items()])).drop(*names.values())
+
+
 def number_rows(
     df: DataFrame, keys: list[str], order: list[str], block: Column, name: str = "idx"
 ) -> DataFrame:
@@ -35,8 +42,7 @@ def number_rows(
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     return (
-        blocked.withColumn("_place", F.row_number().over(inside))
-        .join(starts, [*keys, "_block"])
+        join_blocks(blocked.withColumn("_place", F.row_number().over(inside)), starts, [*keys, "_block"])
         .withColumn(name, (F.col("_before") + F.col("_place") - 1).cast("long"))
         .drop("_block", "_before", "_place")
     )
@@ -48,16 +54,11 @@ def row_chunks(
 ) -> DataFrame:
     """Number the rows of each key in order and cut them into chunks of ``size`` rows.
 
-    Equal rows are counted first and dealt out again in pieces, so a value that is copied
-    very often neither sorts nor expands inside one task.
+    Equal rows are counted where they meet, in the one exchange by key and block, and dealt out
+    again in pieces, so a value that is copied very often neither sorts nor expands inside one task.
     """
-    present = [F.col(k).isNotNull() for k in keys] + [block.isNotNull()]
-    blocked = (
-        df.filter(reduce(and_, present))  # in both branches, so they share one exchange
-        .groupBy(*df.columns)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("_block", block)
-    )
+    spread = df.withColumn("_block", block).repartition(*keys, "_block")
+    blocked = spread.groupBy(*df.columns, "_block").agg(F.count(F.lit(1)).alias("_copies"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         blocked.groupBy(*keys, "_block")
@@ -67,11 +68,8 @@ def row_chunks(
     inside = (
         Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = (
-        blocked.withColumn("_ahead", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
-        .join(starts, [*keys, "_block"])
-        .withColumn("_first", F.col("_before") + F.col("_ahead"))
-    )
+    ahead = blocked.withColumn("_ahead", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
+    placed = join_blocks(ahead, starts, [*keys, "_block"]).withColumn("_first", F.col("_before") + F.col("_ahead"))
     pieces = placed.withColumn(
         "_piece", F.explode(F.sequence(F.lit(0), int_div(F.col("_copies") - 1, piece)))
     )

@@ -9,18 +9,7 @@ from wattshift.config import DetectorParams
 from wattshift.functions.power import int_div
 from wattshift.operators.detect import detect_events
 from wattshift.operators.frames import overlap_partitions, overlap_suppress
-
-SALTS = 64
-
-
-def join_per_stream(rows: DataFrame, per_stream: DataFrame, spread: str) -> DataFrame:
-    """Join rows with one row per stream, without gathering a stream in one task."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS).cast("long")))
-    copies = per_stream.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
-    )
-    return salted.join(copies, ["stream_id", "_salt"]).drop("_salt")
-
+from wattshift.operators.ordering import number_rows
 
 def provisional_results(features: DataFrame, params: DetectorParams) -> DataFrame:
     """Each overlapping partition judged on its own from a fresh window, overlap answered
@@ -92,24 +81,18 @@ def latest_recheck(events: DataFrame, params: DetectorParams) -> DataFrame:
 
 
 def release_below_bound(results: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Results with ``s < bound`` of their stream."""
+    """Results with ``s < bound`` of their stream; a plain join, whose hot streams Spark splits."""
     return (
-        join_per_stream(results, bounds.select("stream_id", "bound"), "s")
+        results.join(bounds.select("stream_id", "bound"), "stream_id")
         .filter(F.col("s") < F.col("bound"))
         .drop("bound")
     )
 
 
-def contiguous_prefix(results: DataFrame) -> DataFrame:
-    """Results released in sequence 0, 1, 2, ...: those before the stream's first hole."""
-    present = results.select("stream_id", "s")
-    follows = present.select("stream_id", (F.col("s") - 1).alias("s"))
-    start = F.min("s").alias("least")
-    starts_at_zero = present.groupBy("stream_id").agg(start).filter("least = 0")
-    holes = (
-        present.join(follows, ["stream_id", "s"], "left_anti")
-        .groupBy("stream_id")
-        .agg((F.min("s") + 1).alias("bound"))
-        .join(starts_at_zero, "stream_id", "left_semi")
-    )
-    return release_below_bound(results, holes)
+def contiguous_prefix(results: DataFrame, block: int = 65_536) -> DataFrame:
+    """Results released in sequence 0, 1, 2, ...: those before the stream's first hole.
+
+    ``s`` is unique in a stream, so a row is in sequence if its number among all is its ``s``.
+    """
+    numbered = number_rows(results, ["stream_id"], ["s"], int_div(F.col("s"), block), "_place")
+    return numbered.filter(F.col("_place") == F.col("s")).drop("_place")

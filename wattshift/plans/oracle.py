@@ -13,8 +13,8 @@ CURRENT = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 SIGNAL = f"""samples AS (
   SELECT 0::BIGINT AS stream_id, event_id AS i, value AS voltage, {CURRENT} AS current FROM events)"""
 GAPPY = f"""samples AS (
-  SELECT 0::BIGINT AS stream_id, event_id AS i, value AS voltage, {CURRENT} AS current
-  FROM events WHERE event_type <> 'error')"""
+  SELECT 0::BIGINT AS stream_id, event_id + event_id // 7 + (event_id // 1000) * {3 * W1} AS i, value AS voltage,
+    {CURRENT} AS current FROM events)"""
 MULTI = f"""samples AS (
   SELECT user_id % 4 AS stream_id,
     CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS i,
@@ -245,7 +245,7 @@ ORACLE: dict[str, str] = {
     # sources and sinks
     "src_ordered": select(
         SIGNAL, f"SELECT stream_id, i // {W1} AS batch_no, i, voltage, current FROM samples"),
-    "src_out_of_order": select(GAPPY, "SELECT stream_id, i, voltage, current FROM samples"),
+    "src_out_of_order": select(SIGNAL, "SELECT stream_id, i, voltage, current FROM samples"),
     "decode_records": f"""
         WITH marked AS (
           SELECT event_id // {W1} AS batch_no, event_id AS i, value AS voltage, {CURRENT} AS current,
@@ -254,9 +254,9 @@ ORACLE: dict[str, str] = {
         SELECT batch_no, i, voltage, current FROM marked WHERE bad IS NULL OR i < bad""",
     "decode_quarantine": f"""
         SELECT event_id // {W1} AS batch_no, event_id AS i FROM events WHERE event_type = 'error'""",
-    "batch_tag": select(MULTI, f"SELECT stream_id, i, i // {W1} AS batch_no FROM samples"),
+    "batch_tag": select(SIGNAL, f"SELECT stream_id, i, i // {W1} AS batch_no FROM samples"),
     "event_time": select(
-        MULTI,
+        SIGNAL,
         "SELECT stream_id, i, epoch_ms(TIMESTAMP '2020-01-01 00:00:00') + i AS ts_ms FROM samples"),
     "csv_scan": select(SIGNAL, "SELECT i, voltage, current FROM samples"),
     "row_chunks": """
@@ -269,7 +269,7 @@ ORACLE: dict[str, str] = {
     # projections and window metrics
     "instant_power": select(
         SIGNAL, "SELECT stream_id, i, round(voltage * current, 6) AS power FROM samples"),
-    "slot_index": select(MULTI, f"SELECT stream_id, i, i % {W1} AS slot FROM samples"),
+    "slot_index": select(SIGNAL, f"SELECT stream_id, i, i % {W1} AS slot FROM samples"),
     "active_power": select(MULTI, POWER, "SELECT stream_id, window_no, round(p, 6) AS p FROM power"),
     "apparent_power": select(MULTI, POWER, "SELECT stream_id, window_no, round(s, 6) AS s FROM power"),
     "reactive_power": select(MULTI, POWER, "SELECT stream_id, window_no, round(q, 6) AS q FROM power"),
@@ -398,9 +398,9 @@ ORACLE: dict[str, str] = {
           FROM power WHERE n * 10 > {W1 * 6}) WHERE s = place"""),
     # streaming
     "stream_tumbling": select(*ONE, WINDOW_ROWS),
-    "stream_out_of_order": select(GAPPY, POWER, FEATURES, WINDOW_ROWS),
+    "stream_out_of_order": select(SIGNAL, POWER, FEATURES, WINDOW_ROWS),
     "stream_locf": select(GAPPY, LOCF, FEATURES, FEATURE_ROWS),
-    "stream_sort": select(GAPPY, "SELECT stream_id, i, voltage, current FROM samples"),
+    "stream_sort": select(SIGNAL, "SELECT stream_id, i, voltage, current FROM samples"),
     "stream_detect": select(*MANY_RESULTS, RESULT_ROWS),
     "e2e_ordered": select(*ONE_RESULTS, JSON_ROWS),
     "e2e_out_of_order": select(GAPPY, LOCF, FEATURES, DIRECT, DETECTOR, JSON_ROWS),

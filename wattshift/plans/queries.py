@@ -95,7 +95,7 @@ def src_ordered(spark, sf):
 
 @query
 def src_out_of_order(spark, sf):
-    session, stream = _replayed(spark, gappy(spark, sf), PARAMS.max_latency)
+    session, stream = _replayed(spark, signal(spark, sf), PARAMS.max_latency)
     delay = (PARAMS.max_latency + 1) * PARAMS.w1 - 1
     rows = (
         stream.withWatermark("ts", f"{delay} milliseconds")
@@ -146,12 +146,12 @@ def decode_quarantine(spark, sf):
 
 @query
 def batch_tag_rows(spark, sf):
-    return signal_multi(spark, sf).select("stream_id", "i", batch_tag("i", PARAMS.w1).alias("batch_no"))
+    return signal(spark, sf).select("stream_id", "i", batch_tag("i", PARAMS.w1).alias("batch_no"))
 
 
 @query
 def event_time_rows(spark, sf):
-    return signal_multi(spark, sf).select(
+    return signal(spark, sf).select(
         "stream_id", "i", F.unix_millis(event_time("i")).alias("ts_ms")
     )
 
@@ -200,7 +200,7 @@ def instant_power_rows(spark, sf):
 
 @query
 def slot_index_rows(spark, sf):
-    return signal_multi(spark, sf).select("stream_id", "i", slot_index("i", PARAMS.w1).alias("slot"))
+    return signal(spark, sf).select("stream_id", "i", slot_index("i", PARAMS.w1).alias("slot"))
 
 
 def _powered(spark, sf):
@@ -303,9 +303,7 @@ def euclid_distance(spark, sf):
 
 @query
 def noise_points(spark, sf):
-    points = settle(blocks(spark, sf))
-    near = cl.eps_neighbours(points, WINDOW, PARAMS)
-    return cl.noise_points(points, near, WINDOW).select(*WINDOW, "pos")
+    return cl.noise_points(blocks(spark, sf), WINDOW, PARAMS).select(*WINDOW, "pos")
 
 
 @query
@@ -532,7 +530,7 @@ def release_below_bound(spark, sf):
 
 @query
 def contiguous_prefix(spark, sf):
-    """Windows released in sequence until the first one that lost 40 % of its samples."""
+    """Windows released in sequence until the first hole."""
     full = fe.window_sums(gappy(spark, sf), PARAMS).filter(F.col("n") * 10 > PARAMS.w1 * 6)
     return rc.contiguous_prefix(full.select("stream_id", F.col("window_no").alias("s"), "n"))
 
@@ -549,7 +547,7 @@ def stream_tumbling(spark, sf):
 
 @query
 def stream_out_of_order(spark, sf):
-    session, stream = _replayed(spark, gappy(spark, sf), PARAMS.max_latency)
+    session, stream = _replayed(spark, signal(spark, sf), PARAMS.max_latency)
     rows = pl.run_to_files(
         pl.tumbling(stream, PARAMS, PARAMS.max_latency + 1), spark, "out-of-order"
     )
@@ -567,7 +565,7 @@ def stream_locf(spark, sf):
 
 @query
 def stream_sort(spark, sf):
-    session, stream = _replayed(spark, gappy(spark, sf), PARAMS.max_latency)
+    session, stream = _replayed(spark, signal(spark, sf), PARAMS.max_latency)
     return pl.run_to_files(
         pl.sort_by_event_time(stream, PARAMS, PARAMS.max_latency + 1), spark, "sort"
     )
