@@ -6,7 +6,7 @@ milliseconds. Features are ``(stream_id, idx, window_no, f1, f2, size)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattshift.config import DetectorParams
@@ -23,23 +23,40 @@ from wattshift.operators.ordering import number_rows
 from wattshift.session import settle
 
 KEYS = ["stream_id", "window_no"]
-IN_WINDOW = -1  # marks a value counted for a window, where a slot number hands it on
-CROWDED = 8  # rows per slot of a window beyond which copies are combined before a shuffle
+WORD = 62                  # slots per word of a presence bitmap; keeps every word a positive long
+FETCH_BROADCAST = 500_000  # carried readings up to which the list of them is broadcast, about 20 MB
+SUMS = ["n", "sum_vi", "sum_vv", "sum_cc"]
 
 
-def window_sums(samples: DataFrame, params: DetectorParams) -> DataFrame:
-    """Sums behind the power metrics of every tumbling window, combined before the shuffle."""
+def readable(samples: DataFrame) -> DataFrame:
+    """Samples that can be used: a null reading, index or stream makes a sample a missing one."""
+    return samples.filter(" and ".join(f"{c} is not null" for c in ("stream_id", "i", "voltage", "current")))
+
+
+def unreadable(samples: DataFrame) -> DataFrame:
+    """The samples that the features leave out, for quarantine."""
+    return samples.filter(" or ".join(f"{c} is null" for c in ("stream_id", "i", "voltage", "current")))
+
+
+def _sums() -> list[Column]:
     v, c = F.col("voltage"), F.col("current")
-    return (
-        samples.withColumn("window_no", batch_tag("i", params.w1))
-        .groupBy(*KEYS)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(v * c).alias("sum_vi"),
-            F.sum(v * v).alias("sum_vv"),
-            F.sum(c * c).alias("sum_cc"),
-        )
-    )
+    return [F.count(F.lit(1)).alias("n"), F.sum(v * c).alias("sum_vi"), F.sum(v * v).alias("sum_vv"), F.sum(c * c).alias("sum_cc")]
+
+
+def window_sums(samples: DataFrame, params: DetectorParams, present: bool = False) -> DataFrame:
+    """Sums behind the power metrics of every tumbling window, combined before the shuffle.
+
+    With ``present`` also ``words``, a bitmap of the slots that have a reading.
+    """
+    placed = readable(samples).withColumn("window_no", batch_tag("i", params.w1))
+    if not present:
+        return placed.groupBy(*KEYS).agg(*_sums())
+    slot = slot_index("i", params.w1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % WORD).cast("int"))
+    count = -(-params.w1 // WORD)
+    words = [F.bit_or(F.when(int_div(slot, WORD) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"_w{k}") for k in range(count)]
+    return placed.groupBy(*KEYS).agg(*_sums(), *words).select(
+        *KEYS, *SUMS, F.array(*[f"_w{k}" for k in range(count)]).alias("words"))
 
 
 def power_columns(df: DataFrame) -> DataFrame:
@@ -75,143 +92,82 @@ def features(samples: DataFrame, params: DetectorParams) -> DataFrame:
     return _as_features(dense_index(settle(window_sums(samples, params)), params), params)
 
 
-def _latest_readings(samples: DataFrame, crowded: bool, params: DetectorParams) -> DataFrame:
-    """Last reading of each slot in each window, laid out by stream and block of windows.
+def _has(words: Column, slot: Column) -> Column:
+    word = F.get(words, int_div(slot, WORD).cast("int"))
+    return F.call_function("shiftright", word, (slot % WORD).cast("int")).bitwiseAND(1) == 1
+
+
+def _last(items: Column, wanted) -> Column:
+    """``at`` of the last item that is wanted, null if none is."""
+    found = F.filter(items, wanted)
+    return F.get(found, F.size(found) - 1)["at"]
+
+
+def last_with_slot(entries: DataFrame, asked: DataFrame, params: DetectorParams, levels: int = 2) -> DataFrame:
+    """The last entry before each asked place that has the slot: ``(stream_id, at, slot, source)``.
 
-    A block holds ``carry_block`` windows, so its rows fit a task unless samples are copied
-    very often; only then (``crowded``) duplicates are combined before the shuffle as well.
+    ``entries`` is ``(stream_id, at, words)``, ``asked`` is ``(stream_id, at, slot)``. Entries meet in groups of
+    ``carry_block``; what a group does not know is asked of the groups before it, whose bitmaps are the entries one
+    level up. The top level holds one bitmap per ``carry_block ** levels`` windows of a stream.
     """
-    if "batch_no" not in samples.columns:
-        samples = samples.withColumn("batch_no", batch_tag("i", params.w1))
-    latest = F.max("reading").alias("reading")
-    cell = ["stream_id", "block", "slot", "window_no"]
-    readings = (
-        samples.withColumn("window_no", batch_tag("i", params.w1))
-        .withColumn("block", int_div(F.col("window_no"), params.carry_block))
-        .filter("stream_id is not null and block is not null")
-        .select(
-            *[c for c in cell if c != "slot"],
-            slot_index("i", params.w1).alias("slot"),
-            F.struct("batch_no", "voltage", "current").alias("reading"),
-        )
-    )
-    if crowded:
-        readings = readings.groupBy(*cell).agg(latest)
-    return readings.repartition("stream_id", "block").groupBy(*cell).agg(latest)
+    group = int_div(F.col("at"), params.carry_block).cast("long") if levels else (F.col("at") * 0)
+    grouped = entries.withColumn("grp", group)
+    items = grouped.groupBy("stream_id", "grp").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("items"))
+    found = asked.withColumn("grp", group).join(items, ["stream_id", "grp"], "left").select(
+        "stream_id", "at", "slot", "grp",
+        _last(F.col("items"), lambda x: (x["at"] < F.col("at")) & _has(x["words"], F.col("slot"))).alias("source"))
+    if not levels:
+        return found.drop("grp").filter("source is not null")
+    found = settle(found)
+    count = -(-params.w1 // WORD)
+    above = grouped.groupBy("stream_id", F.col("grp").alias("at")).agg(
+        F.array(*[F.bit_or(F.get("words", F.lit(k))) for k in range(count)]).alias("words"))
+    open_ = found.filter("source is null").select("stream_id", F.col("grp").alias("at"), "slot").distinct()
+    known = last_with_slot(above, open_, params, levels - 1)
+    inside = known.select("stream_id", F.col("at").alias("asker"), "slot", F.col("source").alias("grp")).join(items, ["stream_id", "grp"])
+    handed = inside.select("stream_id", F.col("asker").alias("grp"), "slot",
+                           _last(F.col("items"), lambda x: _has(x["words"], F.col("slot"))).alias("source"))
+    return (found.filter("source is not null").select("stream_id", "at", "slot", "source").unionByName(
+        found.filter("source is null").drop("source").join(handed, ["stream_id", "grp", "slot"]).select("stream_id", "at", "slot", "source")))
 
 
 def locf_sums(samples: DataFrame, params: DetectorParams) -> DataFrame:
     """Numbered window sums where short windows are filled with last-known slot values.
 
     The first window of a stream and every window with at least ``w1`` rows stay as they
-    are. Any other window is replaced by the last value of every slot seen so far. Work is
-    keyed by stream and a block of windows, so a long stream spreads over many tasks: inside
-    a block a value is copied into the short windows before the next value of its slot, and
-    one row per slot and block hands the last value on. Without short windows the samples
-    are scanned once and not shuffled at all.
+    are. Any other window takes the last value of every slot seen so far. Bitmaps of the present slots come
+    with the window sums; from them alone follows which slots a short window lacks and which window supplies each.
+    Only those readings are fetched from the samples (and all of a short window that holds copies, to count each
+    slot once), so what moves follows the number of missing samples.
     """
-    numbered = settle(dense_index(settle(window_sums(samples, params)), params))
-    short = numbered.filter((F.col("n") < params.w1) & (F.col("idx") > 0)).select(*KEYS)
-    if short.isEmpty():
-        return numbered
-    crowded = not numbered.filter(F.col("n") > CROWDED * params.w1).isEmpty()
-    slot_key = ["stream_id", "block", "slot"]
-    targets = (
-        short.withColumn("block", int_div(F.col("window_no"), params.carry_block))
-        .groupBy("stream_id", "block")
-        .agg(F.sort_array(F.collect_list("window_no")).alias("targets"))
-    )
-    # Each value counts for the short windows from its own up to the next value of its slot.
-    # The last value of a slot in its block also reaches the window after the block: there
-    # it is handed on, with the window of the slot's first value.
-    order = Window.partitionBy(*slot_key).orderBy("window_no")
-    beyond = (F.col("block") + 1) * params.carry_block
-    last_reach = F.coalesce(F.lead("window_no").over(order) - 1, beyond)
-    at, handed = F.col("at"), F.col("at") == beyond
-    v, c = F.col("reading.voltage"), F.col("reading.current")
-    sums = [
-        F.count(F.lit(1)).alias("n"),
-        F.sum(v * c).alias("sum_vi"),
-        F.sum(v * v).alias("sum_vv"),
-        F.sum(c * c).alias("sum_cc"),
-    ]
-    # One pass over the samples gives both; what it leaves is small and read twice.
-    passed = settle(
-        _latest_readings(samples, crowded, params)
-        .withColumn("last_reach", last_reach)
-        .withColumn("opens", F.first("window_no").over(order))
-        .join(targets, ["stream_id", "block"], "left")
-        .withColumn("at", F.explode(F.sequence("window_no", "last_reach")))
-        .filter(handed | F.array_contains("targets", at))
-        .select(
-            "stream_id", "reading", "opens",
-            F.when(handed, F.col("block")).otherwise(at).alias("at"),
-            F.when(handed, F.col("slot")).otherwise(F.lit(IN_WINDOW)).alias("slot"),
-        )
-        .groupBy("stream_id", "at", "slot")
-        .agg(
-            *sums,
-            F.first(v).alias("voltage"), F.first(c).alias("current"), F.first("opens").alias("opens"),
-        )
-    )
-    inside = passed.filter(F.col("slot") == IN_WINDOW).withColumnRenamed("at", "window_no")
-    edges = passed.filter(F.col("slot") != IN_WINDOW).select(
-        "stream_id", F.col("at").alias("block"), "slot",
-        F.struct("voltage", "current").alias("reading"), "opens",
-    )
-
-    # The value carried into a block counts until the slot's first value in it. An "asked"
-    # row stands before its block's own row, so it sees earlier blocks only.
-    asked = targets.select(
-        "stream_id",
-        "block",
-        F.explode(F.sequence(F.lit(0), F.lit(params.w1 - 1)).cast("array<bigint>")).alias("slot"),
-        F.lit(None).cast(edges.schema["reading"].dataType).alias("reading"),
-        F.lit(None).cast("long").alias("opens"),
-        F.lit(True).alias("asked"),
-    )
-    until = F.col("until")
-    by_block = Window.partitionBy("stream_id", "slot").orderBy("block", F.col("asked").desc())
-    so_far = by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own_row = F.lead("block").over(by_block) == F.col("block")
-    carried = (
-        edges.withColumn("asked", F.lit(False))
-        .unionByName(asked)
-        .select(
-            "stream_id",
-            "block",
-            "asked",
-            F.last("reading", ignorenulls=True).over(so_far).alias("reading"),
-            F.when(own_row, F.lead("opens").over(by_block)).alias("until"),
-        )
-        .filter("asked and reading is not null")
-        .join(targets, ["stream_id", "block"])
-        .select(
-            "stream_id",
-            F.explode(F.filter("targets", lambda w: until.isNull() | (w < until))).alias("window_no"),
-            "reading",
-        )
-        .groupBy(*KEYS)
-        .agg(*sums)
-    )
-
-    names = ["n", "sum_vi", "sum_vv", "sum_cc"]
-    filled = (
-        inside.select(*KEYS, *names)
-        .unionByName(carried)
-        .groupBy(*KEYS)
-        .agg(*[F.sum(name).alias(name) for name in names])
-    )
-    return numbered.alias("own").join(filled.alias("all"), KEYS, "left").select(
-        *KEYS,
-        "idx",
-        *[
-            F.when(F.col("all.n").isNotNull(), F.col(f"all.{name}"))
-            .otherwise(F.col(f"own.{name}"))
-            .alias(name)
-            for name in names
-        ],
-    )
+    samples = readable(samples)
+    if "batch_no" not in samples.columns:
+        samples = samples.withColumn("batch_no", batch_tag("i", params.w1))
+    numbered = settle(dense_index(settle(window_sums(samples, params, present=True)), params))
+    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w))
+    short = numbered.filter((F.col("n") < params.w1) & (F.col("idx") > 0)).withColumn("copies", F.col("n") > bits)
+    slots = F.sequence(F.lit(0).cast("long"), F.lit(params.w1 - 1).cast("long"))
+    entries = numbered.select("stream_id", F.col("window_no").alias("at"), "words")
+    asked = short.select("stream_id", F.col("window_no").alias("at"), F.explode(
+        F.filter(slots, lambda x: ~_has(F.col("words"), x))).alias("slot"))
+    carried = last_with_slot(entries, asked, params)
+    own = short.filter("copies").select("stream_id", F.col("window_no").alias("at"), F.explode(
+        F.filter(slots, lambda x: _has(F.col("words"), x))).alias("slot"), F.col("window_no").alias("source"))
+    wanted = settle(carried.unionByName(own).select(
+        "stream_id", F.col("source").alias("window_no"), "slot", F.col("at").alias("target")))
+    few = wanted.count() <= FETCH_BROADCAST
+    sources = wanted.select("stream_id", "window_no", "slot").distinct()
+    readings = samples.select("stream_id", batch_tag("i", params.w1).alias("window_no"), slot_index("i", params.w1).alias("slot"),
+                              F.struct("batch_no", "voltage", "current").alias("reading"))
+    latest = (readings.join(F.broadcast(sources) if few else sources, ["stream_id", "window_no", "slot"], "left_semi")
+              .groupBy("stream_id", "window_no", "slot").agg(F.max("reading").alias("reading")))
+    added = (latest.join(wanted, ["stream_id", "window_no", "slot"])
+             .select("stream_id", F.col("target").alias("window_no"), "reading.voltage", "reading.current")
+             .groupBy(*KEYS).agg(*_sums()))
+    base = numbered.join(short.select(*KEYS, "copies"), KEYS, "left")
+    keeps = F.coalesce(~F.col("copies"), F.lit(True))
+    return base.alias("own").join(added.alias("more"), KEYS, "left").select(
+        *KEYS, "idx", *[(F.when(keeps, F.col(f"own.{c}")).otherwise(0) + F.coalesce(f"more.{c}", F.lit(0))).alias(c) for c in SUMS])
 
 
 def locf_features(samples: DataFrame, params: DetectorParams) -> DataFrame:
