@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from wattshift.config import DetectorParams
 from wattshift.operators import detect as de
 from wattshift.operators import features as fe
+from wattshift.plans.replay import write_replay
 from wattshift.sources import samples as src
 from wattshift.streaming import pipeline as pl
-from wattshift.streaming.replay import write_replay
 
 P = DetectorParams(w1=8, w2=10, partition=22, eps=0.6, max_latency=3)
 SCHEMA = "stream_id long, batch_no long, i long, voltage double, current double"
@@ -58,10 +58,11 @@ def test_late_and_missing_samples_equal_batch(spark):
 
 def test_too_late_samples_are_dropped(spark, tmp_path):
     path = str(tmp_path / "wire")
-    for step, sent in enumerate([[0, 1, 9, 17, 25], [33, 41], [2, 49], [900], [1900]]):
-        rows = [(0, step, i, 1.0, 2.0) for i in sent]
-        df = src.to_batches(spark.createDataFrame(rows, SCHEMA))
-        df.withColumn("flush", F.lit(sent[0] >= 900)).coalesce(1).write.mode("append").json(path)
+    for step, sent in enumerate([[0, 1, 9], [17, 25], [33, 41], [2, 49]]):
+        rows = [(0, max(i // P.w1 for i in sent), i, 1.0, 2.0) for i in sent]
+        src.to_batches(spark.createDataFrame(rows, SCHEMA)).coalesce(1).write.mode("append").text(path)
+        time.sleep(0.05)
+    src.end_marks(spark.createDataFrame([(0, 6, 49, 1.0, 2.0)], SCHEMA)).coalesce(1).write.mode("append").text(path)
     session = pl.stateful_session(spark)
     stream = src.stream_batches(session, path)
     got = pl.run_to_files(pl.tumbling(stream, P, delay_windows=1), spark, "t").collect()
@@ -83,10 +84,10 @@ def test_restart_goes_on_from_the_checkpoint(spark, tmp_path):
 
     for low, high in ((0, 13), (13, 29), (29, 40)):
         part = given.filter(f"batch_no >= {low} and batch_no < {high}")
-        src.to_batches(part).coalesce(1).write.mode("append").json(path)
+        src.to_batches(part).coalesce(1).write.mode("append").text(path)
         time.sleep(0.05)
         run()
-    src.flush_batches(spark, given, 9000, 99).coalesce(1).write.mode("append").json(path)
+    src.end_marks(given).coalesce(1).write.mode("append").text(path)
     run()
     want = de.detect_all_rows(fe.features(given, P), P)
     got = spark.read.parquet(out).select(want.columns)
@@ -101,19 +102,46 @@ def test_sorter_releases_in_order(spark):
     got = pl.run_to_files(pl.sort_by_event_time(stream, P, P.max_latency + 1), spark, "t")
     columns = ["stream_id", "i", "voltage", "current"]
     assert rows_of(got.select(columns)) == rows_of(given.select(columns))
-    # Within every output file each stream's rows are in time order.
+    # Within every output file the rows of each window are in time order.
     files_of = got.select("*", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at"))
     last = {}
     for r in files_of.orderBy("at").collect():
-        key = (r["f"], r["stream_id"])
+        key = (r["f"], r["stream_id"], r["i"] // P.w1)
         assert r["i"] > last.get(key, -1)
         last[key] = r["i"]
 
 
-def test_flush_closes_streams_of_any_length(spark):
+def test_end_marks_close_streams_of_any_length(spark):
     given = samples(spark, windows=3)
     session = pl.stateful_session(spark)
     path, files = write_replay(spark, given, replace(P, max_latency=20), shuffle_within=2)
     stream = src.stream_batches(session, path, files)
     got = pl.run_to_files(pl.tumbling(stream, P, 21), spark, "t")
     assert got.count() == 6 and got.agg(F.sum("size")).first()[0] == given.count()
+
+
+def test_streams_have_clocks_of_their_own(spark, tmp_path):
+    """One stream is a thousand windows ahead and ends early; the other loses nothing."""
+    path, per = str(tmp_path / "wire"), P.w1
+    def send(rows, ended=()):
+        texts = src.to_batches(spark.createDataFrame(rows, SCHEMA))
+        for e in ended:
+            texts = texts.unionByName(src.end_marks(spark.createDataFrame([(e, 9999, 0, 0.0, 0.0)], SCHEMA)))
+        texts.coalesce(1).write.mode("append").text(path)
+        time.sleep(0.05)
+    for w in range(6):
+        rows = [(0, w, w * per + k, 1.0, 2.0) for k in range(per)]
+        rows += [(1, 1000 + w, (1000 + w) * per + k, 1.0, 2.0) for k in range(per)] if w < 3 else []
+        send(rows, ended=[1] if w == 2 else [])
+    send([(2, 0, 1, 1.0, 2.0)], ended=[0])
+    got = pl.run_to_files(pl.signal_features(src.stream_batches(pl.stateful_session(spark), path), P), spark, "t").collect()
+    assert {(r["stream_id"], r["window_no"]) for r in got} == {(0, w) for w in range(6)} | {(1, 1000 + w) for w in range(3)}
+
+
+def test_small_slices_and_many_groups(spark):
+    given = samples(spark, loss=0.3, windows=50)
+    session = pl.stateful_session(spark)
+    path, files = write_replay(spark, given, P, shuffle_within=P.max_latency)
+    got = pl.run_to_files(pl.signal_results(src.stream_batches(session, path, files), replace(P, partition=11), P.max_latency + 1), spark, "t")
+    want = de.detect_all_rows(fe.locf_features(given, P), P)
+    assert rows_of(got.select(want.columns).na.fill(-9)) == rows_of(want.na.fill(-9))

@@ -253,7 +253,14 @@ ORACLE: dict[str, str] = {
               OVER (PARTITION BY event_id // {W1}) AS bad FROM events)
         SELECT batch_no, i, voltage, current FROM marked WHERE bad IS NULL OR i < bad""",
     "decode_quarantine": f"""
-        SELECT event_id // {W1} AS batch_no, event_id AS i FROM events WHERE event_type = 'error'""",
+        SELECT event_id // {W1} AS batch_no, event_id AS i FROM events
+        WHERE event_type = 'error' AND event_id // {W1} % 5 <> 0
+        UNION ALL SELECT DISTINCT event_id // {W1}, NULL::BIGINT FROM events WHERE event_id // {W1} % 5 = 0""",
+    "null_readings": f"""
+        SELECT 0::BIGINT AS stream_id, event_id // {W1} AS window_no, count(*) AS n, round(avg(v * c), 6) AS p,
+          round(sqrt(avg(v * v)) * sqrt(avg(c * c)), 6) AS s
+        FROM (SELECT event_id, value AS v, {CURRENT} AS c FROM events WHERE event_type <> 'error')
+        GROUP BY event_id // {W1}""",
     "batch_tag": select(SIGNAL, f"SELECT stream_id, i, i // {W1} AS batch_no FROM samples"),
     "event_time": select(
         SIGNAL,
@@ -402,6 +409,11 @@ ORACLE: dict[str, str] = {
     "stream_locf": select(GAPPY, LOCF, FEATURES, FEATURE_ROWS),
     "stream_sort": select(SIGNAL, "SELECT stream_id, i, voltage, current FROM samples"),
     "stream_detect": select(*MANY_RESULTS, RESULT_ROWS),
+    "stream_end_mark": select(*MANY, FEATURE_ROWS),
+    "stream_unequal_clocks": select(
+        f"""samples AS (
+  SELECT event_id % 2 AS stream_id, event_id + (event_id % 2) * {1000 * W1} AS i, value AS voltage, {CURRENT} AS current
+  FROM events)""", POWER, FEATURES, WINDOW_ROWS),
     "e2e_ordered": select(*ONE_RESULTS, JSON_ROWS),
     "e2e_out_of_order": select(GAPPY, LOCF, FEATURES, DIRECT, DETECTOR, JSON_ROWS),
 }

@@ -25,12 +25,12 @@ from wattshift.operators import frames as fr
 from wattshift.operators import reconcile as rc
 from wattshift.operators.ordering import row_chunks
 from wattshift.operators.udtf import detect_udtf
+from wattshift.plans.replay import write_replay
 from wattshift.plans.testbed import BLOCK, PARAMS, events, gappy, signal, signal_multi
 from wattshift.session import scratch_path, settle
 from wattshift.sources import samples as src
 from wattshift.sources.results import read_results, result_json, stream_results
 from wattshift.streaming import pipeline as pl
-from wattshift.streaming.replay import write_replay
 
 WINDOW = ["stream_id", "window_id"]
 # Partitions that do not end where a quiet window would restart, so provisional results err.
@@ -87,7 +87,7 @@ def _replayed(spark, samples, shuffle_within=0):
 @query
 def src_ordered(spark, sf):
     session, stream = _replayed(spark, signal(spark, sf))
-    rows = stream.filter(~F.col("flush")).drop("flush", "ts")
+    rows = stream.filter(~F.col("ended"))
     return pl.run_to_files(rows, spark, "src-ordered").select(
         "stream_id", "batch_no", "i", "voltage", "current"
     )
@@ -96,12 +96,7 @@ def src_ordered(spark, sf):
 @query
 def src_out_of_order(spark, sf):
     session, stream = _replayed(spark, signal(spark, sf), PARAMS.max_latency)
-    delay = (PARAMS.max_latency + 1) * PARAMS.w1 - 1
-    rows = (
-        stream.withWatermark("ts", f"{delay} milliseconds")
-        .filter(~F.col("flush"))
-        .select("stream_id", "i", "voltage", "current")
-    )
+    rows = stream.filter(~F.col("ended")).select("stream_id", "i", "voltage", "current")
     return pl.run_to_files(rows, spark, "src-late")
 
 
@@ -120,14 +115,14 @@ def decode_records(spark, sf):
         e.groupBy(batch_tag("event_id", PARAMS.w1).alias("batch_no"))
         .agg(F.to_json(F.struct(F.sort_array(F.collect_list(record)).alias("records"))).alias("value"))
     )
-    return src.decode_records(src.parse_batches(texts)).select(
+    return src.decode_records(src.parse_batches(texts), on_bad="stop").select(
         "batch_no", "i", "voltage", "current"
     )
 
 
 @query
 def decode_quarantine(spark, sf):
-    """The records of the same texts that cannot be read, with their batch."""
+    """The records of the same texts that cannot be read; every fifth text is unreadable as a whole."""
     e = events(spark, sf)
     record = F.struct(
         F.col("event_id").alias("i"),
@@ -136,12 +131,19 @@ def decode_quarantine(spark, sf):
         .alias("voltage"),
         F.get_json_object("props", "$.k").cast("int").alias("current"),
     )
-    texts = (
-        e.groupBy(batch_tag("event_id", PARAMS.w1).alias("batch_no"))
-        .agg(F.to_json(F.struct(F.sort_array(F.collect_list(record)).alias("records"))).alias("value"))
-    )
-    rows = src.decode_records(src.parse_batches(texts), on_bad="keep")
-    return rows.filter(~F.col("good")).select("batch_no", "i")
+    batches = e.groupBy(batch_tag("event_id", PARAMS.w1).alias("batch_no")).agg(F.sort_array(F.collect_list(record)).alias("records"))
+    whole = F.to_json(F.struct(F.lit(0).alias("stream_id"), "batch_no", "records"))
+    texts = batches.select(F.when(F.col("batch_no") % 5 == 0, F.concat(F.lit('{"stream_id":0,"batch_no":'), "batch_no", F.lit(',"records":7}')))
+                           .otherwise(whole).alias("value"))
+    return src.quarantine(src.wire_batches(texts)).select("batch_no", "i")
+
+
+@query
+def null_readings(spark, sf):
+    """Window sums where failed readings have no voltage: they are missing samples."""
+    rows = signal(spark, sf).join(events(spark, sf).select(F.col("event_id").alias("i"), "event_type"), "i")
+    failed = rows.withColumn("voltage", F.when(F.col("event_type") != "error", F.col("voltage")))
+    return fe.power_columns(fe.window_sums(failed, PARAMS)).select("stream_id", "window_no", "n", r6("p"), r6("s"))
 
 
 @query
@@ -577,6 +579,33 @@ def stream_detect(spark, sf):
     return pl.run_to_files(pl.signal_results(stream, PARAMS, fill=False), spark, "detect")
 
 
+@query
+def stream_end_mark(spark, sf):
+    """Four streams of different lengths; the end mark on the wire releases the last windows of each."""
+    session, stream = _replayed(spark, signal_multi(spark, sf))
+    rows = pl.run_to_files(pl.signal_features(stream, PARAMS, fill=False), spark, "end-mark")
+    return shown_features(rows)
+
+
+@query
+def stream_unequal_clocks(spark, sf):
+    """Two streams, one a thousand windows ahead of the other all the time; neither loses or closes anything of the other."""
+    ahead = signal(spark, sf).withColumn("stream_id", F.col("i") % 2).withColumn("i", F.col("i") + F.col("stream_id") * 1000 * PARAMS.w1)
+    moved = ahead.withColumn("batch_no", batch_tag("i", PARAMS.w1))
+    session = pl.stateful_session(spark)
+    # Both streams arrive together: files follow the position in the stream, not the batch number.
+    path = scratch_path(spark, "unequal")
+    part = int_div(F.col("i") - F.col("stream_id") * 1000 * PARAMS.w1, PARAMS.w1) % 1_000_000
+    steps = moved.withColumn("_at", part)
+    last = steps.agg(F.max("_at")).first()[0] or 0
+    for step in range(3):
+        low, high = step * (last // 3 + 1), (step + 1) * (last // 3 + 1)
+        src.to_batches(steps.filter((F.col("_at") >= low) & (F.col("_at") < high))).repartition(1).write.mode("append").text(path)
+    src.end_marks(moved).repartition(1).write.mode("append").text(path)
+    rows = pl.run_to_files(pl.tumbling(src.stream_batches(session, path), PARAMS), spark, "clocks")
+    return rows.select("stream_id", "window_no", r6("f1"), r6("f2"), "size")
+
+
 def _end_to_end(spark, samples, delay_windows, shuffle_within=0):
     """Wire files in, one JSON result per feature out."""
     session, stream = _replayed(spark, samples, shuffle_within)

@@ -1,31 +1,47 @@
 """Streaming queries: windows, gap filling, detection, ordered release.
 
-Input streams are decoded samples ``(stream_id, batch_no, i, voltage, current, flush, ts)``.
+Input streams are decoded samples ``(stream_id, batch_no, i, voltage, current, ended, ts)``; a row with ``ended`` is the
+stream's end mark. Every stream has a clock of its own, the number of its newest batch: a stream that lags behind others
+loses nothing, and its end closes no other.
+
+Rows are packed before the shuffle: sums per window where nothing has to be filled, arrays of readings per slot group
+otherwise. So a stream's samples are spread over ``groups`` keys, and the key of the whole stream sees one
+small row per closed window and group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattshift.config import DetectorParams
-from wattshift.functions.power import slot_index
-from wattshift.operators.features import feature_columns, power_columns
 from wattshift.session import scratch_path
-from wattshift.sources.samples import window_number
 from wattshift.streaming.processors import (
     FEATURE_SCHEMA,
+    PART_SCHEMA,
     RESULT_SCHEMA,
     EventTimeSorter,
     SignalProcessor,
+    SlotSums,
+    WindowSums,
 )
 
+GROUPS = 8   # keys over which the samples of one stream are spread
+
+_CLOCK = "stream_id long, grp long, clock long, ended boolean, "
+PACKED_SUMS = _CLOCK + "window_no array<long>, n array<long>, sum_vi array<double>, sum_vv array<double>, sum_cc array<double>"
+PACKED_READINGS = _CLOCK + "i array<long>, batch array<long>, voltage array<double>, current array<double>"
 
-def stateful_session(spark: SparkSession) -> SparkSession:
+
+def stateful_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
     """A session of the same application set up for keyed state.
 
     State partitions are fixed for the life of a query, so they follow the cluster's cores
-    instead of a batch setting that may be far off.
+    or the shuffle setting, whichever is larger, unless a number is given.
     """
     session = spark.newSession()
     session.conf.set(
@@ -35,69 +51,85 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     session.conf.set(
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"
     )
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cores = spark.sparkContext.defaultParallelism
-    session.conf.set("spark.sql.shuffle.partitions", str(min(wanted, cores)))
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions or wanted))
     session.conf.set("spark.sql.session.timeZone", "UTC")
     return session
 
 
+def _usable(rows: pd.DataFrame) -> pd.DataFrame:
+    """Samples without a null; end marks and unreadable samples are not among them."""
+    return rows[rows[["i", "voltage", "current"]].notna().all(axis=1)]
+
+
+def _pack_sums(w1: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for stream, rows in batch.groupby("stream_id"):
+                good = _usable(rows)
+                v, c = good["voltage"].to_numpy(float), good["current"].to_numpy(float)
+                window, at = np.unique(good["i"].to_numpy(np.int64) // w1, return_inverse=True)
+                sums = [np.bincount(at, x, len(window)).tolist() for x in (v * c, v * v, c * c)]
+                out.append((stream, 0, rows["batch_no"].max(), bool(rows["ended"].any()), window.tolist(), np.bincount(at, minlength=len(window)).tolist(), *sums))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in PACKED_SUMS.split(", ")])
+    return run
+
+
+def _pack_readings(w1: int, groups: int, by_window: bool):
+    """Every group of a stream gets the clock, also where no sample is its own."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for stream, rows in batch.groupby("stream_id"):
+                good = _usable(rows)
+                i = good["i"].to_numpy(np.int64)
+                group = (i // w1 if by_window else i % w1) % groups
+                values = [i, *[good[c].to_numpy() for c in ("batch_no", "voltage", "current")]]
+                for g in range(groups):
+                    own = group == g
+                    out.append((stream, g, rows["batch_no"].max(), bool(rows["ended"].any()), *[x[own].tolist() for x in values]))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in PACKED_READINGS.split(", ")])
+    return run
+
+
+def _pack(samples: DataFrame, packer, schema: str) -> DataFrame:
+    columns = samples.filter("stream_id is not null and batch_no is not null").select(
+        "stream_id", "batch_no", "i", "voltage", "current", "ended")
+    return columns.mapInPandas(packer, schema)
+
+
 def closed_windows(
-    samples: DataFrame, params: DetectorParams, delay_windows: int = 1, cells: bool = False
+    samples: DataFrame, params: DetectorParams, delay_windows: int = 1, fill: bool = False, groups: int = GROUPS
 ) -> DataFrame:
-    """Sums of each tumbling window once the watermark closes it.
+    """Shares of each tumbling window once the stream's clock closes it (``PART_SCHEMA``).
 
     ``delay_windows`` is how many windows a sample may lag behind the newest one: 1 for
     ordered input, ``max_latency + 1`` for out-of-order input. Later samples are dropped.
     """
-    real = ~F.col("flush")
-    v, c = F.col("voltage"), F.col("current")
-    aggregates = [
-        F.count_if(real).alias("n"),
-        F.sum(F.when(real, v * c)).alias("sum_vi"),
-        F.sum(F.when(real, v * v)).alias("sum_vv"),
-        F.sum(F.when(real, c * c)).alias("sum_cc"),
-    ]
-    if cells:
-        cell = F.struct(slot_index("i", params.w1).alias("slot"), "batch_no", "voltage", "current")
-        aggregates.append(F.collect_set(F.when(real, cell)).alias("cells"))
-    delay_ms = delay_windows * params.w1 - 1
-    windows = (
-        samples.withWatermark("ts", f"{delay_ms} milliseconds")
-        .groupBy("stream_id", F.window("ts", f"{params.w1} milliseconds"))
-        .agg(*aggregates)
-        .filter("n > 0")
-        .withColumn("window_no", window_number(F.col("window.start"), params.w1))
-    )
-    if cells:
-        # In order of arrival, so that the last reading of a slot wins.
-        windows = windows.withColumn("cells", F.sort_array("cells")).select(
-            "*",
-            F.col("cells.slot").alias("slot"),
-            F.col("cells.voltage").alias("v"),
-            F.col("cells.current").alias("c"),
-        )
-    return windows.drop("window", "cells")
-
-
-def tumbling(samples: DataFrame, params: DetectorParams, delay_windows: int = 1) -> DataFrame:
-    """Stateless power point of every closed window (no dense index)."""
-    powered = power_columns(closed_windows(samples, params, delay_windows))
-    return powered.select(
-        "stream_id", "window_no", *feature_columns(powered, params), F.col("n").alias("size")
-    )
+    if fill:
+        packed = _pack(samples, _pack_readings(params.w1, groups, by_window=False), PACKED_READINGS)
+        processor = SlotSums(params, groups, delay_windows)
+    else:
+        packed, processor = _pack(samples, _pack_sums(params.w1), PACKED_SUMS), WindowSums(delay_windows)
+    return packed.groupBy("stream_id", "grp").transformWithStateInPandas(processor, PART_SCHEMA, "append", "none")
 
 
 def signal_features(
     samples: DataFrame, params: DetectorParams, delay_windows: int = 1, fill: bool = True
 ) -> DataFrame:
     """Numbered features, short windows filled with last-known values."""
-    return (
-        closed_windows(samples, params, delay_windows, cells=fill)
-        .groupBy("stream_id")
-        .transformWithStateInPandas(
-            SignalProcessor(params, fill, detect=False), FEATURE_SCHEMA, "append", "none"
-        )
+    return closed_windows(samples, params, delay_windows, fill).groupBy("stream_id").transformWithStateInPandas(
+        SignalProcessor(params, detect=False), FEATURE_SCHEMA, "append", "none")
+
+
+def tumbling(samples: DataFrame, params: DetectorParams, delay_windows: int = 1) -> DataFrame:
+    """Power point of every closed window from its own samples (no dense index)."""
+    from wattshift.operators.features import feature_columns, power_columns
+
+    powered = power_columns(closed_windows(samples, params, delay_windows))
+    return powered.select(
+        "stream_id", F.col("first_window").alias("window_no"), *feature_columns(powered, params), F.col("n").alias("size")
     )
 
 
@@ -105,31 +137,17 @@ def signal_results(
     samples: DataFrame, params: DetectorParams, delay_windows: int = 1, fill: bool = True
 ) -> DataFrame:
     """One detection result per feature, as soon as its window closes."""
-    return (
-        closed_windows(samples, params, delay_windows, cells=fill)
-        .groupBy("stream_id")
-        .transformWithStateInPandas(
-            SignalProcessor(params, fill, detect=True), RESULT_SCHEMA, "append", "none"
-        )
-    )
+    return closed_windows(samples, params, delay_windows, fill).groupBy("stream_id").transformWithStateInPandas(
+        SignalProcessor(params, detect=True), RESULT_SCHEMA, "append", "none")
 
 
 def sort_by_event_time(
-    samples: DataFrame, params: DetectorParams, delay_windows: int
+    samples: DataFrame, params: DetectorParams, delay_windows: int, groups: int = GROUPS
 ) -> DataFrame:
-    """Samples of each stream released in event-time order behind the watermark."""
-    delay_ms = delay_windows * params.w1 - 1
-    return (
-        samples.withWatermark("ts", f"{delay_ms} milliseconds")
-        .withColumn("at_ms", F.unix_millis("ts"))
-        .groupBy("stream_id")
-        .transformWithStateInPandas(
-            EventTimeSorter(params.w1),
-            "stream_id long, i long, voltage double, current double",
-            "append",
-            "EventTime",
-        )
-    )
+    """Samples of each window released in event-time order behind the stream's clock."""
+    packed = _pack(samples, _pack_readings(params.w1, groups, by_window=True), PACKED_READINGS)
+    return packed.groupBy("stream_id", "grp").transformWithStateInPandas(
+        EventTimeSorter(params, delay_windows), "stream_id long, i long, voltage double, current double", "append", "none")
 
 
 def run_available(writer) -> None:

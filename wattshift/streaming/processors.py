@@ -1,11 +1,14 @@
-"""Per-stream state for the streaming operators.
+"""Keyed state of the streaming operators.
 
-The windowed aggregation upstream emits each closed window once, later windows in later
-batches, so a processor sorts the few rows of a batch and goes on from its state.
+Input comes packed (see ``pipeline``): one row per key and Arrow batch, with the key's clock. The clock of a stream is the
+number of its newest batch and belongs to that stream alone. A window ``w`` closes when the clock reaches
+``w + delay``, or at the stream's end mark. Rows of closed windows are late and dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
@@ -13,10 +16,16 @@ from pyspark.sql.streaming import StatefulProcessor
 from wattshift.config import DetectorParams
 from wattshift.operators import kernel
 
+PART_SCHEMA = (
+    "stream_id long, first_window long, last_window long, n long, sum_vi double, sum_vv double, sum_cc double, "
+    "filled_n long, filled_vi double, filled_vv double, filled_cc double"
+)
 FEATURE_SCHEMA = "stream_id long, idx long, window_no long, f1 double, f2 double, size long"
 RESULT_SCHEMA = (
     "stream_id long, s long, d boolean, event_s long, event_start long, event_end long"
 )
+OPEN = -(1 << 62)   # clock of a stream that has not closed anything
+ENDED = 1 << 62     # clock behind the end mark
 
 
 def _power_point(sums: np.ndarray, use_log: bool) -> np.ndarray:
@@ -29,53 +38,175 @@ def _power_point(sums: np.ndarray, use_log: bool) -> np.ndarray:
         return np.log(both) if use_log else both
 
 
-class SignalProcessor(StatefulProcessor):
-    """Closed windows to features, with gap filling, and on to detection results.
+def _sums(v: np.ndarray, c: np.ndarray) -> tuple[int, float, float, float]:
+    return len(v), float((v * c).sum()), float((v * v).sum()), float((c * c).sum())
+
+
+class _Clocked(StatefulProcessor):
+    """Values wait under their window until the key's clock closes it. A micro-batch adds one entry per window and Arrow
+    batch; entries are never rewritten."""
+
+    delay: int
+
+    def init(self, handle) -> None:
+        self.clock = handle.getValueState("clock", "closed long, entries long")
+        self.waiting = handle.getMapState("waiting", "window_no long, entry long", "block binary")
+
+    def absorb(self, rows, windows_of) -> tuple[dict[int, list[np.ndarray]], int, int]:
+        """Store the rows of open windows; return the windows that close now with their rows, and the closed bounds before
+        and after. windows_of turns a packed row into (window numbers, table of values)."""
+        before, entries = self.clock.get() if self.clock.exists() else (OPEN, 0)
+        closed, arrived = before, []
+        for packed in rows:
+            for row in packed.itertuples(index=False):
+                closed = max(closed, ENDED if row.ended else row.clock - self.delay)
+                windows, table = windows_of(row)
+                order = np.argsort(windows, kind="stable")
+                windows, table = windows[order], table[order]
+                fresh = windows > before
+                for part in np.split(np.flatnonzero(fresh), np.flatnonzero(np.diff(windows[fresh])) + 1):
+                    if len(part):
+                        arrived.append((int(windows[part[0]]), table[part]))
+        due: dict[int, list[np.ndarray]] = {}
+        if closed > before:
+            for (window, entry), (block,) in list(self.waiting.iterator()):
+                if window <= closed:
+                    due.setdefault(window, []).append(np.frombuffer(block).reshape(-1, self.width))
+                    self.waiting.removeKey((window, entry))
+        for window, table in arrived:
+            if window <= closed:
+                due.setdefault(window, []).append(table)
+            else:
+                self.waiting.updateValue((window, entries), (np.ascontiguousarray(table, float).tobytes(),))
+                entries += 1
+        self.clock.update((closed, entries))
+        return due, before, closed
+
+    def close(self) -> None:
+        pass
+
+
+class WindowSums(_Clocked):
+    """Closed windows of a stream from partial sums: one row per window."""
+
+    width = 4
+
+    def __init__(self, delay: int) -> None:
+        self.delay = delay
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due, _, _ = self.absorb(rows, lambda r: (np.asarray(r.window_no), np.stack([np.asarray(r.n, float), r.sum_vi, r.sum_vv, r.sum_cc], 1)))
+        out = []
+        for window, tables in sorted(due.items()):
+            n, vi, vv, cc = np.concatenate(tables).sum(axis=0)
+            out.append((key[0], window, window, int(n), vi, vv, cc, int(n), vi, vv, cc))
+        yield _frame(out, PART_SCHEMA)
+
 
-    State per stream: the feature counter, the last value of each slot (if ``fill``), and the
-    last ``w2`` features with the detection window's start (if ``detect``).
+class SlotSums(_Clocked):
+    """The share of one slot group in a stream's closed windows: own sums, and sums with the last value of every slot.
+
+    A run of windows without a sample of the group is one row. State holds the last reading per slot of the group.
     """
 
-    def __init__(self, params: DetectorParams, fill: bool, detect: bool) -> None:
-        self.params, self.fill, self.detect = params, fill, detect
+    width = 4   # slot in the group, batch, voltage, current
+
+    def __init__(self, params: DetectorParams, groups: int, delay: int) -> None:
+        self.w1, self.groups, self.delay = params.w1, groups, delay
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState(
-            "signal", "count long, slots binary, start long, recent binary"
-        )
+        super().init(handle)
+        self.last = handle.getValueState("last", "readings binary, window_no long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        w1, groups = self.w1, self.groups
+
+        def unpack(r):
+            i = np.asarray(r.i, np.int64)
+            return i // w1, np.stack([(i % w1) // groups, np.asarray(r.batch, float), r.voltage, r.current], 1)
+
+        due, before, closed = self.absorb(rows, unpack)
+        stored, at = self.last.get() if self.last.exists() else (b"", None)
+        held = np.frombuffer(stored).reshape(3, -1).copy() if stored else np.zeros((3, -(-w1 // groups)))
+        out = []
+
+        def run(first: int, last: int, own) -> None:
+            known = held[0] == 1.0
+            out.append((key[0], first, last, *own, *_sums(held[1, known], held[2, known])))
+
+        for window, tables in sorted(due.items()):
+            if at is not None and window > at + 1:
+                run(at + 1, window - 1, (0, 0.0, 0.0, 0.0))
+            t = np.concatenate(tables)
+            t = t[np.lexsort((t[:, 3], t[:, 2], t[:, 1]))]     # the greatest (batch, voltage, current) of a slot counts
+            slot = t[:, 0].astype(int)
+            held[0, slot], held[1, slot], held[2, slot] = 1.0, t[:, 2], t[:, 3]
+            run(window, window, _sums(t[:, 2], t[:, 3]))
+            at = window
+        if at is not None and closed != ENDED and closed > at:
+            run(at + 1, closed, (0, 0.0, 0.0, 0.0))
+            at = closed
+        elif at is not None and closed == ENDED and before != ENDED:
+            run(at + 1, ENDED, (0, 0.0, 0.0, 0.0))
+        if at is not None:
+            self.last.update((held.tobytes(), at))
+        yield _frame(out, PART_SCHEMA)
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values("window_no", ignore_index=True)
-        count, slots, start, recent = (
-            self.state.get() if self.state.exists() else (0, b"", 0, b"")
-        )
-        sums = batch[["n", "sum_vi", "sum_vv", "sum_cc"]].to_numpy(dtype=float)
-        if self.fill:
-            slots = self._fill(batch, sums, count, slots)
-        points = _power_point(sums, self.params.use_log)
-        idx = np.arange(count, count + len(batch))
-        if self.detect:
-            out, start, recent = self._detect(points, count, start, recent)
-        else:
-            out = pd.DataFrame({
-                "idx": idx, "window_no": batch["window_no"],
-                "f1": points[:, 0], "f2": points[:, 1], "size": sums[:, 0].astype("int64"),
-            })
-        out.insert(0, "stream_id", key[0])
-        self.state.update((int(count + len(batch)), slots, int(start), recent))
-        yield out
-
-    def _fill(self, batch, sums, count: int, stored: bytes) -> bytes:
-        w1 = self.params.w1
-        held = (
-            np.frombuffer(stored).reshape(3, w1).copy() if stored else np.zeros((3, w1))
-        )  # known flag, voltage, current
-        for r, (slots, v, c) in enumerate(zip(batch["slot"], batch["v"], batch["c"])):
-            held[0, slots], held[1, slots], held[2, slots] = 1.0, v, c
-            if sums[r, 0] < w1 and count + r > 0:
-                v, c = held[1:, held[0] == 1.0]
-                sums[r] = len(v), (v * c).sum(), (v * v).sum(), (c * c).sum()
-        return held.tobytes()
+
+class SignalProcessor(StatefulProcessor):
+    """Closed windows of a stream to features, and on to detection results.
+
+    All slot groups of a stream close the same windows in the same micro-batch; here their shares are added up, so memory
+    is one small row per closed window. State: the feature counter, and for detection the last ``w2`` features
+    with the window's start. Detection goes in slices of ``partition`` features.
+    """
+
+    def __init__(self, params: DetectorParams, detect: bool, index: bool = True) -> None:
+        self.params, self.detect, self.index = params, detect, index
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("signal", "count long, start long, recent binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        windows, sums = self._add_up(rows)
+        count, start, recent = self.state.get() if self.state.exists() else (0, 0, b"")
+        for at in range(0, len(windows), self.params.partition):
+            part = slice(at, at + self.params.partition)
+            own = (sums[part, 0] >= self.params.w1) | (np.arange(count, count + len(windows[part])) == 0)
+            points = _power_point(np.where(own[:, None], sums[part, :4], sums[part, 4:]), self.params.use_log)
+            if self.detect:
+                out, start, recent = self._detect(points, count, start, recent)
+            else:
+                out = pd.DataFrame({
+                    "idx": np.arange(count, count + len(points)), "window_no": windows[part], "f1": points[:, 0], "f2": points[:, 1],
+                    "size": np.where(own, sums[part, 0], sums[part, 4]).astype("int64"),
+                })
+            out.insert(0, "stream_id", key[0])
+            count += len(points)
+            yield out
+        self.state.update((int(count), int(start), recent))
+
+    def _add_up(self, rows) -> tuple[np.ndarray, np.ndarray]:
+        """Windows with samples, in order, and their summed shares (own four, filled four)."""
+        total: dict[int, np.ndarray] = {}
+        empty: list[tuple[int, int, np.ndarray]] = []
+        for packed in rows:
+            values = packed.iloc[:, 3:].to_numpy(dtype=float)
+            for first, last, v in zip(packed["first_window"], packed["last_window"], values):
+                if v[0]:
+                    total[first] = total[first] + v if first in total else v
+                else:
+                    empty.append((first, last, v))
+        windows = np.array(sorted(total), np.int64)
+        sums = np.array([total[w] for w in windows.tolist()]).reshape(-1, 8)
+        for first, last, v in empty:
+            a, b = np.searchsorted(windows, (first, last + 1))
+            sums[a:b] += v
+        return windows, sums
 
     def _detect(self, points, count: int, start: int, stored: bytes):
         w2 = self.params.w2
@@ -101,41 +232,22 @@ class SignalProcessor(StatefulProcessor):
         pass
 
 
-class EventTimeSorter(StatefulProcessor):
-    """Releases rows in event-time order once the watermark has passed them.
-
-    Rows wait in map state under the span of time they fall in; one event-time timer per
-    span releases it, sorted, when no more rows of it can come.
-    """
+class EventTimeSorter(_Clocked):
+    """Releases the samples of every ``groups``-th window of a stream in time order once the stream's clock has passed them."""
 
-    def __init__(self, span_ms: int) -> None:
-        self.span_ms = span_ms
+    width = 3   # i, voltage, current
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState(
-            "waiting", "span long", "i array<bigint>, voltage array<double>, current array<double>"
-        )
+    def __init__(self, params: DetectorParams, delay: int) -> None:
+        self.w1, self.delay = params.w1, delay
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows))
-        batch = batch[~batch["flush"] & (batch["at_ms"] > timerValues.getCurrentWatermarkInMs())]
-        for span, group in batch.groupby(batch["at_ms"] // self.span_ms):
-            at = (int(span),)
-            found = [group[c].tolist() for c in ("i", "voltage", "current")]
-            if self.waiting.containsKey(at):
-                found = [list(a) + b for a, b in zip(self.waiting.getValue(at), found)]
-            self.waiting.updateValue(at, tuple(found))
-            self.handle.registerTimer((at[0] + 1) * self.span_ms - 1)
-        yield pd.DataFrame([], columns=["stream_id", "i", "voltage", "current"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at = (expiredTimerInfo.getExpiryTimeInMs() // self.span_ms,)
-        i, voltage, current = self.waiting.getValue(at)
-        self.waiting.removeKey(at)
-        out = pd.DataFrame({"i": i, "voltage": voltage, "current": current})
-        out.insert(0, "stream_id", key[0])
-        yield out.sort_values(["i", "voltage", "current"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        def unpack(r):
+            i = np.asarray(r.i, np.int64)
+            return i // self.w1, np.stack([i.view(float), np.asarray(r.voltage, float), np.asarray(r.current, float)], 1)
 
-    def close(self) -> None:
-        pass
+        due, _, _ = self.absorb(rows, unpack)
+        for _, tables in sorted(due.items()):
+            t = np.concatenate(tables)
+            out = pd.DataFrame({"i": np.ascontiguousarray(t[:, 0]).view(np.int64), "voltage": t[:, 1], "current": t[:, 2]})
+            out.insert(0, "stream_id", key[0])
+            yield out.sort_values(["i", "voltage", "current"])
