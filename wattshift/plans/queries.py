@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattshift import job
 from wattshift.functions.power import (
     batch_tag,
     euclidean,
@@ -29,7 +30,7 @@ from wattshift.plans.replay import write_replay
 from wattshift.plans.testbed import BLOCK, PARAMS, events, gappy, signal, signal_multi
 from wattshift.session import scratch_path, settle
 from wattshift.sources import samples as src
-from wattshift.sources.results import read_results, result_json, stream_results
+from wattshift.sources.results import result_json
 from wattshift.streaming import pipeline as pl
 
 WINDOW = ["stream_id", "window_id"]
@@ -606,21 +607,19 @@ def stream_unequal_clocks(spark, sf):
     return rows.select("stream_id", "window_no", r6("f1"), r6("f2"), "size")
 
 
-def _end_to_end(spark, samples, delay_windows, shuffle_within=0):
+def _end_to_end(spark, samples, late):
     """Wire files in, one JSON result per feature out."""
-    session, stream = _replayed(spark, samples, shuffle_within)
-    out = scratch_path(spark, "results")
-    results = pl.signal_results(stream, PARAMS, delay_windows)
-    pl.run_available(stream_results(results, f"{out}/rows", f"{out}/checkpoint"))
-    return result_json(read_results(spark, f"{out}/rows"))
+    source, files = write_replay(spark, samples, PARAMS, shuffle_within=PARAMS.max_latency if late else 0)
+    target = scratch_path(spark, "results")
+    job.run(spark, source, target, late, PARAMS, files_per_trigger=files)
+    return result_json(job.results(spark, target))
 
 
 @query
 def e2e_ordered(spark, sf):
-    return _end_to_end(spark, signal(spark, sf), 1)
+    return _end_to_end(spark, signal(spark, sf), late=False)
 
 
 @query
 def e2e_out_of_order(spark, sf):
-    late = PARAMS.max_latency
-    return _end_to_end(spark, gappy(spark, sf), late + 1, shuffle_within=late)
+    return _end_to_end(spark, gappy(spark, sf), late=True)
