@@ -23,6 +23,8 @@ from wattshift.operators.clustering import (
 from wattshift.session import settle
 
 
+WINDOWS_AT_ONCE = 500  # windows that detect_window judges in one kernel run
+
 def cluster_pairs(stats: DataFrame, keys: list[str]) -> DataFrame:
     """All unordered pairs of a window's clusters, ``c1`` starting first."""
     one = stats.select(*keys, F.col("cluster_id").alias("c1"), F.col("u").alias("u1"), F.col("v").alias("v1"))
@@ -108,10 +110,14 @@ def suffix_cuts(points: DataFrame, keys: list[str]) -> DataFrame:
 def backward_pass(points: DataFrame, keys: list[str], params: DetectorParams) -> DataFrame:
     """Event of each window after dropping leading points while one remains visible.
 
-    ``pos`` counts from 0 in each window. The bounds are the interval's positions plus one.
+    ``pos`` counts from 0 in each window. The bounds are the interval's positions plus one. Only windows that show an
+    event as a whole are cut further.
     """
     cut_keys = [*keys, "cut"]
-    assigned = settle(cluster_assign(suffix_cuts(points, keys), cut_keys, params))
+    whole = settle(cluster_assign(points, keys, params))
+    shown = best_candidate(candidate_loss(event_candidates(whole, keys, params), whole, keys), keys, params)
+    busy = points.join(shown.select(*keys), keys, "left_semi")
+    assigned = settle(cluster_assign(suffix_cuts(busy, keys), cut_keys, params))
     found = best_candidate(
         candidate_loss(event_candidates(assigned, cut_keys, params), assigned, cut_keys),
         cut_keys, params,
@@ -135,19 +141,26 @@ def detect_window(points: DataFrame, keys: list[str], params: DetectorParams) ->
     """Forward and backward pass of each window in one Arrow-batched step."""
     eps, locality = params.eps, params.min_locality
 
-    @F.pandas_udf("struct<event_start:int,event_end:int>")
-    def judge(f1: pd.Series, f2: pd.Series) -> pd.DataFrame:
+    def many(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[tuple]:
+        """All windows behind one another, parted by points that are near nothing, in one kernel run."""
+        reach = max(len(x) for x in xs) - 1
+        if reach < 1:
+            return [(None, None)] * len(xs)
+        gap = np.full(reach, np.nan)
+        line = [np.concatenate([part for x in values for part in (gap, x)]) for values in (xs, ys)]
+        first, last = kernel.backward_pass(*kernel.window_intervals(*line, reach, eps, locality))[:2]
+        ends = np.cumsum([len(x) + reach for x in xs]) - 1 - reach
         rows = []
-        for x, y in zip(f1, f2):
+        for x, end in zip(xs, ends):
             k = len(x) - 1
-            if k < 1:
-                rows.append((None, None))
-                continue
-            bounds = kernel.backward_pass(
-                *kernel.window_intervals(np.asarray(x), np.asarray(y), k, eps, locality)
-            )
-            a, b = int(bounds[0][k, 0]), int(bounds[1][k, 0])
-            rows.append((None, None) if a == kernel.NONE else (k - a + 1, k - b + 1))
+            a, b = int(first[k, end]), int(last[k, end])
+            rows.append((None, None) if k < 1 or a == kernel.NONE else (k - a + 1, k - b + 1))
+        return rows
+
+    @F.pandas_udf("struct<event_start:int,event_end:int>")
+    def judge(f1: pd.Series, f2: pd.Series) -> pd.DataFrame:
+        xs, ys = ([np.asarray(v, float) for v in f] for f in (f1, f2))
+        rows = [r for at in range(0, len(xs), WINDOWS_AT_ONCE) for r in many(xs[at: at + WINDOWS_AT_ONCE], ys[at: at + WINDOWS_AT_ONCE])]
         return pd.DataFrame(rows, columns=["event_start", "event_end"]).astype("Int32")
 
     return (
