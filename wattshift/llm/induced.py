@@ -27,12 +27,13 @@ BLOCK = 1 << 16
 class DiskQueue:
     """A sequence of (position, prefix) tuples, first in first out; what exceeds the memory limit goes to a file.
 
-    Tuples pushed one after another gather in a block, which is closed when it is full or asked for.
+    Tuples pushed one after another gather in a block, which is closed when it is full or asked for. ``kinds`` are the
+    integer types that hold positions and prefixes.
     """
 
-    def __init__(self, folder: str, memory: int) -> None:
-        self.folder, self.memory = folder, memory
-        self.blocks: list[np.ndarray | tuple[int, int]] = []
+    def __init__(self, folder: str, memory: int, kinds: tuple[type, type] = (np.int64, np.int64)) -> None:
+        self.folder, self.memory, self.kinds = folder, memory, kinds
+        self.blocks: list[tuple[np.ndarray, np.ndarray] | tuple[int, int]] = []
         self.tail: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = self.held = self.at = 0
         self.file = None
@@ -41,33 +42,34 @@ class DiskQueue:
         return len(self.blocks) + bool(self.tail)
 
     def push(self, positions: np.ndarray, prefix: np.ndarray) -> None:
-        self.tail.append((positions, prefix))
+        self.tail.append((positions.astype(self.kinds[0]), prefix.astype(self.kinds[1])))
         self.waiting += len(positions)
         if self.waiting >= BLOCK:
             self._close_block()
 
     def _close_block(self) -> None:
-        block = np.array([np.concatenate([x[k] for x in self.tail]) for k in (0, 1)], np.int64)
+        block = tuple(np.concatenate([x[k] for x in self.tail]) for k in (0, 1))
         self.tail, self.waiting = [], 0
-        if self.held + block.shape[1] > self.memory:
+        if self.held + len(block[0]) > self.memory:
             if self.file is None:
                 self.file = tempfile.TemporaryFile(dir=self.folder)
             self.file.seek(self.at)
-            self.file.write(block.tobytes())
-            self.blocks.append((self.at, block.shape[1]))
-            self.at += block.nbytes
+            self.file.write(block[0].tobytes() + block[1].tobytes())
+            self.blocks.append((self.at, len(block[0])))
+            self.at += block[0].nbytes + block[1].nbytes
         else:
             self.blocks.append(block)
-            self.held += block.shape[1]
+            self.held += len(block[0])
 
     def get(self, i: int) -> np.ndarray:
+        """Block i as rows of positions and prefixes, a copy."""
         if i == len(self.blocks):
             self._close_block()
-        block = self.blocks[i]
-        if isinstance(block, tuple):
-            self.file.seek(block[0])
-            block = np.frombuffer(self.file.read(16 * block[1]), np.int64).reshape(2, block[1])
-        return block
+        first, second = self.blocks[i]
+        if isinstance(first, int):
+            self.file.seek(first)
+            first, second = (np.frombuffer(self.file.read(second * np.dtype(k).itemsize), k) for k in self.kinds)
+        return np.array([first, second], np.int64)
 
     def close(self) -> None:
         if self.file is not None:
@@ -89,6 +91,7 @@ class Shard:
 
     def __init__(self, text: np.ndarray, depth: int, folder: str, memory: int = 1 << 20) -> None:
         self.t, self.depth, self.folder, self.memory = text, depth, folder, memory
+        self.kinds = (np.uint32 if len(text) < 1 << 32 else np.int64, np.uint8 if depth < 256 else np.int64)
         self.letters = int(text.max()) + 1 if len(text) else 1
         self.s = np.memmap(os.path.join(folder, "types"), np.bool_, "w+", shape=max(1, len(text)))[: len(text)]
         self.s[:] = suffix_types(text)
@@ -118,7 +121,7 @@ class Shard:
 
         In a pass a character's own suffixes come before its seeds.
         """
-        made = [DiskQueue(self.folder, self.memory) for _ in range(self.letters)]
+        made = [DiskQueue(self.folder, self.memory, self.kinds) for _ in range(self.letters)]
         open_ = np.full(self.letters, -1, np.int64)     # least prefix since the last tuple pushed to a character; -1: none yet
 
         def process(block: np.ndarray) -> None:
@@ -153,14 +156,14 @@ class Shard:
                 process(block)
                 last, i = block[0, -1], i + 1
             for k in range(len(seeds[c])):
-                block = seeds[c].get(k).copy()
+                block = seeds[c].get(k)
                 if k == 0:
                     block[1, 0] = 0 if last is None else self.common(block[0, :1], np.array([last]))[0]
                 process(block)
         return made
 
     def _by_letter(self, positions: np.ndarray, prefix: np.ndarray) -> list[DiskQueue]:
-        out = [DiskQueue(self.folder, self.memory) for _ in range(self.letters)]
+        out = [DiskQueue(self.folder, self.memory, self.kinds) for _ in range(self.letters)]
         c = self.t[positions]
         cuts = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1, [len(c)])) if len(c) else [0]
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -170,7 +173,7 @@ class Shard:
 
     def _reversed(self, queues: list[DiskQueue]) -> list[DiskQueue]:
         """The same tuples in falling order; a prefix value then belongs to the pair's other suffix."""
-        out = [DiskQueue(self.folder, self.memory) for _ in range(self.letters)]
+        out = [DiskQueue(self.folder, self.memory, self.kinds) for _ in range(self.letters)]
         for queue, other in zip(queues, out):
             shift = 0
             for i in range(len(queue) - 1, -1, -1):
@@ -181,7 +184,10 @@ class Shard:
 
     def _both(self, stars: np.ndarray, prefix: np.ndarray):
         larger = self._induce(self._by_letter(stars, prefix), False)
-        smaller = self._induce(self._reversed(larger), True)
+        falling = self._reversed(larger)
+        smaller = self._induce(falling, True)
+        for queue in falling:
+            queue.close()
         return larger, smaller
 
     def _star_order(self) -> np.ndarray:
@@ -190,13 +196,14 @@ class Shard:
         if len(stars) < 2:
             return stars
         by_letter = stars[np.argsort(self.t[stars], kind="stable")]
-        _, smaller = self._both(by_letter, np.zeros(len(stars), np.int64))
+        larger, smaller = self._both(by_letter, np.zeros(len(stars), np.int64))
+        for queue in larger:
+            queue.close()
         is_star = np.zeros(len(self.t), bool)
         is_star[stars] = True
         found = [q.get(i)[0] for q in smaller for i in range(len(q) - 1, -1, -1)]
-        order = np.concatenate([b[::-1] for b in found])
-        order = order[is_star[order]]
-        number = np.zeros(len(self.t), np.int64)
+        order = np.concatenate([b[::-1][is_star[b[::-1]]] for b in found])
+        number = np.zeros(len(self.t), self.kinds[0])
         number[stars] = np.arange(len(stars))
         stop = np.minimum(np.append(stars[1:] + 1, len(self.t)), len(self.t))
         a, b = number[order[:-1]], number[order[1:]]
@@ -228,7 +235,7 @@ class Shard:
         for low, high in zip(larger, self._reversed(smaller)):
             for queue in (low, high):
                 for i in range(len(queue)):
-                    block = queue.get(i).copy()
+                    block = queue.get(i)
                     if i == 0:
                         block[1, 0] = 0 if last is None else self.common(block[0, :1], np.array([last]))[0]
                     last = block[0, -1]

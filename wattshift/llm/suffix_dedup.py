@@ -8,8 +8,8 @@ the same document. Strings do not cross documents.
    strings have equal anchors, so all that follows can be done anchor by anchor.
 2. Rows with the same anchor and the same text around it are compared first inside a task, then by one shuffle: of equal rows only
    the earliest stays, the others' strings are all repeated.
-3. What is left are different texts around one anchor. Their bytes, about 100 around the anchor, are sent to the shard of the anchor. A
-   shard's text goes to a file and is suffix-sorted by external induction (module induced). Suffixes whose common
+3. What is left are different texts around one anchor. Their bytes, about 100 around the anchor, are sent to the shard of the anchor;
+   an anchor with many texts is split by the bytes before and behind it. A shard's text goes to a file and is suffix-sorted by external induction (module induced). Suffixes whose common
    prefix is ``span`` or more are the same string; the earliest is kept, the others are repeated.
 4. The ranges of a document are merged and cut out.
 
@@ -40,6 +40,8 @@ from wattshift.session import scratch_path
 SPAN = 100
 GRAM = 20
 BROADCAST_RANGES = 3_000_000    # ranges to fetch up to which they are broadcast, about 100 MB; joined by shuffle beyond
+THIN_ROWS = 4000                # documents whose equal rows are thinned together before the shuffle
+HOT_TEXTS = 1000                # different texts around one anchor beyond which its strings go to several shards
 NO_ID = -(1 << 63)
 WIDTH = 128                     # at = first string * WIDTH + number of strings; a row stands for SPAN - GRAM + 1 at most
 
@@ -53,11 +55,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, span: int, gram: int, tables: Powers):
-    """(hash of anchor, hash of the row's text, document, first string, strings) of the rows of a chunk."""
+    """(hash of anchor, hash of the row's text, document, first string, strings, place of anchor) of the rows of a chunk."""
     n, width = len(data), span - gram + 1
     empty = np.zeros(0, np.int64)
     if n < span:
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
+        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty, empty
     h = prefix_hash(data, tables)
     _, down = tables.get(n + 1)
     grams = mix((h[gram:] - h[:-gram]) * down[: n - gram + 1])
@@ -73,7 +75,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int, gram: int, tables: Po
     doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: len(least)]
     inside = np.flatnonzero(ends[doc + 1] - start >= span)
     if not len(inside):
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
+        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty, empty
     at, doc = (least[inside] & places).astype(np.int64), doc[inside]
     new = np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
     first = np.flatnonzero(new)
@@ -81,17 +83,17 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int, gram: int, tables: Po
     low, anchor = inside[first], at[first]
     high = low + count + span - 1
     seg = mix((h[high] - h[low]) * down[low] + (anchor - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return grams[anchor], seg, doc[first], low - ends[doc[first]], count
+    return grams[anchor], seg, doc[first], low - ends[doc[first]], count, anchor - ends[doc[first]]
 
 
 def _rows(span: int, gram: int):
     """Rows of the anchors; of rows that are equal inside the batch, all but the earliest come out as repeated."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Powers()
-        for batch in batches:
+        for batch in (b.slice(at, THIN_ROWS) for b in batches for at in range(0, b.num_rows, THIN_ROWS)):
             found = []
             for part, data, ends in chunks(batch):
-                anchor, seg, doc, low, count = anchors(data, ends, span, gram, tables)
+                anchor, seg, doc, low, count, _ = anchors(data, ends, span, gram, tables)
                 found.append((anchor.view(np.int64), seg.view(np.int64), part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc], low * WIDTH + count))
             if not found:
                 continue
@@ -162,19 +164,41 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried, held = [c[heads[-1]: heads[-1] + 1] for c in columns], not came_out
 
 
-def _segments(span: int):
-    """Bytes of the open rows of a document."""
+def _halves(raw: bytes, route: int, span: int, gram: int, tables: Powers) -> list[tuple[int, int, int]]:
+    """(route, first string, strings) of a segment whose anchor is hot: strings that reach far before the anchor go by the
+    bytes before it, the others by the bytes behind it. Equal strings agree on these bytes."""
+    data = np.frombuffer(raw, np.uint8)
+    _, _, _, low, count, place = anchors(data, np.array([0, len(raw)]), span, gram, tables)
+    (first, n, at), far = (int(x[0]) for x in (low, count, place)), (span - gram) // 2
+    near = max(first, min(first + n, at - far + 1))       # strings before this one start at least far bytes ahead of the anchor
+    out = []
+    for start, stop, side in ((first, near, raw[at - far: at]), (near, first + n, raw[at + gram: at + gram + far])):
+        if stop > start:
+            out.append((int.from_bytes(hashlib.blake2b(side, digest_size=8, key=route.to_bytes(8, "little", signed=True)).digest(), "little", signed=True),
+                        start, stop - start))
+    return out
+
+
+def _segments(span: int, gram: int):
+    """Bytes of the open rows of a document; a negative place marks a hot anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Powers()
         for batch in batches:
-            out = [[], [], [], [], []]
-            for k_id, k_text, text, ranges in zip(*[c.to_pylist() for c in batch.columns]):
-                raw = text.encode()
-                for r in ranges:
-                    low, count = divmod(r["at"], WIDTH)
-                    for o, v in zip(out, (r["route"], k_id, k_text, r["at"], raw[low: low + count + span - 1])):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([*[pa.array(o, pa.int64()) for o in out[:4]], pa.array(out[4], pa.binary())],
-                                             ["route", "k_id", "k_text", "at", "bytes"])
+            for at in range(0, batch.num_rows, 100):
+                out = [[], [], [], [], []]
+                part = batch.slice(at, 100)
+                for k_id, k_text, text, ranges in zip(*[c.to_pylist() for c in part.columns[:3]], part.column(3)):
+                    raw = text.encode()
+                    routes, places = (ranges.values.field(n).to_pylist() for n in ("route", "at"))
+                    for route, place in zip(routes, places):
+                        low, count = divmod(abs(place), WIDTH)
+                        parts = [(route, 0, count)] if place >= 0 else _halves(raw[low: low + count + span - 1], route, span, gram, tables)
+                        for to, first, n in parts:
+                            start = low + first
+                            for o, v in zip(out, (to, k_id, k_text, start * WIDTH + n, raw[start: start + n + span - 1])):
+                                o.append(v)
+                yield pa.RecordBatch.from_arrays([*[pa.array(o, pa.int64()) for o in out[:4]], pa.array(out[4], pa.binary())],
+                                                 ["route", "k_id", "k_text", "at", "bytes"])
     return run
 
 
@@ -269,11 +293,13 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, memory:
     resolved.write.parquet(path)
     known = spark.read.schema(resolved.schema).parquet(path)
     open_ = known.filter(F.col("kind") == OPEN)
-    wanted = open_.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("route", "at")).alias("ranges"))
+    hot = open_.groupBy("route").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > HOT_TEXTS)
+    marked = open_.join(hot, "route", "left").withColumn("at", F.when(F.col("texts").isNull(), F.col("at")).otherwise(-F.col("at")))
+    wanted = marked.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("route", "at")).alias("ranges"))
     if open_.count() <= BROADCAST_RANGES:
         wanted = F.broadcast(wanted)
     segments = (texts.join(wanted, ["k_id", "k_text"]).select("k_id", "k_text", "text", "ranges")
-                .mapInArrow(_segments(span), "route long, k_id long, k_text long, at long, bytes binary"))
+                .mapInArrow(_segments(span, gram), "route long, k_id long, k_text long, at long, bytes binary"))
     found = segments.repartition(n, "route").mapInArrow(_sorted_shard(span, memory), "k_id long, k_text long, at long")
     return known.filter(F.col("kind") == REPEATED).select("k_id", "k_text", "at").unionByName(found)
 
