@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattshift.llm.common import Powers, chunks, mix, partitions, prefix_hash
+from wattshift.llm.common import Powers, chunks, mix, partitions, prefix_hash, settle
 from wattshift.llm.induced import Shard
 from wattshift.session import scratch_path
 
@@ -293,7 +293,7 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, memory:
     resolved.write.parquet(path)
     known = spark.read.schema(resolved.schema).parquet(path)
     open_ = known.filter(F.col("kind") == OPEN)
-    hot = open_.groupBy("route").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > HOT_TEXTS)
+    hot = settle(open_.groupBy("route").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > HOT_TEXTS))
     marked = open_.join(hot, "route", "left").withColumn("at", F.when(F.col("texts").isNull(), F.col("at")).otherwise(-F.col("at")))
     wanted = marked.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("route", "at")).alias("ranges"))
     if open_.count() <= BROADCAST_RANGES:
