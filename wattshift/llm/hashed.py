@@ -93,5 +93,5 @@ def weights_batch(slots: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
 
 def collect_weights(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most 2^BITS rows; negative slots are parameters beside the weights."""
-    rows = weights.collect()
-    return np.array([r["slot"] for r in rows], np.int64), np.array([r["weight"] for r in rows], np.float64)
+    found = weights.toArrow()
+    return found.column("slot").to_numpy().astype(np.int32), found.column("weight").to_numpy().astype(np.float32)

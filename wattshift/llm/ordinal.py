@@ -100,8 +100,6 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, params: OrdinalParams
 
 
 def _score(slots: np.ndarray, values: np.ndarray, grades: int):
-    values = values.astype(np.float32)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, dense = Powers(), np.zeros(1 << BITS)
         dense[slots[slots >= 0]] = values[slots >= 0]
