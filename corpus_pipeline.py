@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go from its documents."""
-    cleaned = drop_boilerplate(docs, counts=False)
+    """Boilerplate lines of a source go from its documents; copies count once here, since the next stage settles them."""
+    cleaned = drop_boilerplate(docs, counts=False, copies_once=True)
     return cleaned.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else c
                             for c in docs.columns])
 

@@ -79,6 +79,19 @@ def test_lines_of_awkward_rows(spark):
     assert got[302] == [("", 1, 1)] * 2
 
 
+def test_copies_are_no_boilerplate(spark):
+    """Copies count once; without that they lose all their lines. Small hosts lose a line of three different pages."""
+    copy = "a whole page\nof three lines\nheld by many"
+    pages = [(i, f"head\nbody {i}", None, "h1") for i in range(20)] + [(100 + i, f"head\n{copy}{' ' * i}", None, "h1") for i in range(10)]
+    pages += [(200 + i, f"menu\nown {i}", None, "small") for i in range(3)] + [(300 + i, "said\ntwice", None, "tiny") for i in range(3)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(frame(spark, pages), copies_once=True).collect()}
+    assert all(got[i] == f"body {i}" for i in range(20))
+    assert all(got[100 + i] == copy + " " * i for i in range(10))
+    assert [got[200 + i] for i in range(3)] == ["own 0", "own 1", "own 2"] and got[301] == "said\ntwice"
+    plain = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(frame(spark, pages)).collect()}
+    assert all(plain[100 + i] == "" for i in range(10))
+
+
 def test_reparameterised_questions(spark):
     items = spark.createDataFrame([
         (1, "A train leaves Paris at noon, and Tom waits 5 hours with 12 friends before the slow train from Paris brings Tom home."),

@@ -43,6 +43,18 @@ def test_stages_by_brute_force(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, after))
 
 
+def test_a_group_of_copies_leaves_one(spark, tmp_path):
+    """Copies on a tenth of a source's documents are left to near-dedup, and one of them is packed."""
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame([(1, 1)], LABELS).write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], BENCHMARK).write.parquet(f"{sf}/benchmark.parquet")
+    copy = "\n".join(" ".join(f"c{i}x{k}" for k in range(30)) for i in range(3))
+    rows = [(i, " ".join(f"w{i}n{k}" for k in range(60)), "en", "src0") for i in range(18)] + [(50 + i, copy, "en", "src0") for i in range(2)]
+    frame(spark, rows).write.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.n_words for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == {i: 60 for i in range(18)} | {50: 90}
+
+
 def test_clashing_names_and_empty_tables(spark, tmp_path):
     sf = str(tmp_path / "sf")
     spark.createDataFrame([(1, 1)], LABELS).write.parquet(f"{sf}/labels.parquet")
