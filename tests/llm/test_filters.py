@@ -105,6 +105,20 @@ def test_reparameterised_questions(spark):
     assert all(got[r[0]] == [] for r in awkward())
 
 
+APPLES = "Tom has 5 apples. Anna has 7 apples. Tom gives Anna 2 apples. How many apples are left with Tom now?"
+
+
+def test_names_at_any_place(spark):
+    """Names that open a sentence are slots; case, line breaks and the place in a sentence do not matter."""
+    items = spark.createDataFrame([(1, APPLES)], "item_id long, text string")
+    other = APPLES.replace("Tom", "Eva").replace("Anna", "Ida").replace("5", "8").replace("7", "9")
+    texts = [other, APPLES.lower(), "so it was asked: and " + other, other.replace(" Ida", "\n\nIda"), "x y z " + APPLES.replace(". ", ".  ") + " end",
+             APPLES.replace("Tom", "Eva", 1), "Tom has many apples and Anna has none."]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(frame(spark, rows), items).collect()}
+    assert [got[i] for i in range(5)] == [[1]] * 5 and got[6] == []
+
+
 def test_whole_items_are_found(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(b.item_id, b.text) for b in bench.collect()]

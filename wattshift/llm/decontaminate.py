@@ -1,17 +1,24 @@
 """Benchmark decontamination by templates with typed slots.
 
-Texts are canonicalised: numbers, names and units become typed placeholders that remember their value, all other words
-are lower-cased and lose punctuation. Windows of ``width`` tokens are compared as templates, so a question whose numbers
-or names were changed still matches. The values must then fit: within one document and item, a value of the item
-has to stand for one and the same value of the document, and the other way round; windows that say otherwise do not
-count. A document is contaminated by an item if it holds at least ``share`` of the item's different windows.
+Texts lose case and punctuation. Slots are decided on the benchmark's side: numbers, units after numbers, and names, which
+are the words capitalised anywhere inside a sentence of the item, at all their places. A document is looked up by hashed windows of
+``width`` tokens in two forms, with numbers masked, and with capitalised words and units masked as well; both sides are
+masked by one rule that does not look at the words around. A hit gives an alignment of item and document, and there every window of
+the item is compared token by token: its other words must be equal, a number may stand for a number, a unit for a unit,
+a word for a name in any case.
+
+Slot values must fit: within a group of near alignments, a value of the item has to stand for one and the same value of the
+document, and the other way round. Windows with the item's own values always fit. Windows of more than ``max_slots``
+slots do not vote; they count if they have the item's own values or the values that the other windows agreed on. So several
+versions of an item in one document do not disturb each other; all alignments together are one more group, for items in scattered
+pieces. A document is contaminated by an item if a group holds at least ``share`` of the item's different windows.
 
 Only built-in functions run here. The windows of the documents are streamed against the benchmark's windows, which are
 broadcast if they are counted to be few, and joined by shuffle otherwise; only hits are shuffled in the first case.
 
 Defined cases: null text is empty; null ids of items do not count, null document ids are reported as null; repeated item
-ids count as one item with all their windows; items of fewer than ``width`` tokens cannot be found; windows of more than
-``max_slots`` placeholders are too weak to count; an empty benchmark leaves every document clean; extra columns are not
+ids count as one item with all their windows; items of fewer than ``width`` tokens cannot be found; an item none of whose windows
+keeps its words in either form gives no alignment; an empty benchmark leaves every document clean; extra columns are not
 read.
 """
 
@@ -28,55 +35,102 @@ WIDTH = 5
 SHARE = 0.8
 MAX_SLOTS = 2
 BROADCAST_WINDOWS = 500_000     # benchmark windows up to which they are sent to every task, about 40 MB
-MARK = "\u0001"                 # stands between a placeholder and its value
-
 # Words that count as units after a number.
 UNITS = ("mm cm m km inch inches feet ft mile miles yard yards mg g kg gram grams kilogram kilograms ton tons pound pounds "
          "ounce ounces ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week "
          "weeks month months year years percent degrees dollar dollars euro euros cent cents volt volts watt watts mph kmh").split()
 
 
-def canonical(text: Column) -> Column:
-    """The tokens of a text; placeholders are '<type>' + MARK + value."""
-    rules = [
-        (r"(?<!\S)[(\"'$€£+-]*([0-9]\S*)", f"<num>{MARK}$1"),
-        (rf"(?<=[0-9] )({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"<unit>{MARK}$1"),
-        (r"(?<=[^\s.!?:] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f"<name>{MARK}$1"),
-        (rf"[^\p{{L}}\p{{N}}\s<>{MARK}]+", ""),
-    ]
-    out = reduce(lambda c, r: F.regexp_replace(c, *r), rules, F.coalesce(text, F.lit("")))
-    return F.filter(F.split(F.lower(out), r"\s+"), lambda t: t != "")
+NUM, NAME, UNIT = 1, 2, 3       # kinds of slots
+
+
+def _plain(text: Column) -> Column:
+    """The text without punctuation; the words keep their case."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s]+", "")
+
 
+def _split(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
-def windows(texts: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
-    """(keys, pos, w, slots): the hash of every template window; slots has its placeholder tokens, null if none."""
-    marked = lambda t: F.contains(t, F.lit(MARK))
 
-    def build(t: Column, h: Column, some: Column) -> Column:
+def windows(texts: DataFrame, keys: list[str], width: int = WIDTH, max_slots: int = MAX_SLOTS) -> DataFrame:
+    """(keys, pos, w): the hash of every window with numbers masked, and of windows with at most ``max_slots`` masks of all kinds."""
+    def build(h: Column) -> Column:
         return F.transform(F.slice(h, 1, F.greatest(F.size(h) - (width - 1), F.lit(0))), lambda x, i: F.struct(
-            i.alias("pos"), F.xxhash64(x, *[F.get(h, i + j) for j in range(1, width)]).alias("w"),
-            F.when(some, F.filter(F.slice(t, i + 1, width), marked)).alias("slots")))
-
-    built = texts.select(*keys, let(canonical(F.col("text")), lambda t: let(
-        F.transform(t, lambda x: F.xxhash64(F.substring_index(x, MARK, 1))), lambda h: let(
-            F.exists(t, marked), lambda some: build(t, h, some)))).alias("x"))
-    return built.select(*keys, F.explode("x").alias("x")).select(
-        *keys, "x.pos", "x.w", F.when(F.size("x.slots") > 0, F.col("x.slots")).alias("slots"))
-
-
-def _fitting(hits: DataFrame) -> DataFrame:
-    """The hits whose slot values agree with the most frequent pairing of values, in both directions."""
-    pairs = hits.filter("i_slots is not null").select(
-        "k_id", "k_text", "item_id", "w", "pos", "ipos",
-        F.explode(F.arrays_zip(F.col("i_slots").alias("a"), F.col("slots").alias("b"))).alias("p")
-    ).select("k_id", "k_text", "item_id", "w", "pos", "ipos", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    counted = pairs.groupBy("k_id", "k_text", "item_id", "a", "b").agg(F.countDistinct("w").alias("n"))
-    best = lambda one, other: counted.groupBy("k_id", "k_text", "item_id", one).agg(
-        F.max_by(other, F.struct("n", other)).alias(other))
-    key = ["k_id", "k_text", "item_id", "a", "b"]
-    agreed = best("a", "b").select(*key).join(best("b", "a").select(*key), key)
-    bad = pairs.join(agreed, key, "left_anti").select("k_id", "k_text", "item_id", "w", "pos", "ipos").distinct()
-    return hits.join(bad, bad.columns, "left_anti")
+            i.alias("pos"), F.xxhash64(x, *[F.get(h, i + j) for j in range(1, width)]).alias("w")))
+
+    def both(one: Column, two: Column) -> Column:
+        few = lambda e: reduce(lambda x, y: x + y, [
+            F.get(two, e["pos"] + j).isin("<0>", "<1>", "<2>").cast("int") for j in range(width)]) <= max_slots
+        masked = F.array_except(build(two), build(one))
+        return F.concat(build(one), F.filter(masked, few))
+
+    numbers = F.regexp_replace(_plain(F.col("text")), r"(?<!\S)[0-9]\S*", "<0>")
+    names = F.regexp_replace(numbers, r"(?<!\S)\p{Lu}\p{Ll}+(?!\S)", "<1>")
+    units = F.regexp_replace(names, rf"(?<=<0>\s)({'|'.join(UNITS)})(?!\S)", "<2>")
+    built = texts.select(*keys, let(_split(numbers), lambda one: let(_split(units), lambda two: both(one, two))).alias("x"))
+    return built.select(*keys, F.explode("x").alias("x")).select(*keys, "x.pos", "x.w")
+
+
+def templates(benchmark: DataFrame, width: int) -> DataFrame:
+    """(item_id, t_key, cells): an item's tokens as (a, kind), kind 0 for a word that must be there."""
+    inside = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?<=[^\s.!?:]\s{1,9})(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"), 1)
+    split = benchmark.filter("item_id is not null").select(
+        "item_id", F.xxhash64("text").alias("t_key"), F.transform(inside, F.lower).alias("names"), _split(_plain(F.col("text"))).alias("t"))
+    number = lambda x: x.rlike("^[0-9]")
+    return split.filter(F.size("t") >= width).distinct().select("item_id", "t_key", F.transform("t", lambda x, i: F.struct(
+        x.alias("a"), F.when(number(x), NUM).when(x.isin(*UNITS) & F.coalesce(number(F.get("t", i - 1)), F.lit(False)), UNIT)
+        .when(F.array_contains("names", x), NAME).otherwise(0).alias("kind"))).alias("cells"))
+
+
+def _own(template: Column, i: Column, width: int) -> Column:
+    """The hash of an item's window at i, slots without their values."""
+    return F.xxhash64(F.transform(F.slice(template, i + 1, width), lambda x: F.when(x["kind"] > 0, F.concat(F.lit("<"), x["kind"].cast("string"))).otherwise(x["a"])))
+
+
+def _aligned(docs: DataFrame, items: DataFrame, hits: DataFrame, width: int, small: bool) -> DataFrame:
+    """(k_id, k_text, item_id, g, w, pairs): an item's windows that fit at an alignment but for slot values, per group."""
+    key = ["k_id", "k_text"]
+    starts = settle(hits.select(*key, "item_id", "t_key", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
+                    .groupBy(*key).agg(F.collect_list(F.struct("item_id", "t_key", "shift")).alias("starts")))
+    few = starts.count() <= BROADCAST_WINDOWS
+    rows = docs.select(*key, "text").join(F.broadcast(starts) if few else starts, key)
+    parted = rows.select(*key, _split(_plain(F.col("text"))).alias("d"), "starts").select(*key, "d", F.explode("starts").alias("s"))
+    # An item's length is not known yet; the tokens from the alignment on are cut to the longest item's.
+    longest = items.agg(F.coalesce(F.max(F.size("cells")), F.lit(0))).first()[0]
+    parts = parted.select(*key, "s.*", F.transform(F.sequence(F.lit(0), F.lit(longest)), lambda j: F.get("d", F.col("s.shift") + j)).alias("d"))
+    met = parts.join(F.broadcast(items) if small else items, ["item_id", "t_key"])
+    number = lambda x: x.rlike("^[0-9]")
+    fits = lambda x, b: F.coalesce(F.when(x["kind"] == NUM, number(b)).when(x["kind"] == UNIT, b.isin(*UNITS))
+                                   .when(x["kind"] == NAME, ~number(b)).otherwise(x["a"] == b), F.lit(False))
+    compared = F.transform("cells", lambda x, j: F.struct(
+        x["a"].alias("a"), x["kind"].alias("kind"), F.get("d", j).alias("b"), fits(x, F.get("d", j)).alias("fits")))
+
+    def found(c: Column) -> Column:
+        good = F.filter(F.sequence(F.lit(0), F.size(c) - width), lambda i: F.forall(F.slice(c, i + 1, width), lambda x: x["fits"]))
+        return F.transform(good, lambda i: F.struct(_own(c, i, width).alias("w"), F.transform(
+            F.filter(F.slice(c, i + 1, width), lambda x: x["kind"] > 0), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("pairs")))
+
+    span = F.greatest(F.lit(2), F.floor(F.size("cells") / 2))    # versions behind one another are further apart
+    groups = F.array(3 * F.floor(F.col("shift") / span), 3 * F.floor((F.col("shift") + F.floor(span / 2)) / span) + 1, F.lit(2).cast("long"))
+    each = met.select(*key, "item_id", groups.alias("groups"), let(compared, found).alias("found"))
+    return (each.select(*key, "item_id", "groups", F.explode("found").alias("f"))
+            .select(*key, "item_id", F.explode("groups").alias("g"), "f.w", "f.pairs").distinct())
+
+
+def _fitting(rows: DataFrame, max_slots: int) -> DataFrame:
+    """The rows whose slot values agree with the most frequent pairing of values in their group, in both directions, or are the item's own."""
+    key = ["k_id", "k_text", "item_id", "g"]
+    marked = rows.withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
+    own = marked.filter("same").select(*key, "w")
+    other = marked.filter("not same")
+    votes = marked.filter((F.size("pairs") > 0) & (F.size("pairs") <= max_slots)).select(*key, "w", F.explode("pairs").alias("p"))
+    counted = votes.select(*key, "w", "p.a", "p.b").groupBy(*key, "a", "b").agg(F.countDistinct("w").alias("n"))
+    best = lambda one, two: counted.groupBy(*key, one).agg(F.max_by(two, F.struct("n", two)).alias(two))
+    agreed = (best("a", "b").select(*key, "a", "b").join(best("b", "a").select(*key, "a", "b"), [*key, "a", "b"])
+              .groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("agreed")))
+    fit = other.join(agreed, key).filter(F.size(F.array_except("pairs", "agreed")) == 0).select(*key, "w")
+    return own.unionByName(fit)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE,
@@ -85,14 +139,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
 
     docs: k_id, k_text (the keys of common.row_key) and text; benchmark: item_id, text.
     """
-    items = settle(windows(benchmark.filter("item_id is not null").select("item_id", "text"), ["item_id"], width)
-                   .filter(F.coalesce(F.size("slots"), F.lit(0)) <= max_slots)
-                   .select("item_id", F.col("pos").alias("ipos"), "w", F.col("slots").alias("i_slots")))
-    totals = items.groupBy("item_id").agg(F.countDistinct("w").alias("item_windows"))
-    small = items.count() <= BROADCAST_WINDOWS
-    found = windows(docs.select("k_id", "k_text", "text"), ["k_id", "k_text"], width)
-    hits = settle(found.join(F.broadcast(items) if small else items, "w"))
-    held = _fitting(hits).groupBy("k_id", "k_text", "item_id").agg(F.countDistinct("w").alias("n_windows"))
+    items = settle(templates(benchmark, width))
+    totals = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("cells") - width), lambda i: _own(F.col("cells"), i, width))).alias("w")
+                          ).groupBy("item_id").agg(F.countDistinct("w").alias("item_windows"))
+    keyed = benchmark.filter("item_id is not null").select("item_id", F.xxhash64("text").alias("t_key"), "text")
+    seeds = settle(windows(keyed, ["item_id", "t_key"], width, max_slots).withColumnRenamed("pos", "ipos"))
+    small = seeds.count() <= BROADCAST_WINDOWS
+    found = windows(docs.select("k_id", "k_text", "text"), ["k_id", "k_text"], width, max_slots)
+    hits = settle(found.join(F.broadcast(seeds) if small else seeds, "w"))
+    held = (_fitting(settle(_aligned(docs, items, hits, width, small)), max_slots).groupBy("k_id", "k_text", "item_id", "g")
+            .agg(F.countDistinct("w").alias("n_windows")).groupBy("k_id", "k_text", "item_id").agg(F.max("n_windows").alias("n_windows")))
     return held.join(totals, "item_id").filter(F.col("n_windows") >= share * F.col("item_windows")).select(
         "k_id", "k_text", "item_id", "n_windows", "item_windows")
 
