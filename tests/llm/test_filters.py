@@ -119,6 +119,17 @@ def test_names_at_any_place(spark):
     assert [got[i] for i in range(5)] == [[1]] * 5 and got[6] == []
 
 
+def test_versions_and_slot_rich_items(spark):
+    """Several versions of an item in one document do not hide each other; windows full of slots count."""
+    rich = "3 4 5 6 7 8 plus 9 10 11 12 13 14 gives 15 16 17 18"
+    items = spark.createDataFrame([(1, APPLES), (2, rich)], "item_id long, text string")
+    eva, ida = APPLES.replace("Tom", "Eva").replace("5", "8"), APPLES.replace("Anna", "Zoe").replace("7", "1")
+    rows = [(1, f"{APPLES} {eva}", None, None), (2, f"{eva} {ida}", None, None), (3, f"{ida} some words between {eva} {APPLES}", None, None),
+            (4, "before " + rich + " after", None, None), (5, rich.replace("1", "2"), None, None)]
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(frame(spark, rows), items).collect()}
+    assert got[1] == got[2] == got[3] == [1] and got[4] == [2] and got[5] == []
+
+
 def test_whole_items_are_found(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(b.item_id, b.text) for b in bench.collect()]
