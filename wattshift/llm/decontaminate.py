@@ -53,22 +53,25 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
+def _hashes(text: Column) -> Column:
+    return F.transform(_split(text), lambda t: F.xxhash64(t))
+
+
 def windows(texts: DataFrame, keys: list[str], width: int = WIDTH, max_slots: int = MAX_SLOTS) -> DataFrame:
     """(keys, pos, w): the hash of every window with numbers masked, and of windows with at most ``max_slots`` masks of all kinds."""
     def build(h: Column) -> Column:
         return F.transform(F.slice(h, 1, F.greatest(F.size(h) - (width - 1), F.lit(0))), lambda x, i: F.struct(
             i.alias("pos"), F.xxhash64(x, *[F.get(h, i + j) for j in range(1, width)]).alias("w")))
 
-    def both(one: Column, two: Column) -> Column:
+    def both(first: Column, two: Column) -> Column:
         few = lambda e: reduce(lambda x, y: x + y, [
-            F.get(two, e["pos"] + j).isin("<0>", "<1>", "<2>").cast("int") for j in range(width)]) <= max_slots
-        masked = F.array_except(build(two), build(one))
-        return F.concat(build(one), F.filter(masked, few))
+            F.get(two, e["pos"] + j).isin(*[F.xxhash64(F.lit(f"<{k}>")) for k in range(3)]).cast("int") for j in range(width)]) <= max_slots
+        return F.concat(first, F.filter(build(two), lambda e: (e["w"] != F.get(first, e["pos"])["w"]) & few(e)))
 
     numbers = F.regexp_replace(_plain(F.col("text")), r"(?<!\S)[0-9]\S*", "<0>")
     names = F.regexp_replace(numbers, r"(?<!\S)\p{Lu}\p{Ll}+(?!\S)", "<1>")
     units = F.regexp_replace(names, rf"(?<=<0>\s)({'|'.join(UNITS)})(?!\S)", "<2>")
-    built = texts.select(*keys, let(_split(numbers), lambda one: let(_split(units), lambda two: both(one, two))).alias("x"))
+    built = texts.select(*keys, let(let(_hashes(numbers), build), lambda first: let(_hashes(units), lambda two: both(first, two))).alias("x"))
     return built.select(*keys, F.explode("x").alias("x")).select(*keys, "x.pos", "x.w")
 
 
