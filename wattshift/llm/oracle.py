@@ -66,4 +66,44 @@ kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_d
 SELECT doc_id, n_lines, n_dropped, length(text)::BIGINT AS n_chars_kept, sha256(text) AS kept_sha256 FROM kept
 """
 
-ORACLE = {"op3_quality_rules": OP3, "op4_line_dedup": OP4}
+# CRC-32 of the decimal id: per byte one step that mixes it in (1000 and more), then eight shifts.
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [1000 + ord(c), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[])),
+  lambda a, x: CASE WHEN x >= 1000 THEN xor(a, x - 1000) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, 4294967295::BIGINT), 4294967295)"""
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+
+
+def _leaf(**other: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(other.get(c, c)) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+
+OP12 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf()} AS leaf, {_leaf(n_chars='(n_chars + 1)')} AS other, {_CRC} % 7 = 0 AS hit,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+nodes AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, n, idx // 2),
+subs AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, idx, n, subroot AS h FROM subs
+  UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, n, idx // 2),
+depth AS (SELECT tree, max(level) AS d FROM nodes GROUP BY tree),
+steps AS (
+  SELECT doc_id, l.tree, s.level AS lv, (l.idx >> s.level::INT) & 1 AS own, b.h FROM leaves l JOIN depth USING (tree), LATERAL (SELECT unnest(range(d)) AS level) s
+    LEFT JOIN nodes b ON b.tree = l.tree AND b.level = s.level AND b.idx = xor(l.idx >> s.level::INT, 1)
+  UNION ALL
+  SELECT doc_id, l.tree, 1000 + s.level, (subs.idx >> s.level::INT) & 1, b.h FROM leaves l JOIN subs USING (tree),
+    LATERAL (SELECT unnest(range((SELECT max(level) FROM tops))) AS level) s
+    LEFT JOIN tops b ON b.level = s.level AND b.idx = xor(subs.idx >> s.level::INT, 1)),
+paths AS (SELECT doc_id, string_agg(coalesce(h, ''), '' ORDER BY lv) AS siblings, list(own::VARCHAR || coalesce(h, '') ORDER BY lv) AS path FROM steps GROUP BY doc_id),
+done AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+    list_reduce(coalesce(path, []), lambda a, x: sha256(CASE WHEN x[1] = '1' THEN x[2:] || a ELSE a || x[2:] END),
+                CASE WHEN hit AND n_chars IS NOT NULL THEN other ELSE leaf END) AS folded_root
+  FROM leaves JOIN subs USING (tree) JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id) LEFT JOIN paths USING (doc_id))
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+ORACLE = {"op3_quality_rules": OP3, "op4_line_dedup": OP4, "op12_merkle_manifest": OP12}

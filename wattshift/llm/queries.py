@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshift.llm import decontaminate, licenses, line_dedup, minhash, ordinal, packing, quality_rules, suffix_dedup, token_store, toxicity
+from wattshift.llm import decontaminate, licenses, line_dedup, merkle, minhash, ordinal, packing, quality_rules, sentence_pieces, suffix_dedup, token_store, toxicity, whitening
 from wattshift.llm.common import documents, table
 
 
@@ -60,6 +60,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), copies)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentence_pieces.encode(documents(spark, sf_dir), model)
+    return sentence_pieces.decode(encoded, model).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(documents(spark, sf_dir))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_quality_rules, op4_line_dedup, op5_token_ids, op6_toxicity,
                                  op7_benchmark_decontamination, op8_quality_grade,
-                                 op9_minhash_near_dedup, op10_best_fit_packing)}
+                                 op9_minhash_near_dedup, op10_best_fit_packing, op11_sentencepiece, op12_merkle_manifest, op13_embedding_whitening)}
