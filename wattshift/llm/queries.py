@@ -64,8 +64,7 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentence_pieces.encode(documents(spark, sf_dir), model)
-    return sentence_pieces.decode(encoded, model).select(
+    return sentence_pieces.encode(documents(spark, sf_dir), model, decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -3,13 +3,14 @@
 Where no piece of the model crosses a whitespace marker, a text's ids are the ids of its marked words (a run of markers and what
 follows up to the next one; a line feed that no piece holds also opens a chunk) behind one another. So each distinct chunk is segmented once:
 
-1. Documents are read in blocks of about ``BLOCK_BYTES`` of text. A block numbers its distinct chunks; a document becomes the numbers of its
-   chunks, in order. Both are written to a table bucketed by block.
-2. The chunks of all blocks meet by value and are sorted; the library segments the first of every run of equal ones.
-3. The ids go back to their blocks and take the places of the numbers. Documents do not move: their buckets are where the ids arrive.
+1. Documents are read in blocks of about ``BLOCK_BYTES`` of text. A block numbers its distinct chunks, frequent ones first; a document becomes
+   the numbers of its chunks, in order. The distinct chunks are dealt into buckets by hash. Both go to a table bucketed by block.
+2. The chunks of all blocks meet bucket by bucket; the library segments every different one once.
+3. The ids go back to their blocks and take the places of the numbers. Documents do not move: their blocks are where the ids arrive.
 
-A chunk occurs once a block however frequent it is, so no chunk is hot, and a block bounds what one task holds. Decoding is the library's, on
-each document's ids. The driver loads the model to see whether its pieces and its normalisation allow the cut; if not, texts are encoded whole.
+A chunk occurs once a block however frequent it is, so no chunk is hot; a block and the distinct chunks of a bucket bound what one task holds.
+What moves or is stored is compressed per block and bucket. Decoding is the library's, on each document's ids. The driver loads the model to
+see whether its pieces and its normalisation allow the cut; if not, texts are encoded whole.
 
 Defined cases: null and empty texts have only the begin and end ids and decode to an empty text; literal marker characters count as spaces, as in
 the library; very long texts are a block of their own; repeated rows are encoded each; an empty table has no rows; only the text and
@@ -21,12 +22,15 @@ from __future__ import annotations
 import re
 import sys
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +39,11 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, Str
 from wattshift.llm.common import partitions
 from wattshift.session import scratch_path
 
-BLOCK_BYTES = 32 << 20     # characters of text whose chunks are numbered together
+BLOCK_BYTES = 16 << 20     # characters of text whose chunks are numbered together
 SLICE_ROWS = 256
-SLICE_IDS = 1 << 20        # ids put in place by one vectorised step
 MARK = "▁"
-BEGIN, END, FIRST = 0, 1, 2   # numbers of the begin id, the end id and the first chunk
+BLOCK_FIELDS = [StructField("block", LongType()), StructField("bucket", IntegerType()), StructField("texts", BinaryType()), StructField("at", BinaryType())]
+PLANES = ["b0", "b1", "b2", "b3"]   # the bytes of a document's chunk numbers, which compress better apart
 
 
 class Model:
@@ -72,112 +76,136 @@ class Model:
         return [ids[1:] if t[0] != " " else ids or [self.mark] for t, ids in zip(texts, found)]
 
 
-def _cut(opens: str):
+def _pack(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values, "<u4").reshape(-1, 1).view(np.uint8).T.tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack_texts(texts: list[str]) -> bytes:
+    """Lengths and characters of texts."""
+    lengths = _pack(np.fromiter(map(len, texts), "<u4", len(texts)))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.compress("".join(texts).encode())
+
+
+def _unpack_texts(raw: bytes) -> list[str]:
+    at = 4 + int.from_bytes(raw[:4], "little")
+    joined = zstandard.decompress(raw[at:]).decode()
+    return [joined[a:b] for a, b in pairwise(accumulate(_unpack(raw[4:at]).tolist(), initial=0))]
+
+
+def _cut(opens: str, buckets: int):
     rest = f"[^{re.escape(opens)}]*"
     others = "".join(c for c in opens if c != " ")
     find = re.compile(f" +{rest}" + (f"|[{re.escape(others)}]{rest}" if others else "")).findall
 
+    def numbering() -> defaultdict:
+        number: defaultdict = defaultdict()
+        number.default_factory = number.__len__
+        return number
+
+    def settled(block: int, number: dict, rows: list[pa.Array], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The documents of a block by their chunks' numbers, and the chunks by bucket with their numbers."""
+        uses = np.bincount(np.concatenate(docs) if docs else [], minlength=len(number))
+        rank = np.empty(len(number), "<u4")
+        rank[np.argsort(-uses, kind="stable")] = np.arange(len(number), dtype="<u4")
+        for column in rows:
+            own, docs = docs[: len(column)], docs[len(column):]
+            planes = [np.ascontiguousarray(rank[x]).view(np.uint8).reshape(-1, 4) for x in own]
+            yield batch_of(block, len(column), column, {f"b{k}": pa.array([x[:, k].tobytes() for x in planes], pa.binary()) for k in range(4)})
+        dealt: list[list[str]] = [[] for _ in range(buckets)]
+        for chunk in sorted(number):
+            dealt[zlib.crc32(chunk.encode()) % buckets].append(chunk)
+        held = [k for k in range(buckets) if dealt[k]]
+        for at in range(0, len(held), 64):
+            part = held[at: at + 64]
+            places = [rank[np.fromiter(map(number.__getitem__, dealt[k]), np.int64, len(dealt[k]))] for k in part]
+            yield batch_of(block, len(part), pa.nulls(len(part), rows[0].type), {
+                "bucket": pa.array(part, pa.int32()), "texts": pa.array([_pack_texts(dealt[k]) for k in part], pa.binary()),
+                "at": pa.array([_pack(x) for x in places], pa.binary())})
+
+    def batch_of(block: int, n: int, row: pa.Array, given: dict) -> pa.RecordBatch:
+        columns = {"block": pa.array([block] * n, pa.int64()), "bucket": pa.nulls(n, pa.int32()), "row": row} | given
+        names = [f.name for f in BLOCK_FIELDS] + PLANES + ["row"]
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, pa.binary())) for c in names], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, number, kind = TaskContext.get().partitionId() << 32, 0, _numbering(), None
+        block, size, number, rows, docs = TaskContext.get().partitionId() << 32, 0, numbering(), [], []
         for batch in batches:
-            kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                part, numbers = batch.slice(at, SLICE_ROWS), []
+                part = batch.slice(at, SLICE_ROWS)
+                rows.append(part.column(0))
                 for text in part.column(1).to_pylist():
                     found = find(" " + text.replace(MARK, " ")) if text else []
-                    numbers.append(np.fromiter(map(number.__getitem__, found), "<u4", len(found)).tobytes())
+                    docs.append(np.fromiter(map(number.__getitem__, found), "<u4", len(found)))
                     size += len(text or "")
-                rows = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.string()), part.column(0), pa.array(numbers, pa.binary())],
-                    ["block", "at", "chunk", "row", "numbers"])
                 if size >= BLOCK_BYTES:
-                    yield from _distinct(block, number, kind)
-                    block, size, number = block + 1, 0, _numbering()
-        if kind is not None:
-            yield from _distinct(block, number, kind)
+                    yield from settled(block, number, rows, docs)
+                    block, size, number, rows, docs = block + 1, 0, numbering(), [], []
+        if rows:
+            yield from settled(block, number, rows, docs)
     return run
 
 
-def _numbering() -> defaultdict:
-    number: defaultdict = defaultdict()
-    number.default_factory = number.__len__
-    number[BEGIN], number[END]
-    return number
-
-
-def _distinct(block: int, number: dict, row: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """The numbered chunks of a block."""
-    chunks = [c for c in number if isinstance(c, str)]
-    for at in range(0, len(chunks), 1 << 16):
-        part = chunks[at: at + (1 << 16)]
-        n = len(part)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * n, pa.int64()), pa.array(np.arange(at + FIRST, at + FIRST + n, dtype=np.int32)), pa.array(part, pa.string()), pa.nulls(n, row),
-             pa.nulls(n, pa.binary())], ["block", "at", "chunk", "row", "numbers"])
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The pieces of flat that ``which`` names, behind one another."""
+    size = sizes[which]
+    ends = np.cumsum(size)
+    return flat[np.repeat(starts[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _segment(path: str):
-    """Sorted (block, at, chunk) to one row per block and batch: places, numbers of ids, ids."""
+    """The chunks of every block, bucket by bucket, to their numbers of ids and their ids, in the same order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, last, held = None, None, []
+        model, at = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
             model = model or Model(path)
-            runs = batch.column(2).dictionary_encode()
-            texts = runs.dictionary.to_pylist()
-            known = texts[0] == last
-            ids = ([held] if known else []) + model.chunks(texts[known:])
-            last, held = texts[-1], ids[-1]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), model.dtype, int(sizes.sum()))
-            starts = np.cumsum(sizes) - sizes
-            blocks = batch.column(0).to_numpy()
-            order = np.argsort(blocks, kind="stable")
-            which, places = runs.indices.to_numpy()[order], batch.column(1).to_numpy()[order]
-            edges = [0, *(np.flatnonzero(np.diff(blocks[order])) + 1).tolist(), len(order)]
-            out = [(int(blocks[order[a]]), places[a:b].astype("<u4").tobytes(), sizes[which[a:b]].astype("<u4").tobytes(),
-                    _gather(flat, starts, sizes, which[a:b]).tobytes()) for a, b in pairwise(edges)]
-            block, at, size, values = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block, pa.int64()), pa.array(at, pa.binary()), pa.array(size, pa.binary()), pa.array(values, pa.binary())], ["block", "at", "size", "ids"])
+            out = []
+            for block, bucket, raw in zip(*[c.to_pylist() for c in batch.columns]):
+                if bucket != at:
+                    at, known = bucket, {}      # every chunk of the bucket that has come up, and its ids
+                texts = _unpack_texts(raw)
+                new = [t for t in texts if t not in known]
+                known.update(zip(new, [np.array(ids, model.dtype).tobytes() for ids in model.chunks(new)]))
+                found = [known[t] for t in texts]
+                sizes = np.fromiter(map(len, found), np.int64, len(found)) // model.dtype.itemsize
+                out.append((block, bucket, _pack(sizes), zstandard.compress(b"".join(found))))
+            block, bucket, sizes, ids = zip(*out) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())],
+                                             ["block", "bucket", "sizes", "ids"])
     return run
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The pieces of flat that ``which`` names, behind one another."""
-    size = sizes[which]
-    ends = np.cumsum(size)
-    return flat[np.repeat(starts[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-
-
-def _place(dtype: np.dtype, begin: int, end: int):
-    """Documents of a block as numbers, and the ids of its chunks, to documents as ids."""
-    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(found[c].to_pylist()), kind)
-        at, size, ids = join("at", "<u4"), join("size", "<u4").astype(np.int64), join("ids", dtype)
-        starts, sizes = np.zeros(len(at) + FIRST, np.int64), np.ones(len(at) + FIRST, np.int64)
-        starts[at], sizes[at] = np.cumsum(size) - size, size
-        starts[BEGIN], starts[END] = len(ids), len(ids) + 1
-        flat = np.concatenate((ids, np.array([begin, end], dtype))).astype("<u4")
-        numbers = [np.frombuffer(x, "<u4") for x in docs["numbers"].to_pylist()]
-        out, n_tokens, waiting, total = [], [], [], 0
-        for i, x in enumerate(numbers):
-            waiting.append(np.concatenate(([BEGIN], x, [END])).astype(np.int64))
-            total += int(sizes[waiting[-1]].sum())
-            if total >= SLICE_IDS or i == len(numbers) - 1:
-                which = np.concatenate(waiting)
-                counts = np.add.reduceat(sizes[which], np.cumsum([0, *[len(w) for w in waiting[:-1]]]))
-                values, ends = _gather(flat, starts, sizes, which), np.concatenate(([0], np.cumsum(counts)))
-                out += [values[a:b].tobytes() for a, b in pairwise(ends.tolist())]
-                n_tokens += counts.tolist()
-                waiting, total = [], 0
-        return pa.table({"row": docs["row"], "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(out, pa.binary())})
+def _place(path: str, decoded: bool):
+    """The documents of a block as numbers, the numbers of its chunks by bucket, and the ids of the chunks: documents as ids."""
+    def run(held: pa.Table, found: pa.Table) -> pa.Table:
+        model = Model(path)
+        numbers_of = {k: _unpack(x) for k, x in zip(held["bucket"].to_pylist(), held["at"].to_pylist()) if k is not None}
+        which = np.concatenate([numbers_of[k] for k in found["bucket"].to_pylist()] or [np.zeros(0, "<u4")])
+        size = np.concatenate([_unpack(x) for x in found["sizes"].to_pylist()] or [np.zeros(0)]).astype(np.int64)
+        begin, end = model.processor.bos_id(), model.processor.eos_id()
+        flat = np.frombuffer(b"".join([*map(zstandard.decompress, found["ids"].to_pylist()), np.array([begin, end], model.dtype).tobytes()]), model.dtype)
+        starts, sizes = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        starts[which], sizes[which] = np.cumsum(size) - size, size
+        docs = held.filter(pa.compute.is_valid(held["b0"]))
+        counts, out, texts = [], [], []
+        for part in docs.to_batches(max_chunksize=SLICE_ROWS):
+            listed = []
+            for planes in zip(*[part.column(c).to_pylist() for c in PLANES]):
+                number = np.stack([np.frombuffer(x, np.uint8) for x in planes], axis=1).reshape(-1).view("<u4")
+                ids = np.concatenate(([begin], _gather(flat, starts, sizes, number), [end])).astype("<u4")
+                counts.append(len(ids))
+                out.append(ids.tobytes())
+                listed.append(ids.tolist() if decoded else None)
+            texts += model.processor.decode(listed) if decoded else []
+        columns = {"row": docs["row"], "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())}
+        return pa.table(columns | ({"text": pa.array(texts, pa.string())} if decoded else {}))
     return run
 
 
-def _whole(path: str):
+def _whole(path: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for batch in batches:
@@ -185,40 +213,40 @@ def _whole(path: str):
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 ids = model.processor.encode([t or "" for t in part.column(1).to_pylist()], add_bos=True, add_eos=True, num_threads=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                                                  pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], ["row", "n_tokens", "ids"])
+                columns = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(model.processor.decode(ids), pa.string())] if decoded else []),
+                                                 ["row", "n_tokens", "ids"] + ["text"] * decoded)
     return run
 
 
 def _settled_blocks(rows: DataFrame, opens: str) -> DataFrame:
     """Documents and distinct chunks by block, in a table bucketed by block."""
     spark = rows.sparkSession
-    schema = StructType([StructField("block", LongType()), StructField("at", IntegerType()), StructField("chunk", StringType()), StructField("row", rows.schema["row"].dataType),
-                         StructField("numbers", BinaryType())])
+    schema = StructType([*BLOCK_FIELDS, *[StructField(c, BinaryType()) for c in PLANES], StructField("row", rows.schema["row"].dataType)])
     name = f"wattshift_blocks_{uuid.uuid4().hex}"
-    rows.mapInArrow(_cut(opens), schema).write.bucketBy(partitions(spark), "block").option("path", scratch_path(spark, "blocks")).option(
-        "compression", "zstd").format("parquet").saveAsTable(name)
+    rows.mapInArrow(_cut(opens, partitions(spark)), schema).write.bucketBy(partitions(spark), "block").option(
+        "path", scratch_path(spark, "blocks")).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", carry: Sequence[str] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """The carried columns, n_tokens and ids (little-endian 4-byte integers, begin and end ids included) of every row.
 
-    ``model`` is a path that the driver and all executors can open.
+    ``model`` is a path that the driver and all executors can open. ``decoded`` adds the text that the library makes of the ids.
     """
-    loaded = Model(model)
-    opens, begin, end = loaded.cuts(), loaded.processor.bos_id(), loaded.processor.eos_id()
+    opens = Model(model).cuts()
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("row"), F.col(f"`{text}`").alias("text"))
-    schema = StructType([rows.schema["row"], StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
+    schema = StructType([rows.schema["row"], StructField("n_tokens", LongType()), StructField("ids", BinaryType()), *[StructField("text", StringType())] * decoded])
     if opens is None:
-        encoded = rows.mapInArrow(_whole(model), schema)
+        encoded = rows.mapInArrow(_whole(model, decoded), schema)
     else:
         blocks = _settled_blocks(rows, opens)
-        chunks = blocks.filter("chunk is not null").select("block", "at", "chunk").repartition("chunk").sortWithinPartitions("chunk")
-        found = chunks.mapInArrow(_segment(model), "block long, at binary, size binary, ids binary")
-        held = blocks.filter("numbers is not null").select("block", "row", "numbers")
-        encoded = held.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_place(loaded.dtype, begin, end), schema)
-    return encoded.select(*[F.col("row").getField(c).alias(c) for c in carry], "n_tokens", "ids")
+        chunks = blocks.filter("bucket is not null").select("block", "bucket", "texts")
+        met = chunks.repartitionById(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+        found = met.mapInArrow(_segment(model), "block long, bucket int, sizes binary, ids binary")
+        held = blocks.select("block", "bucket", "at", *PLANES, "row")
+        encoded = held.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_place(model, decoded), schema)
+    return encoded.select(*[F.col("row").getField(c).alias(c) for c in carry], "n_tokens", "ids", *["text"] * decoded)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
