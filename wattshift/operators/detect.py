@@ -40,7 +40,8 @@ def with_context(
     )
 
 
-def _summarise(params: DetectorParams, keys: list[str], resets: bool):
+def summary_of(params: DetectorParams, keys: list[str], resets: bool):
+    """Function from a chunk's key and rows, context included, to its transfer map and chain moves."""
     columns = [*keys, *_SUMMARY]
     w2, size = params.w2, params.partition
     eps, locality = params.eps, params.min_locality
@@ -143,7 +144,7 @@ def summarise_chunks(
         with_context(features, params, keys)
         .repartition(tasks, *keys, "chunk")
         .groupBy(*keys, "chunk")
-        .applyInPandas(_summarise(params, keys, resets), schema)
+        .applyInPandas(summary_of(params, keys, resets), schema)
     )
 
 

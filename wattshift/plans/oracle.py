@@ -241,6 +241,14 @@ def both(p: int) -> tuple[str, ...]:
 
 
 
+def alone(p: int) -> tuple[str, ...]:
+    """Results of chunks judged from a fresh window each, and of the whole series."""
+    return (*ONE, f"detector_input AS (SELECT idx // {p} AS stream_id, idx % {p} AS idx, f1, f2 FROM features)", DETECTOR,
+            f"""provisional AS (
+  SELECT stream_id * {p} + s AS s, event_start + stream_id * {p} AS event_start, event_end + stream_id * {p} AS event_end FROM results)""",
+            _rename(DIRECT, "_true"), _rename(DETECTOR, "_true"))
+
+
 ORACLE: dict[str, str] = {
     # sources and sinks
     "src_ordered": select(
@@ -414,6 +422,11 @@ ORACLE: dict[str, str] = {
         f"""samples AS (
   SELECT event_id % 2 AS stream_id, event_id + (event_id % 2) * {1000 * W1} AS i, value AS voltage, {CURRENT} AS current
   FROM events)""", POWER, FEATURES, WINDOW_ROWS),
+    "stream_idle_close": select(*MANY, WINDOW_ROWS),
+    "stream_verify": select(
+        *alone(130), """SELECT r.*, r.event_start IS DISTINCT FROM p.event_start OR r.event_end IS DISTINCT FROM p.event_end AS corrected
+          FROM results_true r JOIN provisional p USING (s)"""),
+    "stream_upsert": select(*ONE_RESULTS, RESULT_ROWS),
     "e2e_ordered": select(*ONE_RESULTS, JSON_ROWS),
     "e2e_out_of_order": select(GAPPY, LOCF, FEATURES, DIRECT, DETECTOR, JSON_ROWS),
 }
@@ -431,6 +444,8 @@ _BACK = select(
 QUALIFY row_number() OVER (PARTITION BY {BLOCK_KEYS} ORDER BY cut DESC) = 1""",
 )
 ORACLE["backward_pass"] = _BACK
+ORACLE["stream_contiguous"] = ORACLE["contiguous_prefix"]
+ORACLE["stream_recheck"] = ORACLE["recheck_points"]
 ORACLE["detect_window"] = (
     f"SELECT {BLOCK_KEYS}, event_start, event_end FROM ({_BACK})"
 )

@@ -26,12 +26,15 @@ from wattshift.operators import frames as fr
 from wattshift.operators import reconcile as rc
 from wattshift.operators.ordering import row_chunks
 from wattshift.operators.udtf import detect_udtf
-from wattshift.plans.replay import write_replay
+from wattshift.plans.replay import write_replay, write_timed
 from wattshift.plans.testbed import BLOCK, PARAMS, events, gappy, signal, signal_multi
 from wattshift.session import scratch_path, settle
 from wattshift.sources import samples as src
-from wattshift.sources.results import result_json
+from wattshift.sources.results import ResultTable, result_json
 from wattshift.streaming import pipeline as pl
+from wattshift.streaming.recheck import stream_recheck_points
+from wattshift.streaming.sequence import in_sequence
+from wattshift.streaming.verify import latest_results, verified_results
 
 WINDOW = ["stream_id", "window_id"]
 # Partitions that do not end where a quiet window would restart, so provisional results err.
@@ -607,6 +610,69 @@ def stream_unequal_clocks(spark, sf):
     return rows.select("stream_id", "window_no", r6("f1"), r6("f2"), "size")
 
 
+@query
+def stream_idle_close(spark, sf):
+    """Four streams; two of them stop in the middle of the replay without an end mark, and a timer closes their last windows."""
+    rows = signal_multi(spark, sf)
+    last = rows.groupBy("stream_id").agg(F.max("batch_no").alias("last"))
+    stops = F.col("stream_id") % 2 == 1
+    step = int_div(F.col("batch_no") * F.when(stops, 2).otherwise(6), F.col("last") + 1).cast("int").alias("step")
+    steps = src.to_batches(rows, ["stream_id", "batch_no"]).join(F.broadcast(last), "stream_id").select("stream_id", step, "value")
+    ends = src.end_marks(rows, ["stream_id"]).filter(~stops).select("stream_id", F.lit(6).alias("step"), "value")
+    path = write_timed(spark, steps.unionByName(ends), ["stream_id"], "idle")
+    stream = src.stream_batches(pl.stateful_session(spark), path, 4, arrival=True)
+    closed = pl.run_to_files(pl.tumbling(stream, PARAMS, idle=pl.Idle(90_000)), spark, "idle")
+    return closed.select("stream_id", "window_no", r6("f1"), r6("f2"), "size")
+
+
+def _verified(spark, sf):
+    session, stream = _replayed(spark, signal(spark, sf))
+    return verified_results(pl.closed_windows(stream, MISALIGNED, marks=True), MISALIGNED)
+
+
+@query
+def stream_verify(spark, sf):
+    """Live detection in chunks that do not end where windows restart; corrected results replace provisional ones."""
+    return latest_results(pl.run_to_files(_verified(spark, sf), spark, "verify"))
+
+
+@query
+def stream_upsert(spark, sf):
+    """Provisional results and corrections as they come, upserted by stream and number."""
+    path = scratch_path(spark, "upsert")
+    table = ResultTable(spark, f"{path}/table")
+    pl.run_available(table.writer(_verified(spark, sf), f"{path}/checkpoint"))
+    table.compact()
+    return table.view()
+
+
+@query
+def stream_contiguous(spark, sf):
+    """Full windows that arrive out of order are released in sequence until the first hole."""
+    full = fe.window_sums(gappy(spark, sf), PARAMS).filter(F.col("n") * 10 > PARAMS.w1 * 6)
+    rows = full.select("stream_id", F.col("window_no").alias("s"), "n")
+    # Every row is held back by a hashed number of steps.
+    last = rows.agg(F.max("s")).first()[0] or 0
+    step = int_div(F.col("s") * 6, last + 1) + F.pmod(F.xxhash64("stream_id", "s"), F.lit(3))
+    path = write_timed(spark, rows.select(step.cast("int").alias("step"), F.to_json(F.struct("stream_id", "s", "n")).alias("value")), [], "sequence")
+    session = pl.stateful_session(spark)
+    schema = "stream_id long, s long, n long"
+    arriving = session.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(path)
+    return pl.run_to_files(in_sequence(arriving, schema), spark, "sequence")
+
+
+@query
+def stream_recheck(spark, sf):
+    """Features and results of a live stream, joined as streams."""
+    session, stream = _replayed(spark, signal(spark, sf))
+    sides = []
+    for label, rows in (("features", pl.signal_features(stream, PARAMS, fill=False)), ("events", pl.signal_results(stream, PARAMS, fill=False))):
+        path = scratch_path(spark, label)
+        pl.run_available(rows.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state"))
+        sides.append(session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/rows"))
+    return pl.run_to_files(stream_recheck_points(*sides, PARAMS), spark, "recheck").select("stream_id", "idx", "window_no")
+
+
 def _end_to_end(spark, samples, late):
     """Wire files in, one JSON result per feature out."""
     source, files = write_replay(spark, samples, PARAMS, shuffle_within=PARAMS.max_latency if late else 0)

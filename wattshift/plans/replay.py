@@ -10,6 +10,7 @@ from wattshift.session import scratch_path, settle
 from wattshift.sources.samples import end_marks, to_batches
 
 ROWS_PER_FILE = 2_000_000
+BASE_TIME = 1_600_000_000_000   # arrival of the first step of a timed replay, milliseconds
 
 
 def write_replay(
@@ -39,3 +40,22 @@ def write_replay(
         to_batches(part).repartition(1).write.mode("append").text(path)
     end_marks(placed).repartition(1).write.mode("append").text(path)
     return path, 1
+
+
+def write_timed(spark: SparkSession, texts: DataFrame, keys: list[str], label: str = "timed", spacing: int = 60_000) -> str:
+    """Write rows with a column ``step`` as files that arrive ``spacing`` milliseconds apart from step to step; returns a path to read.
+
+    Rows of one step and of equal keys are in one file, so that the order in which files of one step are taken does not matter. File
+    times are set through the file system, since the source reads by them.
+    """
+    path = scratch_path(spark, label)
+    texts.repartition("step", *keys).select("step", "value").write.partitionBy("step").text(path)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):
+        if folder.isDirectory():
+            step = int(folder.getPath().getName().split("=")[1])
+            for file in fs.listStatus(folder.getPath()):
+                fs.setTimes(file.getPath(), BASE_TIME + step * spacing, -1)
+    return f"{path}/step=*"

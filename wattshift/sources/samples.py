@@ -98,23 +98,24 @@ def ends_stream(column: str = "value") -> Column:
     return F.coalesce(F.get_json_object(column, "$.records") == "", F.lit(False))
 
 
-def to_batches(samples: DataFrame) -> DataFrame:
-    """Samples packed into wire texts, one row per stream and batch."""
+def to_batches(samples: DataFrame, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Samples packed into wire texts, one row per stream and batch; ``keep`` names key columns to return beside ``value``."""
     packed = samples.groupBy("stream_id", "batch_no").agg(
         F.sort_array(F.collect_list(F.struct("i", "voltage", "current"))).alias("records"))
-    return packed.select(F.to_json(F.struct("stream_id", "batch_no", "records")).alias("value"))
+    return packed.select(*keep, F.to_json(F.struct("stream_id", "batch_no", "records")).alias("value"))
 
 
-def end_marks(samples: DataFrame) -> DataFrame:
+def end_marks(samples: DataFrame, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """The wire text that ends each stream, numbered behind the stream's last batch."""
     last = samples.groupBy("stream_id").agg((F.max("batch_no") + 1).alias("batch_no"))
-    return last.select(F.to_json(F.struct("stream_id", "batch_no", F.lit("").alias("records"))).alias("value"))
+    return last.select(*keep, F.to_json(F.struct("stream_id", "batch_no", F.lit("").alias("records"))).alias("value"))
 
 
 def wire_batches(texts: DataFrame) -> DataFrame:
     """``(stream_id, batch_no, records, ended, value)`` of wire texts in column ``value``; ids come from readable parts."""
     number = lambda name: F.get_json_object("value", f"$.{name}").try_cast("long").alias(name)
-    return parse_batches(texts.select(number("stream_id"), number("batch_no"), ends_stream().alias("ended"),
+    others = [c for c in texts.columns if c != "value"]
+    return parse_batches(texts.select(number("stream_id"), number("batch_no"), ends_stream().alias("ended"), *others,
                                       F.col("value"), F.col("value").alias("_text")), "_text")
 
 
@@ -131,13 +132,17 @@ def quarantine(batches: DataFrame) -> DataFrame:
         "stream_id", "batch_no", "i", "value")
 
 
-def stream_texts(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    return wire_batches(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
+def stream_texts(spark: SparkSession, path: str, files_per_trigger: int = 1, arrival: bool = False) -> DataFrame:
+    """Wire batches as they arrive; with ``arrival`` the time of their file in column ``arrived``."""
+    texts = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    if arrival:
+        texts = texts.select("value", F.col("_metadata.file_modification_time").alias("arrived"))
+    return wire_batches(texts)
 
 
-def stream_batches(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+def stream_batches(spark: SparkSession, path: str, files_per_trigger: int = 1, arrival: bool = False) -> DataFrame:
     """Samples as they arrive with event time ``ts``; a stream's end mark is a row with ``ended`` and no sample."""
-    raw = stream_texts(spark, path, files_per_trigger)
+    raw = stream_texts(spark, path, files_per_trigger, arrival)
     mark = F.struct(F.lit(None).cast("string").alias("i"), F.lit(None).cast("string").alias("voltage"),
                     F.lit(None).cast("string").alias("current"))
     rows = raw.withColumn("records", F.when(F.col("ended"), F.array(mark)).otherwise(F.col("records")))

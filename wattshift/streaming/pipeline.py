@@ -12,6 +12,7 @@ small row per closed window and group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from wattshift.streaming.processors import (
 
 GROUPS = 8   # keys over which the samples of one stream are spread
 
-_CLOCK = "stream_id long, grp long, clock long, ended boolean, "
+_CLOCK = "stream_id long, grp long, clock long, ended boolean, arrived long, "
 PACKED_SUMS = _CLOCK + "window_no array<long>, n array<long>, sum_vi array<double>, sum_vv array<double>, sum_cc array<double>"
 PACKED_READINGS = _CLOCK + "i array<long>, batch array<long>, voltage array<double>, current array<double>"
 
@@ -71,7 +72,7 @@ def _pack_sums(w1: int):
                 v, c = good["voltage"].to_numpy(float), good["current"].to_numpy(float)
                 window, at = np.unique(good["i"].to_numpy(np.int64) // w1, return_inverse=True)
                 sums = [np.bincount(at, x, len(window)).tolist() for x in (v * c, v * v, c * c)]
-                out.append((stream, 0, rows["batch_no"].max(), bool(rows["ended"].any()), window.tolist(), np.bincount(at, minlength=len(window)).tolist(), *sums))
+                out.append((stream, 0, rows["batch_no"].max(), bool(rows["ended"].any()), rows["arrived"].max(), window.tolist(), np.bincount(at, minlength=len(window)).tolist(), *sums))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in PACKED_SUMS.split(", ")])
     return run
 
@@ -88,31 +89,54 @@ def _pack_readings(w1: int, groups: int, by_window: bool):
                 values = [i, *[good[c].to_numpy() for c in ("batch_no", "voltage", "current")]]
                 for g in range(groups):
                     own = group == g
-                    out.append((stream, g, rows["batch_no"].max(), bool(rows["ended"].any()), *[x[own].tolist() for x in values]))
+                    out.append((stream, g, rows["batch_no"].max(), bool(rows["ended"].any()), rows["arrived"].max(), *[x[own].tolist() for x in values]))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in PACKED_READINGS.split(", ")])
     return run
 
 
 def _pack(samples: DataFrame, packer, schema: str) -> DataFrame:
+    arrived = F.unix_millis("arrived") if "arrived" in samples.columns else F.lit(0).cast("long")
     columns = samples.filter("stream_id is not null and batch_no is not null").select(
-        "stream_id", "batch_no", "i", "voltage", "current", "ended")
+        "stream_id", "batch_no", "i", "voltage", "current", "ended", arrived.alias("arrived"))
     return columns.mapInPandas(packer, schema)
 
 
+@dataclass(frozen=True)
+class Idle:
+    """When a stream counts as stopped: no input for ``millis``.
+
+    Time is that of arrival (column ``arrived`` of the samples), which goes on with the input of other streams and is the same in
+    every replay, or with ``wall_clock`` that of the machine, which goes on without any input.
+    """
+
+    millis: int
+    wall_clock: bool = False
+
+    @property
+    def time_mode(self) -> str:
+        return "ProcessingTime" if self.wall_clock else "EventTime"
+
+
 def closed_windows(
-    samples: DataFrame, params: DetectorParams, delay_windows: int = 1, fill: bool = False, groups: int = GROUPS
+    samples: DataFrame, params: DetectorParams, delay_windows: int = 1, fill: bool = False, groups: int = GROUPS,
+    idle: Idle | None = None, marks: bool = False,
 ) -> DataFrame:
     """Shares of each tumbling window once the stream's clock closes it (``PART_SCHEMA``).
 
     ``delay_windows`` is how many windows a sample may lag behind the newest one: 1 for
-    ordered input, ``max_latency + 1`` for out-of-order input. Later samples are dropped.
+    ordered input, ``max_latency + 1`` for out-of-order input. Later samples are dropped. With ``idle`` a stream that stops
+    without an end mark closes its windows after that time.
     """
+    if idle and not idle.wall_clock:
+        samples = samples.withWatermark("arrived", "0 seconds")
+    timing = (idle.millis, not idle.wall_clock) if idle else (None, True)
     if fill:
         packed = _pack(samples, _pack_readings(params.w1, groups, by_window=False), PACKED_READINGS)
-        processor = SlotSums(params, groups, delay_windows)
+        processor = SlotSums(params, groups, delay_windows, *timing)
     else:
-        packed, processor = _pack(samples, _pack_sums(params.w1), PACKED_SUMS), WindowSums(delay_windows)
-    return packed.groupBy("stream_id", "grp").transformWithStateInPandas(processor, PART_SCHEMA, "append", "none")
+        packed, processor = _pack(samples, _pack_sums(params.w1), PACKED_SUMS), WindowSums(delay_windows, *timing, marks)
+    return packed.groupBy("stream_id", "grp").transformWithStateInPandas(
+        processor, PART_SCHEMA, "append", idle.time_mode if idle else "none")
 
 
 def signal_features(
@@ -123,11 +147,11 @@ def signal_features(
         SignalProcessor(params, detect=False), FEATURE_SCHEMA, "append", "none")
 
 
-def tumbling(samples: DataFrame, params: DetectorParams, delay_windows: int = 1) -> DataFrame:
+def tumbling(samples: DataFrame, params: DetectorParams, delay_windows: int = 1, idle: Idle | None = None) -> DataFrame:
     """Power point of every closed window from its own samples (no dense index)."""
     from wattshift.operators.features import feature_columns, power_columns
 
-    powered = power_columns(closed_windows(samples, params, delay_windows))
+    powered = power_columns(closed_windows(samples, params, delay_windows, idle=idle))
     return powered.select(
         "stream_id", F.col("first_window").alias("window_no"), *feature_columns(powered, params), F.col("n").alias("size")
     )

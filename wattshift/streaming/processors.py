@@ -3,6 +3,10 @@
 Input comes packed (see ``pipeline``): one row per key and Arrow batch, with the key's clock. The clock of a stream is the
 number of its newest batch and belongs to that stream alone. A window ``w`` closes when the clock reaches
 ``w + delay``, or at the stream's end mark. Rows of closed windows are late and dropped.
+
+A stream that stops without an end mark has its windows closed by a timer: every key with input puts its timer ``idle``
+milliseconds behind the newest arrival, and the timer that is reached closes what waits. A stream that goes on later goes on with
+its next window.
 """
 
 from __future__ import annotations
@@ -47,32 +51,34 @@ class _Clocked(StatefulProcessor):
     batch; entries are never rewritten."""
 
     delay: int
+    idle: int | None = None     # milliseconds without input after which a key closes what it holds
+    by_arrival = True           # arrival times and watermark, or the clock of the machine
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.clock = handle.getValueState("clock", "closed long, entries long")
         self.waiting = handle.getMapState("waiting", "window_no long, entry long", "block binary")
+        if self.idle is not None:
+            self.seen = handle.getValueState("seen", "newest long, due long")
 
-    def absorb(self, rows, windows_of) -> tuple[dict[int, list[np.ndarray]], int, int]:
+    def absorb(self, rows, windows_of, timers=None) -> tuple[dict[int, list[np.ndarray]], int, int]:
         """Store the rows of open windows; return the windows that close now with their rows, and the closed bounds before
         and after. windows_of turns a packed row into (window numbers, table of values)."""
         before, entries = self.clock.get() if self.clock.exists() else (OPEN, 0)
-        closed, arrived = before, []
+        closed, arrived, newest, latest = before, [], OPEN, None
         for packed in rows:
             for row in packed.itertuples(index=False):
                 closed = max(closed, ENDED if row.ended else row.clock - self.delay)
+                latest = row.arrived if latest is None else max(latest, row.arrived)
                 windows, table = windows_of(row)
                 order = np.argsort(windows, kind="stable")
                 windows, table = windows[order], table[order]
                 fresh = windows > before
+                newest = max(newest, int(windows[-1]) if len(windows) else OPEN)
                 for part in np.split(np.flatnonzero(fresh), np.flatnonzero(np.diff(windows[fresh])) + 1):
                     if len(part):
                         arrived.append((int(windows[part[0]]), table[part]))
-        due: dict[int, list[np.ndarray]] = {}
-        if closed > before:
-            for (window, entry), (block,) in list(self.waiting.iterator()):
-                if window <= closed:
-                    due.setdefault(window, []).append(np.frombuffer(block).reshape(-1, self.width))
-                    self.waiting.removeKey((window, entry))
+        due = self._due(closed) if closed > before else {}
         for window, table in arrived:
             if window <= closed:
                 due.setdefault(window, []).append(table)
@@ -80,26 +86,64 @@ class _Clocked(StatefulProcessor):
                 self.waiting.updateValue((window, entries), (np.ascontiguousarray(table, float).tobytes(),))
                 entries += 1
         self.clock.update((closed, entries))
+        if self.idle is not None:
+            self._put_off(newest, closed, int(latest) if self.by_arrival else timers.getCurrentProcessingTimeInMs())
         return due, before, closed
 
+    def _due(self, closed: int) -> dict[int, list[np.ndarray]]:
+        """Take the waiting rows of closed windows out of the state."""
+        due: dict[int, list[np.ndarray]] = {}
+        for (window, entry), (block,) in list(self.waiting.iterator()):
+            if window <= closed:
+                due.setdefault(window, []).append(np.frombuffer(block).reshape(-1, self.width))
+                self.waiting.removeKey((window, entry))
+        return due
+
+    def _put_off(self, newest: int, closed: int, now: int) -> None:
+        """Move the key's one timer behind the newest input; a stream that has ended needs none."""
+        known, due = self.seen.get() if self.seen.exists() else (OPEN, None)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        newest, due = max(known, newest), None
+        if closed != ENDED and newest > closed:
+            due = now + self.idle
+            self.handle.registerTimer(due)
+        self.seen.update((newest, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        newest, due = self.seen.get()
+        if due != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        before, entries = self.clock.get()
+        self.seen.update((newest, None))
+        if newest > before:
+            self.clock.update((newest, entries))
+            yield from self.released(key, self._due(newest), before, newest)
+
     def close(self) -> None:
         pass
 
 
 class WindowSums(_Clocked):
-    """Closed windows of a stream from partial sums: one row per window."""
+    """Closed windows of a stream from partial sums: one row per window, and with ``marks`` one without samples at the stream's end."""
 
     width = 4
 
-    def __init__(self, delay: int) -> None:
-        self.delay = delay
+    def __init__(self, delay: int, idle: int | None = None, by_arrival: bool = True, marks: bool = False) -> None:
+        self.delay, self.idle, self.by_arrival, self.marks = delay, idle, by_arrival, marks
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        due, _, _ = self.absorb(rows, lambda r: (np.asarray(r.window_no), np.stack([np.asarray(r.n, float), r.sum_vi, r.sum_vv, r.sum_cc], 1)))
+        due, before, closed = self.absorb(
+            rows, lambda r: (np.asarray(r.window_no), np.stack([np.asarray(r.n, float), r.sum_vi, r.sum_vv, r.sum_cc], 1)), timerValues)
+        yield from self.released(key, due, before, closed)
+
+    def released(self, key, due, before: int, closed: int) -> Iterator[pd.DataFrame]:
         out = []
         for window, tables in sorted(due.items()):
             n, vi, vv, cc = np.concatenate(tables).sum(axis=0)
             out.append((key[0], window, window, int(n), vi, vv, cc, int(n), vi, vv, cc))
+        if self.marks and closed == ENDED and before != ENDED:
+            out.append((key[0], ENDED, ENDED, 0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0))
         yield _frame(out, PART_SCHEMA)
 
 
@@ -111,8 +155,8 @@ class SlotSums(_Clocked):
 
     width = 4   # slot in the group, batch, voltage, current
 
-    def __init__(self, params: DetectorParams, groups: int, delay: int) -> None:
-        self.w1, self.groups, self.delay = params.w1, groups, delay
+    def __init__(self, params: DetectorParams, groups: int, delay: int, idle: int | None = None, by_arrival: bool = True) -> None:
+        self.w1, self.groups, self.delay, self.idle, self.by_arrival = params.w1, groups, delay, idle, by_arrival
 
     def init(self, handle) -> None:
         super().init(handle)
@@ -125,7 +169,10 @@ class SlotSums(_Clocked):
             i = np.asarray(r.i, np.int64)
             return i // w1, np.stack([(i % w1) // groups, np.asarray(r.batch, float), r.voltage, r.current], 1)
 
-        due, before, closed = self.absorb(rows, unpack)
+        yield from self.released(key, *self.absorb(rows, unpack, timerValues))
+
+    def released(self, key, due, before: int, closed: int) -> Iterator[pd.DataFrame]:
+        w1, groups = self.w1, self.groups
         stored, at = self.last.get() if self.last.exists() else (b"", None)
         held = np.frombuffer(stored).reshape(3, -1).copy() if stored else np.zeros((3, -(-w1 // groups)))
         out = []
