@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 
 import numpy as np
@@ -95,6 +96,24 @@ def test_encoder_is_the_library():
     assert encoder.by_piece and encoder.encode(texts) == expected == encoder.encode(texts)
 
 
+def test_encoder_is_the_library_on_random_texts(monkeypatch):
+    """Pieces of usual characters, a cache that is too small, and texts that go whole."""
+    import random
+
+    monkeypatch.setattr(token_store, "CACHE_PIECES", 700)
+    encoder, rng = token_store.Encoder(BPE), random.Random(2)
+    usual = [chr(c) for c in token_store.USUAL]
+    letters = list(" \n\t''stremvl’“”–€²½éßÑ0123456789abcXYZ.,!") * 3 + usual
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 30, 300]))) for _ in range(3000)]
+    texts[::50] = [t + rng.choice(["\x1f", "\x85", "数", "\u2028", "<|endoftext|>", "🙂"]) for t in texts[::50]]
+    for at in range(0, len(texts), 100):
+        part = texts[at: at + 100]
+        assert encoder.encode(part) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in part]
+        assert len(encoder._size) == len(encoder._number) <= 700
+    usual_text = re.compile(token_store.UNUSUAL).search
+    assert not any(usual_text(c) for c in usual) and all(usual_text(chr(c)) for c in range(0x3000) if c not in set(token_store.USUAL) and not 0xD800 <= c < 0xE000)
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 1000, 20_000):

@@ -22,10 +22,16 @@ are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
+import sys
+import unicodedata
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice, pairwise
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +49,17 @@ SPREAD = 1.6         # places per key on a level
 CACHE_PIECES = 400_000
 END_ID = 0
 
-# Fixed value: the split that byte-level BPE vocabularies of this kind make before their merges.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Texts with other characters go through the library whole, so that no Unicode table but its own decides.
-UNUSUAL = "[\x1c-\x1f\x85]|[^\x00-ɏ‐-‧‰-⁞€]"
+# Fixed value: the split that byte-level BPE vocabularies of this kind make before their merges; <L> and <N> stand for letters and numbers.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[<L>]+| ?[<N>]+| ?[^\s<L><N>]+|\s+(?!\S)|\s+"""
+# Characters whose letters and numbers are spelled out; texts with other ones go through the library whole, so that no Unicode table but its own decides.
+USUAL = [*range(0x1C), *range(0x20, 0x85), *range(0x86, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]
+UNUSUAL = "[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞€]"
+
+
+def piece_pattern() -> str:
+    """PIECES with the usual letters and numbers."""
+    of = lambda kind: "".join(chr(c) for c in USUAL if unicodedata.category(chr(c))[0] == kind)
+    return PIECES.replace("<L>", of("L")).replace("<N>", of("N"))
 
 
 class Encoder:
@@ -67,11 +80,11 @@ class Encoder:
         self.by_piece = (told["model"]["type"] == "BPE" and told.get("normalizer") is None and split.get("type") == "ByteLevel"
                          and split.get("use_regex", True) and not split.get("add_prefix_space") and not told["truncation"] and not told["padding"])
         self.special = [x["content"] for x in told.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {}
+        self._number: defaultdict[str, int] = defaultdict()
+        self._number.default_factory = self._number.__len__
+        self._ids, self._size = np.zeros(0, self.dtype), np.zeros(0, np.int64)     # of the numbered pieces, behind one another
         if self.by_piece:
-            import regex
-
-            self.pieces = regex.compile(PIECES).findall
+            self.pieces = re.compile(piece_pattern()).findall
             self.unusual = re.compile(UNUSUAL).search
             self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)   # a token's letters stand for its bytes
             for token, i in vocabulary.items():
@@ -106,25 +119,35 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text: its pieces are numbered, and one step takes the numbers to ids for all texts."""
         plain = [self.by_piece and not self.unusual(t) and not any(s in t for s in self.special) for t in texts]
         whole = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
-        split = [self.pieces(t) if p else None for t, p in zip(texts, plain)]
-        new = list(set().union(*[x for x in split if x]).difference(self.cache))
-        room = max(0, CACHE_PIECES - len(self.cache))      # frequent pieces come early and stay; later ones serve this call
-        passing = self._learn(new[room:])
-        self.cache.update(self._learn(new[:room]))
-        self.cache.update(passing)
-        out = [next(whole) if x is None else b"".join(map(self.cache.__getitem__, x)) for x in split]
-        for x in passing:
-            del self.cache[x]
-        return out
+        split = [self.pieces(t) if p else [] for t, p in zip(texts, plain)]
+        which = np.fromiter(map(self._number.__getitem__, chain.from_iterable(split)), np.int64)
+        fresh = len(self._number) - len(self._size)
+        if fresh:
+            new = list(islice(reversed(self._number), fresh))[::-1]
+            learned = self._learn(new)
+            raw = [learned[x] for x in new]
+            self._ids = np.concatenate((self._ids, np.frombuffer(b"".join(raw), self.dtype)))
+            self._size = np.concatenate((self._size, np.fromiter(map(len, raw), np.int64, fresh) // self.dtype.itemsize))
+        ends = np.cumsum(self._size)
+        size = self._size[which]
+        reached = np.cumsum(size)
+        ids = self._ids[np.repeat(ends[which] - reached, size) + np.arange(reached[-1] if len(reached) else 0)]
+        lengths = np.concatenate(([0], reached))[list(accumulate(map(len, split), initial=0))] * self.dtype.itemsize
+        joined = ids.tobytes()
+        if len(self._size) > CACHE_PIECES:      # frequent pieces come early and stay; later ones served this call
+            for x in list(islice(reversed(self._number), len(self._size) - CACHE_PIECES)):
+                del self._number[x]
+            self._ids, self._size = self._ids[: ends[CACHE_PIECES - 1] if CACHE_PIECES else 0], self._size[:CACHE_PIECES]
+        return [joined[a:b] if p else next(whole) for p, (a, b) in zip(plain, pairwise(lengths.tolist()))]
 
 
 def shared_encoder(path: str) -> Encoder:
-    """One encoder per worker process. Functions travel by value, so only an installed module outlives a task."""
-    import tokenizers
-
-    made = tokenizers.__dict__.setdefault("_wattshift_encoders", {})
+    """One encoder per worker process. Functions travel by value, so what outlives a task is in a module of the process."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # the tasks are the parallelism
+    made = sys.modules.setdefault("wattshift_encoders", ModuleType("wattshift_encoders")).__dict__
     if path not in made:
         made[path] = Encoder(path)
     return made[path]
