@@ -6,7 +6,7 @@ from series import feature_rows, steps
 
 from wattshift.config import DetectorParams
 from wattshift.operators import detect as de
-from wattshift.operators.udtf import detect_udtf
+from wattshift.operators.udtf import detect_steps, detect_udtf, maps_function
 
 SMALL = DetectorParams(w2=10, partition=13, eps=0.1, fan=2)
 
@@ -63,6 +63,17 @@ def test_chunk_size_does_not_matter(spark, streams, partition):
 def test_table_function_equals_operator(spark, streams):
     features = feature_rows(spark, streams)
     assert ordered(collected(detect_udtf(features, SMALL))) == ordered(expected(streams, SMALL))
+    whole = detect_steps(features, SMALL)
+    assert ordered(collected(whole)) == ordered(expected(streams, SMALL))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" in plan and "BatchEvalPythonUDTF" not in plan
+
+
+def test_maps_are_one_row_a_chunk(spark, streams):
+    chunks = de.with_context(feature_rows(spark, streams), SMALL)
+    spark.udtf.register("chunk_maps", maps_function(SMALL))
+    rows = spark.sql("SELECT * FROM chunk_maps(TABLE({c}) PARTITION BY (stream_id, chunk) ORDER BY idx)", c=chunks).filter("exits is not null")
+    assert rows.count() == rows.select("stream_id", "chunk").distinct().count() == sum(-(-len(s) // SMALL.partition) for s in streams.values())
 
 
 def test_order_of_input_rows_does_not_matter(spark, streams):

@@ -18,6 +18,7 @@ from wattshift.plans.replay import write_replay
 from wattshift.sources import samples as src
 from wattshift.sources.results import ResultTable
 from wattshift.streaming import pipeline as pl
+from wattshift.streaming.handover import history_state, results_from_history
 from wattshift.streaming.recheck import stream_recheck_points
 from wattshift.streaming.sequence import in_sequence
 from wattshift.streaming.verify import MapComposer, latest_results, verified_results
@@ -258,3 +259,54 @@ def test_last_writer_wins(spark, tmp_path):
     assert sorted(map(tuple, table.view().collect())) == [(0, 1, False), (0, 2, True), (0, 3, True)]
     os.makedirs(str(tmp_path / "t" / "batch-12"))          # a batch that was never finished does not count
     assert table.view().count() == 3
+
+
+def test_late_rows_come_apart_and_are_counted(spark, tmp_path):
+    wire, out = str(tmp_path / "wire"), str(tmp_path / "out")
+    send(spark, wire, "0", window(0, 0) + window(0, 5), 0)
+    send(spark, wire, "1", window(0, 6), 1)
+    send(spark, wire, "2", window(0, 2) + window(0, 6), 2)        # window 2 was closed by window 5, window 6 is open
+    send(spark, wire, "3", window(0, 5)[:3], 3, ended=[0])        # window 5 was closed by window 6
+    stream = src.stream_batches(pl.stateful_session(spark, 2), wire)
+    writer = pl.write_late_apart(pl.sort_by_event_time(stream, P, 1, late=True), f"{out}/used", f"{out}/late", f"{out}/state")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    per = lambda kind: sorted((r["i"] // P.w1) for r in spark.read.parquet(f"{out}/{kind}").collect())
+    assert per("late") == [2] * P.w1 + [5] * 3 and per("used") == [0] * P.w1 + [5] * P.w1 + [6] * 2 * P.w1
+    seen = [p["observedMetrics"]["lateness"] for p in query.recentProgress if "lateness" in p["observedMetrics"]]
+    assert sum(m["late"] for m in seen) == P.w1 + 3 and sum(m["used"] for m in seen) == 4 * P.w1
+
+
+def test_live_results_go_on_from_history(spark, tmp_path):
+    """History in batch, then live over a restart; a stream that is new begins at 0; a short history is enough."""
+    given, out, wire = samples(spark, windows=90), str(tmp_path / "out"), str(tmp_path / "wire")
+    cuts = {0: 55, 1: 4}
+    past = given.filter(" or ".join(f"(stream_id = {k} and batch_no <= {c})" for k, c in cuts.items()))
+    fresh = given.filter("stream_id = 0").withColumn("stream_id", F.lit(7).cast("long"))
+    history = history_state(fe.features(past, P), P)
+    rest = given.filter(" or ".join(f"(stream_id = {k} and batch_no > {c - 2})" for k, c in cuts.items())).unionByName(fresh).collect()
+    session = pl.stateful_session(spark, 4)
+    for step, (low, high) in enumerate(((0, 60), (60, 90))):
+        send(spark, wire, str(step), [tuple(r) for r in rest if low <= r["batch_no"] < high], step, ended=[0, 1, 7] if step else [])
+        run(results_from_history(src.stream_batches(session, wire), history, P), out)
+    want = de.detect_all_rows(fe.features(given.unionByName(fresh), P), P)
+    live = spark.read.parquet(f"{out}/rows")
+    assert {k: live.filter(f"stream_id = {k}").agg(F.min("s")).first()[0] for k in (0, 1, 7)} == {0: 56, 1: 5, 7: 0}
+    whole = de.detect_all_rows(fe.features(past, P), P).unionByName(live)
+    assert rows_of(whole.select(want.columns).na.fill(-9)) == rows_of(want.na.fill(-9))
+
+
+def test_debug_prints_what_was_written(spark, tmp_path):
+    """The print reads the written results, each file once over two calls, and not the wire again."""
+    from wattshift import job
+
+    given, wire, target = samples(spark, windows=12).filter("stream_id = 0"), str(tmp_path / "wire"), str(tmp_path / "out")
+    for step, (low, high) in enumerate(((0, 8), (8, 12))):
+        part = [tuple(r) for r in given.filter(f"batch_no >= {low} and batch_no < {high}").collect()]
+        send(spark, wire, str(step), part, step, ended=[0] if step else [])
+        job.run(spark, wire, target, params=P, debug=True)
+    sources = os.path.join(target, "state", "debug", "sources", "0")
+    lines = [json.loads(x) for f in os.listdir(sources) if not f.startswith(".") for x in open(os.path.join(sources, f)) if x.startswith("{")]
+    written = {f for f in os.listdir(os.path.join(target, "results")) if f.endswith(".json")}
+    assert sorted(os.path.basename(x["path"]) for x in lines) == sorted(written) and all("/out/results/" in x["path"] for x in lines)
+    assert job.results(spark, target).count() == 12

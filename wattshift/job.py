@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattshift.config import DetectorParams
 from wattshift.sources import samples as src
-from wattshift.sources.results import print_results, stream_results
+from wattshift.sources.results import RESULT_FIELDS, print_results, stream_results
 from wattshift.streaming import pipeline as pl
 
 
@@ -16,7 +16,7 @@ def run(spark: SparkSession, source: str, target: str, late: bool = False, param
 
     Ordered input closes a window with the next batch; with ``late`` samples may lag ``max_latency`` batches and missing
     ones are filled with the last known values. Unreadable texts and records go to ``target/quarantine``, results to
-    ``target/results``, state to ``target/state``; a second call goes on from there. ``debug`` prints the results.
+    ``target/results``, state to ``target/state``; a second call goes on from there. ``debug`` prints the results that this call has written.
     """
     session = pl.stateful_session(spark)
     texts = src.stream_texts(session, source, files_per_trigger)
@@ -26,7 +26,8 @@ def run(spark: SparkSession, source: str, target: str, late: bool = False, param
     results = pl.signal_results(src.stream_batches(session, source, files_per_trigger), params, delay, fill=late)
     pl.run_available(stream_results(results, f"{target}/results", f"{target}/state/results"))
     if debug:
-        pl.run_available(print_results(results).option("checkpointLocation", f"{target}/state/debug"))
+        written = session.readStream.schema(RESULT_FIELDS).json(f"{target}/results")
+        pl.run_available(print_results(written).option("checkpointLocation", f"{target}/state/debug"))
 
 
 def results(spark: SparkSession, target: str) -> DataFrame:

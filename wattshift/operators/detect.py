@@ -23,7 +23,7 @@ from wattshift.session import settle
 WORD = 62  # chains per mask word; keeps every word a positive long
 
 STREAM = ["stream_id"]
-_SUMMARY = {
+SUMMARY = {
     "chunk": "long", "exits": "array<int>", "t": "long", "new_start": "long",
     "first": "long", "last": "long", "mask": "array<long>",
 }
@@ -42,7 +42,7 @@ def with_context(
 
 def summary_of(params: DetectorParams, keys: list[str], resets: bool):
     """Function from a chunk's key and rows, context included, to its transfer map and chain moves."""
-    columns = [*keys, *_SUMMARY]
+    columns = [*keys, *SUMMARY]
     w2, size = params.w2, params.partition
     eps, locality = params.eps, params.min_locality
 
@@ -132,7 +132,7 @@ def summarise_chunks(
     features: DataFrame, params: DetectorParams, keys: list[str] = STREAM, resets: bool = False
 ) -> DataFrame:
     """Transfer map and chain moves of every chunk, settled for the passes that follow."""
-    schema = ", ".join([f"{k} long" for k in keys] + [f"{c} {t}" for c, t in _SUMMARY.items()])
+    schema = ", ".join([f"{k} long" for k in keys] + [f"{c} {t}" for c, t in SUMMARY.items()])
     spark = features.sparkSession
     # Chunks are small in bytes but not in work: a fixed count keeps adaptive execution from
     # merging them into few tasks.
@@ -153,7 +153,11 @@ def window_moves(
 ) -> DataFrame:
     """Every change of the detection window: ``(*keys, idx, new_start, event_start,
     event_end)``; the event columns are NULL where a full window restarts without event."""
-    chunks = summarise_chunks(features, params, keys, resets)
+    return moves_of(summarise_chunks(features, params, keys, resets), params, keys)
+
+
+def moves_of(chunks: DataFrame, params: DetectorParams, keys: list[str] = STREAM) -> DataFrame:
+    """The moves of the true chain, from the settled transfer maps and chain moves of all chunks."""
     maps = chunks.filter("exits is not null").select(*keys, "chunk", "exits")
     entries = chunk_entries(maps, params, keys)
     taken = F.expr(
@@ -180,7 +184,12 @@ def detect_events(
 
     ``features`` needs a dense ``idx`` from 0 in each series; ``keys`` are long columns.
     """
-    return window_moves(features, params, keys, resets=False).select(
+    return events_of(window_moves(features, params, keys, resets=False), keys)
+
+
+def events_of(moves: DataFrame, keys: list[str] = STREAM) -> DataFrame:
+    """The moves that are events; ``moves`` has no others."""
+    return moves.select(
         *keys,
         F.col("idx").alias("s"),
         (event_midpoint(F.col("event_start"), F.col("event_end")) + 1).alias("event_s"),

@@ -422,6 +422,15 @@ ORACLE: dict[str, str] = {
         f"""samples AS (
   SELECT event_id % 2 AS stream_id, event_id + (event_id % 2) * {1000 * W1} AS i, value AS voltage, {CURRENT} AS current
   FROM events)""", POWER, FEATURES, WINDOW_ROWS),
+    "detect_steps": select(*MANY_RESULTS, RESULT_ROWS),
+    "late_rows": select(
+        SIGNAL, f"""files AS (SELECT greatest(10, max(i) // {W1} // 6) AS width FROM samples),
+sent AS (SELECT *, i // {W1} AS window_no, (i // {W1} + (i * 7919) % (2 * width)) AS batch_no FROM samples, files),
+clocks AS (SELECT stream_id, batch_no // width AS step, max(batch_no) AS newest FROM sent GROUP BY ALL),
+closed AS (SELECT stream_id, step, max(newest) OVER (PARTITION BY stream_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM clocks)""",
+        f"""SELECT s.stream_id, i, voltage, current, coalesce(window_no <= before - {PARAMS.max_latency + 1}, false) AS late
+          FROM sent s JOIN closed c ON c.stream_id = s.stream_id AND c.step = s.batch_no // s.width"""),
+    "stream_from_history": select(*MANY_RESULTS, RESULT_ROWS),
     "stream_idle_close": select(*MANY, WINDOW_ROWS),
     "stream_verify": select(
         *alone(130), """SELECT r.*, r.event_start IS DISTINCT FROM p.event_start OR r.event_end IS DISTINCT FROM p.event_end AS corrected

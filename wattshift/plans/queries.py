@@ -25,13 +25,14 @@ from wattshift.operators import features as fe
 from wattshift.operators import frames as fr
 from wattshift.operators import reconcile as rc
 from wattshift.operators.ordering import row_chunks
-from wattshift.operators.udtf import detect_udtf
+from wattshift.operators.udtf import detect_steps, detect_udtf
 from wattshift.plans.replay import write_replay, write_timed
 from wattshift.plans.testbed import BLOCK, PARAMS, events, gappy, signal, signal_multi
 from wattshift.session import scratch_path, settle
 from wattshift.sources import samples as src
 from wattshift.sources.results import ResultTable, result_json
 from wattshift.streaming import pipeline as pl
+from wattshift.streaming.handover import history_state, results_from_history
 from wattshift.streaming.recheck import stream_recheck_points
 from wattshift.streaming.sequence import in_sequence
 from wattshift.streaming.verify import latest_results, verified_results
@@ -467,6 +468,12 @@ def detect_udtf_rows(spark, sf):
     return detect_udtf(series(spark, sf), PARAMS)
 
 
+@query
+def detect_steps_rows(spark, sf):
+    """Four series through the table function that reads a series in order."""
+    return detect_steps(many_series(spark, sf), PARAMS)
+
+
 @query
 def window_resets(spark, sf):
     return de.window_moves(series(spark, sf), PARAMS).select(
@@ -625,6 +632,35 @@ def stream_idle_close(spark, sf):
     return closed.select("stream_id", "window_no", r6("f1"), r6("f2"), "size")
 
 
+@query
+def late_rows_rows(spark, sf):
+    """Samples that lag up to two files of the replay: all come out, those of closed windows marked as late."""
+    rows = signal(spark, sf)
+    width = max(10, (rows.agg(F.max("batch_no")).first()[0] or 0) // 6)      # windows that arrive with one file
+    rows = rows.withColumn("batch_no", F.col("batch_no") + (F.col("i") * 7919) % (2 * width))
+    steps = src.to_batches(rows, ["stream_id", "batch_no"]).withColumn("step", int_div(F.col("batch_no"), width).cast("int"))
+    ends = src.end_marks(rows, ["stream_id", "batch_no"]).withColumn("step", (int_div(F.col("batch_no"), width) + 1).cast("int"))
+    path = write_timed(spark, steps.unionByName(ends).select("stream_id", "step", "value"), ["stream_id"], "late")
+    stream = src.stream_batches(pl.stateful_session(spark), path)
+    out = scratch_path(spark, "late-out")
+    marked = pl.sort_by_event_time(stream, PARAMS, PARAMS.max_latency + 1, late=True)
+    pl.run_available(pl.write_late_apart(marked, f"{out}/used", f"{out}/late", f"{out}/checkpoint"))
+    read = lambda kind: spark.read.parquet(f"{out}/{kind}").drop("batch").withColumn("late", F.lit(kind == "late"))
+    return read("used").unionByName(read("late"))
+
+
+@query
+def stream_from_history(spark, sf):
+    """Two thirds of four streams in batch, the rest live; the last windows of history arrive again and are late."""
+    rows = signal_multi(spark, sf)
+    last = rows.groupBy("stream_id").agg((int_div(F.max("batch_no") * 2, 3)).alias("cut"))
+    cut = rows.join(F.broadcast(last), "stream_id")
+    past = settle(features_of(cut.filter("batch_no <= cut").drop("cut")))
+    session, stream = _replayed(spark, cut.filter("batch_no > cut - 3").drop("cut"))
+    live = pl.run_to_files(results_from_history(stream, history_state(past, PARAMS), PARAMS), spark, "live")
+    return de.detect_all_rows(past, PARAMS).unionByName(live)
+
+
 def _verified(spark, sf):
     session, stream = _replayed(spark, signal(spark, sf))
     return verified_results(pl.closed_windows(stream, MISALIGNED, marks=True), MISALIGNED)

@@ -166,12 +166,32 @@ def signal_results(
 
 
 def sort_by_event_time(
-    samples: DataFrame, params: DetectorParams, delay_windows: int, groups: int = GROUPS
+    samples: DataFrame, params: DetectorParams, delay_windows: int, groups: int = GROUPS, late: bool = False
 ) -> DataFrame:
-    """Samples of each window released in event-time order behind the stream's clock."""
+    """Samples of each window released in event-time order behind the stream's clock; with ``late`` also those that come too late,
+    in a column that says so."""
     packed = _pack(samples, _pack_readings(params.w1, groups, by_window=True), PACKED_READINGS)
-    return packed.groupBy("stream_id", "grp").transformWithStateInPandas(
-        EventTimeSorter(params, delay_windows), "stream_id long, i long, voltage double, current double", "append", "none")
+    schema = "stream_id long, i long, voltage double, current double" + ", late boolean" * late
+    return packed.groupBy("stream_id", "grp").transformWithStateInPandas(EventTimeSorter(params, delay_windows, late), schema, "append", "none")
+
+
+def write_late_apart(sorted_rows: DataFrame, used: str, late: str, checkpoint: str):
+    """Two outputs of one pass over samples with a mark ``late``; returns the unstarted writer.
+
+    The progress of every micro-batch tells how many rows were used and late (observed metrics ``lateness``). Rows of a batch go to a
+    folder of its own, so a repeated batch replaces what it had written.
+    """
+    counted = sorted_rows.observe("lateness", F.count_if(~F.col("late")).alias("used"), F.count_if(F.col("late")).alias("late"))
+
+    def route(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for path, rows in ((used, batch.filter("not late")), (late, batch.filter("late"))):
+                rows.drop("late").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return counted.writeStream.foreachBatch(route).outputMode("append").option("checkpointLocation", checkpoint)
 
 
 def run_available(writer) -> None:

@@ -280,21 +280,31 @@ class SignalProcessor(StatefulProcessor):
 
 
 class EventTimeSorter(_Clocked):
-    """Releases the samples of every ``groups``-th window of a stream in time order once the stream's clock has passed them."""
+    """Releases the samples of every ``groups``-th window of a stream in time order once the stream's clock has passed them.
+
+    With ``late`` samples of windows that were closed before are released at once, marked; nothing is lost then.
+    """
 
     width = 3   # i, voltage, current
 
-    def __init__(self, params: DetectorParams, delay: int) -> None:
-        self.w1, self.delay = params.w1, delay
+    def __init__(self, params: DetectorParams, delay: int, late: bool = False) -> None:
+        self.w1, self.delay, self.late = params.w1, delay, late
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        late: list[np.ndarray] = []
+        closed = self.clock.get()[0] if self.clock.exists() else OPEN
+
         def unpack(r):
             i = np.asarray(r.i, np.int64)
-            return i // self.w1, np.stack([i.view(float), np.asarray(r.voltage, float), np.asarray(r.current, float)], 1)
+            table = np.stack([i.view(float), np.asarray(r.voltage, float), np.asarray(r.current, float)], 1)
+            late.append(table[i // self.w1 <= closed])
+            return i // self.w1, table
 
         due, _, _ = self.absorb(rows, unpack)
-        for _, tables in sorted(due.items()):
+        for mark, tables in [(False, t) for _, t in sorted(due.items())] + [(True, [np.concatenate(late)])] * (self.late and len(late) > 0):
             t = np.concatenate(tables)
             out = pd.DataFrame({"i": np.ascontiguousarray(t[:, 0]).view(np.int64), "voltage": t[:, 1], "current": t[:, 2]})
             out.insert(0, "stream_id", key[0])
+            if self.late:
+                out["late"] = mark
             yield out.sort_values(["i", "voltage", "current"])
