@@ -12,7 +12,7 @@ from wattshift.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-SLOW = ("stream_", "e2e_", "src_")
+SLOW = ("stream_", "e2e_", "src_", "late_")
 
 
 @pytest.fixture(scope="module")
