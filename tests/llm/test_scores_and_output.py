@@ -186,10 +186,27 @@ def test_packing_keeps_every_word(spark):
         assert len(named) == len(set(named))
 
 
+def test_near_copies_share_no_bin(spark):
+    """A changed comma or word lifts no constraint, whatever the sources; null ids go by their text."""
+    base = [" ".join(f"w{k}x{i * 13 % 89}" for i in range(90)) for k in range(4)]
+    rows = [(10 * k + j, t.replace(f"w{k}x13 ", f"w{k}x13, " if j % 2 else f"new{j} "), None, f"src{k}-{j}") for k, t in enumerate(base) for j in range(6)]
+    rows += [(None, base[0], None, "n1"), (None, base[0].upper(), None, "n2"), *awkward()]
+    docs = frame(spark, rows)
+    got = packing.pack(docs, packing.near_copies(docs), capacity=4000, group_rows=1000).collect()
+    assert sum(r.n_words for r in got) == sum(len(words(r[1])) for r in rows)
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r.doc_id)
+    for held in bins.values():
+        named = [i // 10 for i in held if i is not None and 0 <= i < 40]
+        assert len(named) == len(set(named)) and held.count(None) <= 3   # two of the awkward rows, one of ours
+    assert any(len({i // 10 for i in held if i is not None and 0 <= i < 40}) > 1 for held in bins.values())
+
+
 def test_empty_tables(spark, tmp_path):
     docs, labels = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert not toxicity.toxicity(docs, labels).collect()
     assert not ordinal.grade(docs, labels, F.col("quality")).collect()
     assert not licenses.scan(docs).collect()
-    assert not packing.pack(docs, F.lit(1)).collect()
+    assert not packing.pack(docs, F.lit(1)).collect() and not packing.pack(docs, packing.near_copies(docs)).collect()
     assert not token_store.encode_and_read(spark, docs, BPE).collect()

@@ -12,6 +12,9 @@ cluster reach these tasks, never texts.
 Defined cases: null text and texts without words have no piece and no row; null source or cluster conflicts with nothing;
 ties go to the smaller id, then the text's hash; repeated rows are packed each (their copies are numbered), and conflict with each other as one cluster;
 an empty table gives an empty result; extra columns are not read.
+
+Near copies: ``near_copies`` gives every row its near-duplicate component as cluster (five-word shingles, similarity 0.8); a row without id or
+without shingles takes its lower-cased text.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattshift.llm.common import row_key, settle
+from wattshift.llm.minhash import near_duplicates
 
 CAPACITY = 2048
 GROUP_ROWS = 5000
@@ -79,16 +83,31 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")).cast("long")
 
 
-def pack(docs: DataFrame, cluster: Column, source: str = "source", capacity: int = CAPACITY,
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(k_id, k_text, cluster) of docs (doc_id, text): the cluster is equal for copies and near copies."""
+    keyed = docs.select("doc_id", "text", *row_key())
+    found = near_duplicates(keyed, carry=("k_id", "k_text")).select(
+        "k_id", "k_text", F.concat(F.lit("c"), F.col("component_id").cast("string")).alias("cluster"))
+    alone = keyed.filter("doc_id is null").select("k_id", "k_text", F.concat(F.lit("t"), F.hex(F.xxhash64(F.lower("text")))).alias("cluster"))
+    return found.filter("cluster is not null").unionByName(alone)
+
+
+def pack(docs: DataFrame, cluster: Column | DataFrame, source: str = "source", capacity: int = CAPACITY,
          group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per piece: doc_id, piece, n_words, bin_id, start (words before it in its bin).
 
-    docs: doc_id, text and the source column; cluster: an expression over docs whose equal values must not meet.
+    docs: doc_id, text and the source column; cluster: what must not meet in a bin where it is equal, as an expression over docs, or
+    as rows (k_id, k_text, cluster) for the keys of ``row_key``. Such rows are joined once texts have become lengths.
     """
-    sized = settle(docs.select("doc_id", F.col(source).cast("string").alias("source"), cluster.cast("string").alias("cluster"),
-                               row_key()[1], word_count(F.col("text")).alias("words")).filter("words > 0")
-                   .groupBy("doc_id", "source", "cluster", "k_text", "words").agg(F.count(F.lit(1)).alias("copies"))
-                   .select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")))
+    keyed = isinstance(cluster, DataFrame)
+    own = F.lit(None) if keyed else cluster
+    counted = (docs.select("doc_id", F.col(source).cast("string").alias("source"), own.cast("string").alias("cluster"),
+                           *row_key(), word_count(F.col("text")).alias("words")).filter("words > 0")
+               .groupBy("doc_id", "source", "cluster", "k_id", "k_text", "words").agg(F.count(F.lit(1)).alias("copies")))
+    if keyed:
+        named = cluster.select("k_id", "k_text", F.col("cluster").cast("string").alias("cluster")).dropDuplicates(["k_id", "k_text"])
+        counted = counted.drop("cluster").join(named, ["k_id", "k_text"], "left")
+    sized = settle(counted.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")))
     whole = F.floor(F.col("words") / capacity)
     filled = sized.filter(F.col("words") >= capacity).select("doc_id", "k_text", "copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)).alias("piece"))
     filled = filled.select("doc_id", (F.col("piece") - 1).alias("piece"), F.lit(capacity).cast("long").alias("n_words"),

@@ -56,8 +56,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = F.xxhash64(F.lower("text"))
-    return packing.pack(documents(spark, sf_dir), copies)
+    docs = documents(spark, sf_dir)
+    return packing.pack(docs, packing.near_copies(docs))
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
