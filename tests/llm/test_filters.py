@@ -57,15 +57,32 @@ def test_binomial_tail_is_exact(spark):
 
 
 def test_cutoffs_hold_the_promise(spark):
-    """A rule is used only as far as enough good documents pass it; a stratum of few labels gets no cutoff."""
+    """A setting is used only as far as enough good documents pass it. A language of too few labels takes the pool's setting, but
+    none that more than the risk of its own good documents fails."""
     good, loud = " ".join(f"w{i}" for i in range(60)), " ".join(f"W{i}" for i in range(60)).upper()
     rows = [(i, good + f" n{i}", "en", "s") for i in range(3000)] + [(5000 + i, loud + f" N{i}", "en", "s") for i in range(20)]
-    rows += [(6000 + i, loud + f" N{i}", "fr", "s") for i in range(20)]
-    labels = spark.createDataFrame([(i, 1) for i in range(3000)] + [(5000 + i, 0) for i in range(20)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    rows += [(6000 + i, loud + f" N{i}", "fr", "s") for i in range(20)] + [(7000 + i, loud + f" N{i}", "de", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1) for i in range(3000)] + [(5000 + i, 0) for i in range(20)] + [(7000 + i, 1) for i in range(30)]
+                                   + [(None, 1), (7, None)], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), labels).collect()}
     assert all(got[i].kept for i in range(3000))
     assert all(got[5000 + i].rejected_by == "upper" and not got[5000 + i].kept for i in range(20))
-    assert all(got[6000 + i].kept for i in range(20))
+    assert all(got[6000 + i].rejected_by == "upper" and not got[6000 + i].kept for i in range(20))
+    assert all(got[7000 + i].kept for i in range(40))
+
+
+def test_too_few_labels_reject_nothing(spark):
+    """Without 200 and more good documents in all languages together no setting passes."""
+    good, loud = " ".join(f"w{i}" for i in range(60)), " ".join(f"W{i}" for i in range(60)).upper()
+    rows = [(i, good + f" n{i}", "en", "s") for i in range(100)] + [(5000, loud, "en", "s"), (5001, loud, None, "s")]
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    assert all(r.kept for r in quality_rules.quality_rules(frame(spark, rows), labels).collect())
+
+
+def test_settings_tighten_one_rule_at_a_time():
+    steps = quality_rules.settings()
+    assert steps[-1] == tuple(grid[-1] for _, grid in quality_rules.RULES.values())
+    assert all(sum(x != y for x, y in zip(a, b)) == 1 and all(x >= y for x, y in zip(a, b)) for a, b in zip(steps, steps[1:]))
 
 
 def test_lines_of_awkward_rows(spark):

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from wattshift.llm.line_dedup import MIN_PAGES, RATIO
-from wattshift.llm.quality_rules import RULES, RiskParams
+from wattshift.llm.quality_rules import RULES, RiskParams, settings
 
 _RISK = RiskParams()
-_GRID = ",\n".join(
-    f"('{rule}', '{measure}', {i}, {cut}::DOUBLE)" for rule, (measure, grid) in RULES.items() for i, cut in enumerate(grid))
+_STEPS = ",\n".join(f"({i}, " + ", ".join(f"{c}::DOUBLE" for c in step) + ")" for i, step in enumerate(settings()))
+_MAX = ", ".join(f"max_{rule}" for rule in RULES)
+_FAILS = " OR ".join(f"{measure} > max_{rule}" for rule, (measure, _) in RULES.items())
 
 
-def _cut(rule: str) -> str:
-    return f"max(CASE WHEN rule = '{rule}' THEN cutoff END) AS max_{rule}"
+def _tail(k: str, n: str) -> str:
+    return f"""CASE WHEN {k} < {n} * q THEN list_sum(list_transform(range(0, {k} + 1), lambda j: exp(lgamma({n} + 1)
+      - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - lgamma({n} - j + 1) + j * ln(q) + ({n} - j) * ln(1 - q)))) ELSE 1 END"""
 
 
 OP3 = rf"""
@@ -32,18 +34,17 @@ s AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS sym
         CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_ratio,
         CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
         (n_words < {_RISK.min_words} OR 100 * n_repeat_words > {_RISK.max_repeat} * n_words) AS base_failed FROM m),
-grid(rule, measure, i, cutoff) AS (VALUES {_GRID}),
+steps(i, {_MAX}) AS (VALUES {_STEPS}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
 hold AS (SELECT * FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
-tests AS (SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (
-            WHERE CASE measure WHEN 'symbol_ratio' THEN symbol_ratio WHEN 'upper_ratio' THEN upper_ratio
-                  WHEN 'repeat_ratio' THEN repeat_ratio ELSE dup_line_ratio END > cutoff) AS k
-          FROM hold, grid GROUP BY ALL),
-p AS (SELECT *, {_RISK.risk}::DOUBLE / {len(RULES)} AS q, (SELECT count(DISTINCT stratum) FROM tests) AS strata FROM tests),
-tail AS (SELECT *, CASE WHEN k < n * q THEN list_sum(list_transform(range(0, k + 1), lambda j:
-            exp(lgamma(n + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - lgamma(n - j + 1) + j * ln(q) + (n - j) * ln(1 - q)))) ELSE 1 END AS tail FROM p),
-held AS (SELECT *, min((tail <= {_RISK.error}::DOUBLE / ({len(RULES)} * strata))::INT) OVER (PARTITION BY stratum, rule ORDER BY i) AS ok FROM tail),
-cuts AS (SELECT stratum, {', '.join(_cut(r).replace('max(', 'min(') for r in RULES)} FROM held WHERE ok = 1 GROUP BY stratum),
+tests AS (SELECT a.stratum, i, count(h.doc_id) AS n, count(h.doc_id) FILTER (WHERE {_FAILS}) AS k
+          FROM (SELECT DISTINCT stratum FROM s) a CROSS JOIN steps LEFT JOIN hold h ON h.stratum = a.stratum GROUP BY ALL),
+pool AS (SELECT i, sum(n)::BIGINT AS all_n, sum(k)::BIGINT AS all_k, count(*) FILTER (WHERE n > 0) AS strata FROM tests GROUP BY i),
+p AS (SELECT *, {_RISK.risk}::DOUBLE AS q, {_RISK.error}::DOUBLE / (strata + 1) AS level FROM tests JOIN pool USING (i)),
+tail AS (SELECT *, {_tail('k', 'n')} <= level AS own, {_tail('all_k', 'all_n')} <= level AND k <= q * n AS pooled FROM p),
+held AS (SELECT stratum, i, min(own::INT) OVER w AS own, min(pooled::INT) OVER w AS pooled FROM tail WINDOW w AS (PARTITION BY stratum ORDER BY i)),
+cuts AS (SELECT stratum, {_MAX} FROM steps JOIN (SELECT stratum, coalesce(max(i) FILTER (WHERE own = 1), max(i) FILTER (WHERE pooled = 1)) AS i
+           FROM held GROUP BY stratum) USING (i)),
 j AS (SELECT s.*, {', '.join(f"coalesce({m} > max_{r}, false) AS f_{r}" for r, (m, _) in RULES.items())} FROM s LEFT JOIN cuts USING (stratum))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR {' OR '.join(f'f_{r}' for r in RULES)}) AS kept,

@@ -1,12 +1,16 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
-Every rule compares one measure of a text with a cutoff. Cutoffs come from labelled rows: for a stratum (language)
-and a rule, fixed candidate cutoffs are tested from the laxest to the strictest; a candidate passes if the exact
-binomial tail says that the share of good documents it rejects is at most ``risk / rules``. Testing stops at the
-first failure, so the order itself guards against testing many cutoffs, and the error probability ``error`` is
-divided by the number of (stratum, rule) sequences (Bonferroni). With probability at least ``1 - error`` the
-rules together reject at most ``risk`` of the good documents of every stratum. A stratum with too few labelled rows
-gets no cutoff, and none of its documents is rejected by a rule.
+Every rule compares one measure of a text with a cutoff. Cutoffs come from labelled rows. The candidates are joint settings
+of all rules, fixed beforehand: each setting tightens one rule by one step, the rules in turn. For a stratum (language) the
+settings are tested from the laxest on; one passes if the exact binomial tail says that the share of good documents that any
+rule rejects is at most ``risk``. Testing stops at the first failure, so the order itself guards against testing many
+settings, and the error probability ``error`` is divided by the number of strata and the pool (Bonferroni). With
+probability at least ``1 - error`` the rules together reject at most ``risk`` of the good documents of every stratum with a
+setting of its own.
+
+A stratum needs about ``log(error / (strata + 1)) / log(1 - risk)`` good labelled documents (228 at four strata) before its
+first setting can pass. Strata that pass none take the strictest setting of the pool of all strata's labelled rows at which
+no more than ``risk`` of their own good documents fall, if they have any; the promise of the pool is one over all languages together.
 
 All work is built-in column functions and joins; the measures are the only thing that is kept between steps.
 
@@ -32,7 +36,17 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "repeats": ("repeat_ratio", (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
     "lines": ("dup_line_ratio", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
 }
-POSITION = (1 << 26) - 1   # low bits of a packed window: its place among up to 67 million words
+
+
+def settings() -> list[tuple[float, ...]]:
+    """Joint settings from lax to strict, a cutoff per rule: the first takes every rule's first candidate, each next one
+    tightens one rule, the rules in turn."""
+    grids = [grid for _, grid in RULES.values()]
+    turns = sorted((i, r) for r, grid in enumerate(grids) for i in range(1, len(grid)))
+    out = [tuple(grid[0] for grid in grids)]
+    for i, r in turns:
+        out.append(out[-1][:r] + (grids[r][i],) + out[-1][r + 1:])
+    return out
 
 
 @dataclass(frozen=True)
@@ -55,8 +69,7 @@ def _gap_sum(starts: Column) -> Column:
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Counts of every text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper.
 
-    A repeated window is found by sorting hashes of three words inside the row, packed with their positions into
-    longs; neighbours with one full hash repeat.
+    A repeated window is found by sorting (hash of three words, place) inside the row; neighbours with one hash repeat.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = [F.col(c) for c in keep]
@@ -80,12 +93,11 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         lambda x, i: F.xxhash64(x, F.get("h", i + 1), F.get("h", i + 2))))
     packed = windows.withColumn("s", F.when(
         F.size(F.array_distinct("g")) < F.size("g"),
-        F.sort_array(F.transform("g", lambda x, i: x.bitwiseAND(~POSITION).bitwiseOR(i.cast("long"))))
-    ).otherwise(F.array().cast("array<bigint>")))
-    at = lambda x: F.get("g", x.bitwiseAND(POSITION).cast("int"))
+        F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+    ).otherwise(F.array().cast("array<struct<g:bigint,i:int>>")))
+    at = lambda i: F.get("s", i)["g"]
     repeated = packed.withColumn("r", F.sort_array(F.transform(
-        F.filter("s", lambda x, i: (at(x) == at(F.get("s", i - 1))) | (at(x) == at(F.get("s", i + 1)))),
-        lambda x: x.bitwiseAND(POSITION).cast("int"))))
+        F.filter("s", lambda x, i: (x["g"] == at(i - 1)) | (x["g"] == at(i + 1))), lambda x: x["i"])))
     return repeated.select(*kept, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper",
                            _gap_sum(F.col("r")).alias("n_repeat_words"))
 
@@ -114,29 +126,33 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, params: RiskParams) -> DataFrame:
-    """One row (stratum, one column per rule): the strictest certified cutoff, null where none is.
+    """One row (stratum, one column per rule): the strictest certified setting; no row where none is.
 
     scored: doc_id, stratum, base_failed and the measures. The counts behind the tests are sums per stratum, taken
-    before the shuffle; only labelled rows are joined, and only their few numbers move.
+    before the shuffle; only labelled rows are joined, and only their few numbers move. A stratum without labelled rows
+    is among them with n = 0, so that it can take the pool's setting.
     """
     good = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
             .groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(F.col("quality") == 1).select("doc_id"))
     holdout = scored.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    counted = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[
-        F.sum((F.col(m) > c).cast("long")).alias(f"{rule}_{i}")
-        for rule, (m, grid) in RULES.items() for i, c in enumerate(grid)])
-    tests = counted.select("stratum", "n", F.explode(F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"),
-                 F.col(f"{rule}_{i}").alias("k"))
-        for rule, (_, grid) in RULES.items() for i, c in enumerate(grid)])).alias("t")).select("stratum", "n", "t.*")
-    strata = tests.groupBy("rule", "i").agg(F.count(F.lit(1)).alias("strata"))
-    tested = tests.join(strata, ["rule", "i"]).withColumn(
-        "passes", binomial_tail(F.col("k"), F.col("n"), params.risk / len(RULES))
-        <= F.lit(params.error) / (len(RULES) * F.col("strata")))
-    order = Window.partitionBy("stratum", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    reached = tested.withColumn("held", F.min(F.col("passes").cast("int")).over(order)).filter("held = 1")
-    return reached.groupBy("stratum").agg(*[
-        F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"max_{rule}") for rule in RULES])
+    steps = settings()
+    measured = [m for m, _ in RULES.values()]
+    fails = [reduce(lambda a, b: a | b, [F.col(m) > F.lit(float(c)) for m, c in zip(measured, step)]) for step in steps]
+    own = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(f.cast("long")) for f in fails]).alias("k"))
+    none = scored.select("stratum").distinct().select("stratum", F.lit(0).cast("long").alias("n"), F.array_repeat(F.lit(0).cast("long"), len(steps)).alias("k"))
+    counted = own.unionByName(none).groupBy("stratum").agg(F.max_by("k", "n").alias("k"), F.max("n").alias("n"))
+    tests = counted.select("stratum", "n", F.posexplode("k").alias("i", "k"))
+    pooled = tests.groupBy("i").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"), F.sum((F.col("n") > 0).cast("long")).alias("strata"))
+    level = F.lit(params.error) / (F.col("strata") + 1)
+    tested = tests.join(pooled, "i").select(
+        "stratum", "i", (binomial_tail(F.col("k"), F.col("n"), params.risk) <= level).alias("own"),
+        ((binomial_tail(F.col("all_k"), F.col("all_n"), params.risk) <= level) & (F.col("k") <= params.risk * F.col("n"))).alias("pool"))
+    order = Window.partitionBy("stratum").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    held = tested.select("stratum", "i", *[F.min(F.col(c).cast("int")).over(order).alias(c) for c in ("own", "pool")])
+    reached = held.groupBy("stratum").agg(F.coalesce(F.max(F.when(F.col("own") == 1, F.col("i"))), F.max(F.when(F.col("pool") == 1, F.col("i")))).alias("i"))
+    chosen = F.array(*[F.array(*[F.lit(float(c)) for c in step]) for step in steps])
+    return reached.filter("i is not null").select("stratum", *[
+        F.get(F.get(chosen, F.col("i")), F.lit(r)).alias(f"max_{rule}") for r, rule in enumerate(RULES)])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, params: RiskParams = RiskParams(),
