@@ -34,10 +34,68 @@ def test_licences_like_brute_force(spark):
     assert got[1_000_000][0].n_base == 3 and got[1_000_002][0].labels == "gpl-3"
 
 
-def test_key_phrases_are_never_missed(spark):
-    rows = [(k, f"before it {key} and after", None, None) for k, (_, key, _) in enumerate(licenses.TEMPLATES)]
-    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(frame(spark, rows)).collect()}
-    assert all(label in got[k] for k, (label, _, _) in enumerate(licenses.TEMPLATES))
+def scan_of(spark, texts):
+    """Labels and scores of texts amid plain ones, which make licence words rare."""
+    rows = [(k, t, None, None) for k, t in enumerate(texts)] + [(10_000 + k, f"the plain page {k} of this and that to be in a row", None, None) for k in range(300)]
+    return {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, rows)).collect() if r.doc_id < 10_000}
+
+
+def test_whole_templates_are_found(spark):
+    got = scan_of(spark, [f"before it {t.title()} and after" for *_, t in licenses.TEMPLATES])
+    assert all(label in got[k][0].split(",") and got[k][1] == 1.0 for k, (label, *_) in enumerate(licenses.TEMPLATES))
+
+
+def test_changed_licences_are_found(spark):
+    grant = next(t for label, _, _, t in licenses.TEMPLATES if label == "mit" and t.startswith("permission")).split()
+    changed = [" ".join([*grant[:i], "altered", *grant[i + 1:]]) for i in range(20)] + [" ".join([*grant[:i], "put in", *grant[i:]]) for i in range(1, 20)]
+    changed += [" ".join(grant[:i] + grant[i + 2:]) for i in range(0, 20, 3)]
+    got = scan_of(spark, ["Distributed under the terms of the MIT license.", "SPDX-License-Identifier: Apache-2.0", *changed])
+    assert got[0][0] == "mit" and got[1][0] == "apache-2"
+    assert all(got[k][0] == "mit" and got[k][1] >= licenses.SHARE for k in range(2, len(changed) + 2))
+
+
+def test_licence_words_apart_are_no_licence(spark):
+    rng = np.random.default_rng(5)
+    mixed = [" ".join(rng.permutation(t.split())) for *_, t in licenses.TEMPLATES if len(t.split()) > 12]
+    loose = " ".join(f"{w} far from it here there and back" for w in licenses.TEMPLATES[3][3].split())
+    got = scan_of(spark, [*mixed, loose, "She studied at MIT. Her license came later.", "mit " * 5000, "the license " * 5000])
+    assert all(labels == "" and score == 0 for labels, score in got.values())
+
+
+def plain_labels(index, text):
+    """Every start and every place looked at; key phrases by plain search."""
+    w, labels, best = licenses.split_words(text), set(), 0.0
+    for t in index.templates:
+        hits = {(i - j, j) for j in range(len(t.words)) if t.weights[j] for i, x in enumerate(w) if x == t.words[j]}
+        for s in {s for s, _ in hits}:
+            near = [(a, j) for a, j in hits if s - licenses.DRIFT <= a <= s]
+            share = sum(t.weights[j] for j in {j for _, j in near}) / t.weights.sum()
+            inside = b" " + b" ".join(w[max(0, min(a for a, _ in near)): s + len(t.words)]) + b" "
+            if share >= licenses.SHARE and sum(b" " + b" ".join(k) + b" " in inside for k in t.keys) >= t.need:
+                labels.add(t.label)
+                best = max(best, share)
+    return labels, best
+
+
+def test_licence_index_like_brute_force():
+    rng = np.random.default_rng(11)
+    vocabulary = licenses.vocabulary()
+    index = licenses.Index({"": 5000, **{w: int(rng.integers(0, 5000)) for w in vocabulary}})
+    found = 0
+    for _ in range(400):
+        text = []
+        for _ in range(rng.integers(1, 5)):
+            part = str(licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))][3]).split()
+            for _ in range(rng.integers(0, 4)):
+                i = int(rng.integers(len(part) + 1))
+                part[i: i + int(rng.integers(0, 2))] = [str(rng.choice(vocabulary))] * int(rng.integers(0, 3))
+            text += part + [str(rng.choice(vocabulary)) for _ in range(rng.integers(0, 6))]
+        words_ = licenses.split_words(" ".join(text))
+        labels, best = index.scan(words_, set(words_))
+        want, share = plain_labels(index, " ".join(text))
+        assert labels == want and best == pytest.approx(share)
+        found += bool(labels)
+    assert 100 < found < 400
 
 
 def test_classifiers_on_held_out_rows(spark):
