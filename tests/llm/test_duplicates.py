@@ -1,6 +1,7 @@
 import hashlib
 import random
 import tempfile
+import threading
 
 import numpy as np
 import pytest
@@ -74,6 +75,47 @@ def test_induced_order(memory):
             assert prefix[k] == same
 
 
+def anonymous_mb():
+    with open("/proc/self/status") as f:
+        return next(int(line.split()[1]) for line in f if line.startswith("RssAnon")) / 1024
+
+
+def sort_shard(size):
+    """Peak of memory held and time of sorting a shard of words with repeated passages."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(97, 123, (5000, 6), np.uint8)
+    words[:, 5] = 32
+    raw = words[np.minimum(rng.zipf(1.3, size // 6), 5000) - 1].ravel()
+    raw[len(raw) // 2: len(raw) // 2 + 100_000] = raw[:100_000]
+    peaks, done = [], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            peaks.append(anonymous_mb())
+
+    with tempfile.TemporaryDirectory() as folder:
+        raw.tofile(f"{folder}/text")
+        text, n = np.memmap(f"{folder}/text", np.uint8, "r"), len(raw)
+        del raw
+        before, last, repeated = anonymous_mb(), None, 0
+        watcher = threading.Thread(target=watch)
+        watcher.start()
+        for at, prefix in Shard(text, 100, folder).order():
+            n, repeated = n - len(at), repeated + int((prefix == 100).sum())
+            here = bytes(text[at[0]: at[0] + 100])
+            assert last is None or last <= here
+            last = here
+        done.set()
+        watcher.join()
+    assert n == 0 and repeated >= 99_900
+    return max(peaks) - before
+
+
+def test_memory_does_not_follow_the_shard():
+    small, large = sort_shard(4 << 20), sort_shard(16 << 20)
+    assert large < 300 and large < 2 * small + 50
+
+
 def test_near_duplicates_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 3)      # clusters and buckets of several blocks
     monkeypatch.setattr(minhash, "BUCKET_BLOCK", 3)

@@ -1,11 +1,16 @@
-"""External induced suffix sorting with common-prefix values, for one shard of text.
+"""External induced suffix sorting with common-prefix values, for one shard of text that need not fit into memory.
 
 The order of the S* suffixes (left-most smaller ones) is found on the reduced string of their substrings, then it is carried to
 all others: left to right to the larger (L) suffixes, right to left to the smaller (S) ones. A suffix enters the order when
 its successor leaves a priority queue, as a tuple (position, common prefix with the one before). Keys of the
 queue are first characters, and tuples of one character come out as they went in, so the queue is one file-backed
-sequence per character; a sequence keeps ``memory`` tuples and spills the rest to a file. Text and types are
-memory-mapped files; of the reduced string a few numbers per S* suffix are held. Every step works on blocks of tuples with numpy.
+sequence per character; all sequences share one budget of ``memory`` tuples and spill the rest to files.
+
+The reduced string has as many letters as there are different substrings, too many for a sequence each. It is
+put in order by doubling: pairs of ranks are sorted in runs of ``memory`` pairs on file, and the runs are merged range by range.
+
+Text, types, hashes, the S* positions, their names and ranks are memory-mapped files. Every step works on blocks with
+numpy, so memory follows ``memory`` and the number of letters, not the length of the text.
 
 A common prefix is one more than the least value between the two successors, carried along with the tuples; values are capped at
 ``depth``. Suffixes that agree on ``depth`` characters may come in any order.
@@ -24,15 +29,22 @@ from wattshift.llm.common import BASE
 BLOCK = 1 << 16
 
 
+class Budget:
+    """Tuples that the queues of a shard hold in memory together."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.held = limit, 0
+
+
 class DiskQueue:
-    """A sequence of (position, prefix) tuples, first in first out; what exceeds the memory limit goes to a file.
+    """A sequence of (position, prefix) tuples, first in first out; what exceeds the shared budget goes to a file.
 
     Tuples pushed one after another gather in a block, which is closed when it is full or asked for. ``kinds`` are the
     integer types that hold positions and prefixes.
     """
 
-    def __init__(self, folder: str, memory: int, kinds: tuple[type, type] = (np.int64, np.int64)) -> None:
-        self.folder, self.memory, self.kinds = folder, memory, kinds
+    def __init__(self, folder: str, budget: Budget, kinds: tuple[type, type] = (np.int64, np.int64)) -> None:
+        self.folder, self.budget, self.kinds = folder, budget, kinds
         self.blocks: list[tuple[np.ndarray, np.ndarray] | tuple[int, int]] = []
         self.tail: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = self.held = self.at = 0
@@ -50,7 +62,7 @@ class DiskQueue:
     def _close_block(self) -> None:
         block = tuple(np.concatenate([x[k] for x in self.tail]) for k in (0, 1))
         self.tail, self.waiting = [], 0
-        if self.held + len(block[0]) > self.memory:
+        if self.budget.held + len(block[0]) > self.budget.limit:
             if self.file is None:
                 self.file = tempfile.TemporaryFile(dir=self.folder)
             self.file.seek(self.at)
@@ -60,6 +72,7 @@ class DiskQueue:
         else:
             self.blocks.append(block)
             self.held += len(block[0])
+            self.budget.held += len(block[0])
 
     def get(self, i: int) -> np.ndarray:
         """Block i as rows of positions and prefixes, a copy."""
@@ -74,36 +87,53 @@ class DiskQueue:
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
-        self.blocks, self.tail = [], []
+        self.budget.held -= self.held
+        self.blocks, self.tail, self.held = [], [], 0
 
 
-def suffix_types(t: np.ndarray) -> np.ndarray:
-    """True for S suffixes: smaller than the next one. The end counts as smaller than all, so the last suffix is L."""
-    n = len(t)
+def suffix_types(t: np.ndarray, after: bool) -> np.ndarray:
+    """True for S suffixes: smaller than the next one. ``after`` is the type of the last place."""
     turn = np.flatnonzero(t[1:] != t[:-1])                     # last place of each run but the last run
     rises = t[turn + 1] > t[turn]
-    lengths = np.diff(np.concatenate(([-1], turn, [n - 1])))
-    return np.repeat(np.append(rises, False), lengths)
+    lengths = np.diff(np.concatenate(([-1], turn, [len(t) - 1])))
+    return np.repeat(np.append(rises, after), lengths)
+
+
+def spans(n: int, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    return ((a, min(a + size, n)) for a in range(0, n, size))
 
 
 class Shard:
     """Suffixes of a text of small non-negative integers, to be put in order of their first ``depth`` characters."""
 
     def __init__(self, text: np.ndarray, depth: int, folder: str, memory: int = 1 << 20) -> None:
-        self.t, self.depth, self.folder, self.memory = text, depth, folder, memory
-        self.kinds = (np.uint32 if len(text) < 1 << 32 else np.int64, np.uint8 if depth < 256 else np.int64)
-        self.letters = int(text.max()) + 1 if len(text) else 1
-        self.s = np.memmap(os.path.join(folder, "types"), np.bool_, "w+", shape=max(1, len(text)))[: len(text)]
-        self.s[:] = suffix_types(text)
-        before = np.concatenate(([True], self.s[:-1])) if len(text) else self.s
-        self.star = np.flatnonzero(self.s & ~before)
-        self.hash, self.up = (np.memmap(os.path.join(folder, name), np.uint64, "w+", shape=len(text) + 1) for name in ("hash", "powers"))
+        self.t, self.depth, self.folder, self.memory = text, depth, folder, max(memory, 1)
+        self.budget = Budget(memory)
+        n = len(text)
+        self.kinds = (np.uint32 if n < 1 << 32 else np.int64, np.uint8 if depth < 256 else np.int64)
+        self.letters = int(text.max()) + 1 if n else 1
+        self.s = self._file("types", np.bool_, n)
+        for a, b in reversed(list(spans(n))):                  # the end counts as smaller than all, so the last suffix is L
+            last = b < n and (self.s[b] if text[b - 1] == text[b] else text[b - 1] < text[b])
+            self.s[a:b] = suffix_types(text[a:b], bool(last))
+        with open(os.path.join(folder, "stars"), "wb") as f:
+            for a, b in spans(n):
+                here = np.arange(a, b)
+                f.write(here[self._is_star(here)].astype(self.kinds[0]).tobytes())
+            size = f.tell() // np.dtype(self.kinds[0]).itemsize
+        self.star = np.memmap(os.path.join(folder, "stars"), self.kinds[0], "r", shape=size) if size else np.zeros(0, self.kinds[0])
+        self.hash, self.up = (self._file(name, np.uint64, n + 1) for name in ("hash", "powers"))
         self.hash[0], self.up[0] = 0, 1
-        for a in range(0, len(text), BLOCK):
-            b = min(a + BLOCK, len(text))
+        for a, b in spans(n):
             self.up[a + 1: b + 1] = np.multiply.accumulate(np.append(self.up[a], np.full(b - a, BASE, np.uint64)))[1:]
             self.hash[a + 1: b + 1] = self.hash[a] + np.cumsum((text[a:b].astype(np.uint64) + np.uint64(1)) * self.up[a:b])
 
+    def _file(self, name: str, kind: type, n: int) -> np.ndarray:
+        return np.memmap(os.path.join(self.folder, name), kind, "w+", shape=max(1, n))[:n]
+
+    def _is_star(self, positions: np.ndarray) -> np.ndarray:
+        return (positions > 0) & self.s[positions] & ~self.s[positions - 1]
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of suffix pairs, up to depth, by bisection over prefix hashes."""
         n = len(self.t)
@@ -121,7 +151,7 @@ class Shard:
 
         In a pass a character's own suffixes come before its seeds.
         """
-        made = [DiskQueue(self.folder, self.memory, self.kinds) for _ in range(self.letters)]
+        made = [DiskQueue(self.folder, self.budget, self.kinds) for _ in range(self.letters)]
         open_ = np.full(self.letters, -1, np.int64)     # least prefix since the last tuple pushed to a character; -1: none yet
 
         def process(block: np.ndarray) -> None:
@@ -162,18 +192,20 @@ class Shard:
                 process(block)
         return made
 
-    def _by_letter(self, positions: np.ndarray, prefix: np.ndarray) -> list[DiskQueue]:
-        out = [DiskQueue(self.folder, self.memory, self.kinds) for _ in range(self.letters)]
-        c = self.t[positions]
-        cuts = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1, [len(c)])) if len(c) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            for k in range(int(a), int(b), BLOCK):
-                out[c[a]].push(positions[k: min(k + BLOCK, b)], prefix[k: min(k + BLOCK, b)])
+    def _by_letter(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[DiskQueue]:
+        out = [DiskQueue(self.folder, self.budget, self.kinds) for _ in range(self.letters)]
+        for positions, prefix in blocks:
+            c = self.t[positions]
+            order = np.argsort(c, kind="stable")
+            c, positions, prefix = c[order], positions[order], prefix[order]
+            cuts = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1, [len(c)]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                out[c[a]].push(positions[a:b], prefix[a:b])
         return out
 
     def _reversed(self, queues: list[DiskQueue]) -> list[DiskQueue]:
         """The same tuples in falling order; a prefix value then belongs to the pair's other suffix."""
-        out = [DiskQueue(self.folder, self.memory, self.kinds) for _ in range(self.letters)]
+        out = [DiskQueue(self.folder, self.budget, self.kinds) for _ in range(self.letters)]
         for queue, other in zip(queues, out):
             shift = 0
             for i in range(len(queue) - 1, -1, -1):
@@ -182,55 +214,132 @@ class Shard:
                 shift = block[1, -1]
         return out
 
-    def _both(self, stars: np.ndarray, prefix: np.ndarray):
-        larger = self._induce(self._by_letter(stars, prefix), False)
+    def _both(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]]):
+        """Queues of the L and of the S suffixes, from blocks of S* suffixes in the order of their letters."""
+        seeds = self._by_letter(blocks)
+        larger = self._induce(seeds, False)
+        for queue in seeds:
+            queue.close()
         falling = self._reversed(larger)
         smaller = self._induce(falling, True)
         for queue in falling:
             queue.close()
         return larger, smaller
 
-    def _star_order(self) -> np.ndarray:
-        """S* suffixes in order of their first depth characters: substrings sorted by induction, then pairs of ranks."""
-        stars = self.star
-        if len(stars) < 2:
-            return stars
-        by_letter = stars[np.argsort(self.t[stars], kind="stable")]
-        larger, smaller = self._both(by_letter, np.zeros(len(stars), np.int64))
+    def _stars(self, a: int, b: int) -> np.ndarray:
+        return self.star[a:b].astype(np.int64)
+
+    def _same(self, a: np.ndarray, b: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Pairs of S* positions with the same substring, up to and with the next S* position."""
+        size, n = stops[a >> 1] - a, len(self.t)
+        first, last = np.minimum(a, b), np.maximum(a, b)
+        fits = np.minimum(size, n - last)
+        return (size == stops[b >> 1] - b) & (
+            (self.hash[first + fits] - self.hash[first]) * self.up[last - first] == self.hash[last + fits] - self.hash[last])
+
+    def _named(self, order: np.ndarray) -> tuple[np.ndarray, int]:
+        """The reduced string (a rank from 1 for every S* substring, in text order) and its number of letters; the order of
+        substrings goes to ``order``. S* positions lie two apart at least, so half a position is a place of its own."""
+        n, m = len(self.t), len(self.star)
+        stops, names = (self._file(name, self.kinds[0], n // 2 + 1) for name in ("stops", "names"))
+        for a, b in spans(m):
+            here = self._stars(a, b + 1)
+            stops[here[: b - a] >> 1] = np.append(here[1:] + 1, n)[: b - a]
+        larger, smaller = self._both((self._stars(a, b), np.zeros(b - a, np.int64)) for a, b in spans(m))
         for queue in larger:
             queue.close()
-        is_star = np.zeros(len(self.t), bool)
-        is_star[stars] = True
-        found = [q.get(i)[0] for q in smaller for i in range(len(q) - 1, -1, -1)]
-        order = np.concatenate([b[::-1][is_star[b[::-1]]] for b in found])
-        number = np.zeros(len(self.t), self.kinds[0])
-        number[stars] = np.arange(len(stars))
-        stop = np.minimum(np.append(stars[1:] + 1, len(self.t)), len(self.t))
-        a, b = number[order[:-1]], number[order[1:]]
-        size = stop - stars
-        first, last = np.minimum(stars[a], stars[b]), np.maximum(stars[a], stars[b])
-        fits = np.minimum(size[a], len(self.t) - last)
-        same = (size[a] == size[b]) & ((self.hash[first + fits] - self.hash[first]) * self.up[last - first] == self.hash[last + fits] - self.hash[last])
-        rank = np.zeros(len(stars), np.int64)
-        rank[number[order]] = np.concatenate(([0], np.cumsum(~same))) + 1
+        at = rank = 0
+        last = np.zeros(0, np.int64)
+        for queue in smaller:
+            for i in range(len(queue) - 1, -1, -1):
+                found = queue.get(i)[0, ::-1]
+                found = found[self._is_star(found)]
+                if not len(found):
+                    continue
+                both = np.concatenate((last, found))
+                new = np.concatenate((np.ones(1 - len(last), bool), ~self._same(both[:-1], both[1:], stops)))
+                ranks = rank + np.cumsum(new)
+                names[found >> 1] = ranks
+                order[at: at + len(found)] = found
+                at, rank, last = at + len(found), int(ranks[-1]), found[-1:]
+            queue.close()
+        reduced = self._file("reduced", self.kinds[0], m)
+        for a, b in spans(m):
+            reduced[a:b] = names[self._stars(a, b) >> 1]
+        return reduced, rank
+
+    def _doubled(self, rank: np.ndarray, span: int, order: np.ndarray) -> tuple[np.ndarray, int]:
+        """Ranks of twice the span and their number; the order goes to ``order``.
+
+        Runs of ``memory`` pairs are sorted on file. Keys sampled from the runs cut the keys into ranges: single sampled keys, which
+        need no sorting, and what lies between two of them, at most ``memory`` pairs over all runs together.
+        """
+        m, size = len(rank), self.memory
+        keys, places = self._file("keys", np.int64, m), self._file("places", self.kinds[0], m)
+        new = self._file(f"ranks-{2 * span}", self.kinds[0], m)
+        runs = list(spans(m, size))
+        for a, b in runs:
+            key = rank[a:b].astype(np.int64) * (m + 2)
+            more = rank[a + span: b + span].astype(np.int64)
+            key[: len(more)] += more
+            by_key = np.argsort(key, kind="stable")
+            keys[a:b], places[a:b] = key[by_key], by_key + a
+        step = max(1, size // len(runs))
+        sample = np.unique(np.concatenate([keys[a:b:step] for a, b in runs]))
+        bounds = np.unique(np.concatenate((sample, sample + 1)))
+        cuts = np.array([np.append(a + np.searchsorted(keys[a:b], bounds), b) for a, b in runs])
+        sizes = np.diff(cuts, axis=1).sum(0)
+        at = last = k = 0
+        while k < len(sizes):
+            stop = k + 1
+            while stop < len(sizes) and sizes[k:stop + 1].sum() <= size:
+                stop += 1
+            parts = [(low, high) for low, high in zip(cuts[:, k].tolist(), cuts[:, stop].tolist()) if low < high]
+            if sizes[k] > size and stop == k + 1:              # one key that many pairs share
+                last += 1
+                pieces = ((places[low + x: low + y].astype(np.int64), last) for low, high in parts for x, y in spans(high - low))
+            elif parts:
+                key, place = (np.concatenate([f[low:high] for low, high in parts]) for f in (keys, places))
+                by_key = np.argsort(key, kind="stable")
+                key = key[by_key]
+                ranks = last + np.cumsum(np.concatenate(([True], key[1:] != key[:-1])))
+                last = int(ranks[-1])
+                pieces = ((place[by_key].astype(np.int64), ranks),)
+            else:
+                pieces = ()
+            for place, ranks in pieces:
+                new[place] = ranks
+                order[at: at + len(place)] = self.star[place]
+                at += len(place)
+            k = stop
+        return new, last
+
+    def _star_order(self) -> np.ndarray:
+        """S* suffixes in order of their first depth characters, on file."""
+        m = len(self.star)
+        if m < 2:
+            return self.star
+        order = self._file("order", self.kinds[0], m)
+        rank, letters = self._named(order)
         span = 1
-        while 2 * span <= self.depth and rank.max() < len(stars):      # a substring spans two characters at least
-            pair = rank * (len(stars) + 2) + np.append(rank[span:], np.zeros(min(span, len(rank)), np.int64))
-            _, rank = np.unique(pair, return_inverse=True)
-            rank += 1
+        while 2 * span <= self.depth and letters < m:          # a substring spans two characters at least
+            rank, letters = self._doubled(rank, span, order)
+            os.unlink(os.path.join(self.folder, f"ranks-{span}" if span > 1 else "reduced"))
             span *= 2
-        return stars[np.argsort(rank, kind="stable")]
+        return order
+
+    def _with_prefixes(self, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in spans(len(order)):
+            here = order[max(a - 1, 0): b].astype(np.int64)
+            prefix = self.common(here[:-1], here[1:])
+            yield (here[1:], prefix) if a else (here, np.append(0, prefix))
 
     def order(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (positions, prefixes) of all suffixes in order; a prefix is what a suffix shares with the one before,
         up to depth."""
         if not len(self.t):
             return
-        stars = self._star_order()
-        prefix = np.zeros(len(stars), np.int64)
-        if len(stars) > 1:
-            prefix[1:] = self.common(stars[:-1], stars[1:])
-        larger, smaller = self._both(stars, prefix)
+        larger, smaller = self._both(self._with_prefixes(self._star_order()))
         last = None
         for low, high in zip(larger, self._reversed(smaller)):
             for queue in (low, high):

@@ -3,7 +3,7 @@
 A byte goes if a string of ``span`` bytes that covers it also starts earlier: in a document with a smaller id, or earlier in
 the same document. Strings do not cross documents.
 
-1. Every string has one anchor: the least hash among its ``gram``-byte substrings, the left-most if equal. Neighbouring strings
+1. Every string has one anchor: the least 32-bit hash among its ``gram``-byte substrings, the left-most if equal. Neighbouring strings
    share anchors, so a text becomes a few rows, one per anchor with the range of strings it stands for. Equal
    strings have equal anchors, so all that follows can be done anchor by anchor.
 2. Rows with the same anchor and the same text around it are compared first inside a task, then by one shuffle: of equal rows only
@@ -63,7 +63,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int, gram: int, tables: Po
     h = prefix_hash(data, tables)
     _, down = tables.get(n + 1)
     grams = mix((h[gram:] - h[:-gram]) * down[: n - gram + 1])
-    places = np.uint64((1 << 24) - 1 if n < 1 << 24 else (1 << 32) - 1)
+    places = np.uint64((1 << 32) - 1)      # anchors are told apart by the upper half of the hash, in a text of any size
     least = (grams & ~places) | np.arange(len(grams), dtype=np.uint64)
     reach = 1
     while reach * 2 <= width:
@@ -202,50 +202,71 @@ def _segments(span: int, gram: int):
     return run
 
 
+def _least_first(columns: list[np.ndarray]) -> list[np.ndarray]:
+    return [c[order] for order in [np.lexsort(columns[::-1])] for c in columns]
+
+
+def _runs(rows: np.ndarray, begins: np.ndarray, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Ranges of marked strings inside every row (k_id, k_text, at) from its place in the shard on."""
+    for a in range(0, len(rows), THIN_ROWS):
+        (k_id, k_text, at), begin = rows[a: a + THIN_ROWS].T, begins[a: a + THIN_ROWS]
+        count = at % WIDTH
+        stops = np.cumsum(count)
+        row = np.repeat(np.arange(len(count)), count)
+        offset = np.arange(len(row)) - np.repeat(stops - count, count)
+        marked = gone[begin[row] + offset]
+        row, offset = row[marked], offset[marked]
+        fresh = _changes([row, offset - np.arange(len(offset))])
+        heads = np.flatnonzero(fresh)
+        if len(heads):
+            length = np.diff(np.append(heads, len(row)))
+            row, start = row[heads], (at // WIDTH)[row[heads]] + offset[heads]
+            yield _batch([k_id[row], k_text[row], start * WIDTH + length], ("k_id", "k_text", "at"))
+
+
 def _sorted_shard(span: int, memory: int):
-    """A partition's segments as one text in a file, suffix-sorted; the repeated strings as (k_id, k_text, at)."""
+    """A partition's segments as one text in a file, suffix-sorted; the repeated strings as (k_id, k_text, at).
+
+    Strings of one group share their first span bytes; groups come one after another, and from block to block only the
+    earliest string of the last group is carried. Repeated strings are marked in a file.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:     # of the task alone, gone when it ends
-            tables, size = [], 0
-            with open(os.path.join(folder, "text"), "wb") as f:
+            size = n_rows = 0
+            files = [os.path.join(folder, name) for name in ("text", "rows", "begins")]
+            with open(files[0], "wb") as f, open(files[1], "wb") as g, open(files[2], "wb") as h:
                 for batch in batches:
-                    for b in batch.column(4).to_pylist():
+                    if not batch.num_rows:
+                        continue
+                    raw = batch.column(4).to_pylist()
+                    for b in raw:
                         f.write(b"\0" + b)                # any letter parts; strings never reach beyond their segment
-                    columns = [c.to_numpy() for c in batch.columns[1:4]]
-                    begin = size + np.cumsum([0, *[len(b) + 1 for b in batch.column(4).to_pylist()]])
-                    tables.append((*columns, begin[:-1] + 1))
-                    size = int(begin[-1])
+                    begin = size + np.cumsum([0, *[len(b) + 1 for b in raw]])
+                    g.write(np.stack([c.to_numpy() for c in batch.columns[1:4]], 1).tobytes())
+                    h.write((begin[:-1] + 1).tobytes())
+                    size, n_rows = int(begin[-1]), n_rows + len(raw)
             if not size:
                 return
-            k_id, k_text, at, begin = (np.concatenate(x) for x in zip(*tables))
-            text = np.memmap(os.path.join(folder, "text"), np.uint8, "r")
-            kept, groups = [], 0
+            text = np.memmap(files[0], np.uint8, "r")
+            rows, begins = np.memmap(files[1], np.int64, "r", shape=(n_rows, 3)), np.memmap(files[2], np.int64, "r")
+            gone = np.memmap(os.path.join(folder, "gone"), np.bool_, "w+", shape=size)
+            groups, earliest = 0, [np.zeros(0, np.int64)] * 5     # group, k_id, k_text, first string, place in the shard
             for positions, prefix in Shard(text, span, folder, memory).order():
-                group = groups + np.cumsum(prefix < span)      # strings of one group share their first span bytes
+                group = groups + np.cumsum(prefix < span)
                 groups = int(group[-1])
-                row = np.searchsorted(begin, positions, "right") - 1
-                offset = positions - begin[row]
-                string = (row >= 0) & (offset >= 0) & (offset < at[row] % WIDTH)
-                group, row, offset = group[string], row[string], offset[string]
-                same = group[1:] == group[:-1]
-                some = np.concatenate(([True], same)) | np.concatenate((same, [True])) if len(group) else string[:0]
-                kept.append((group[some], row[some], offset[some]))
-            group, row, offset = (np.concatenate(x) for x in zip(*kept))
-            place = [k_id[row], k_text[row], at[row] // WIDTH + offset]
-            order = np.lexsort((*place[::-1], group))
-            group, place = group[order], [p[order] for p in place]
-            gone = _differs(place, _changes([group]))
-            place = [p[gone] for p in place]
-            order = np.lexsort(place[::-1])
-            a, b, start = (p[order] for p in place)
-            fresh = _changes([a, b, start - np.arange(len(start))]) if len(start) else np.zeros(0, bool)
-            heads = np.flatnonzero(fresh)
-            length = np.diff(np.append(heads, len(start)))
-            while len(heads):                              # runs longer than a row may stand for are cut
-                step = np.minimum(length, WIDTH - 1)
-                yield _batch([a[heads], b[heads], start[heads] * WIDTH + step], ("k_id", "k_text", "at"))
-                rest = length > step
-                heads, length = (heads + step)[rest], (length - step)[rest]
+                row = np.searchsorted(begins, positions, "right") - 1
+                k_id, k_text, at = rows[np.maximum(row, 0)].T
+                offset = positions - begins[np.maximum(row, 0)]
+                string = (row >= 0) & (offset < at % WIDTH)
+                found = [x[string] for x in (group, k_id, k_text, at // WIDTH + offset, positions)]
+                columns = _least_first([np.concatenate(x) for x in zip(earliest, found)])
+                if not len(columns[0]):
+                    continue
+                first = _changes(columns[:1])
+                gone[columns[4][_differs(columns[1:4], first)]] = True
+                head = np.flatnonzero(first)[-1:]
+                earliest = [c[head] for c in columns]
+            yield from _runs(rows, begins, gone)
     return run
 
 
