@@ -4,6 +4,7 @@ import json
 import os
 import random
 import time
+from collections import deque
 from dataclasses import replace
 
 import pytest
@@ -18,9 +19,11 @@ from wattshift.plans.replay import write_replay
 from wattshift.sources import samples as src
 from wattshift.sources.results import ResultTable
 from wattshift.streaming import pipeline as pl
+from wattshift.streaming.audit import state_of, state_variables, waiting_windows
 from wattshift.streaming.handover import history_state, results_from_history
 from wattshift.streaming.recheck import stream_recheck_points
 from wattshift.streaming.sequence import in_sequence
+from wattshift.streaming.trailing import stream_trailing
 from wattshift.streaming.verify import MapComposer, latest_results, verified_results
 
 MINUTE = 60
@@ -310,3 +313,63 @@ def test_debug_prints_what_was_written(spark, tmp_path):
     written = {f for f in os.listdir(os.path.join(target, "results")) if f.endswith(".json")}
     assert sorted(os.path.basename(x["path"]) for x in lines) == sorted(written) and all("/out/results/" in x["path"] for x in lines)
     assert job.results(spark, target).count() == 12
+
+
+def feature_files(spark, path, files):
+    """One JSON file of features per entry, in the order of arrival."""
+    os.makedirs(path, exist_ok=True)
+    for name, rows in files:
+        with open(f"{path}/{name}", "w") as f:
+            f.writelines(json.dumps({"stream_id": s, "idx": i, "f1": x, "f2": -x}) + "\n" for s, i, x in rows)
+        os.utime(f"{path}/{name}", (1_600_000_000 + int(name), 1_600_000_000 + int(name)))
+
+
+def test_trailing_buffer_in_state_stays_flat_over_restarts(spark, tmp_path):
+    """10,000 features of one stream and a few of another, in four runs: like a plain deque, and old blocks leave the state."""
+    small, keep = replace(P, w2=5), 12
+    length, rng = keep * small.w2 + 2, random.Random(4)
+    values = {0: [rng.random() for _ in range(10_000)], 1: [rng.random() for _ in range(30)]}
+    session, wire, out = pl.stateful_session(spark, 2), str(tmp_path / "wire"), str(tmp_path / "out")
+    sizes, at = [], 0
+    for step in range(4):
+        rows = [(0, i, values[0][i]) for i in range(at, at + 2500)] + [(1, i, values[1][i]) for i in range(step * 7, step * 7 + 7)]
+        at += 2500
+        feature_files(spark, wire, [(str(2 * step), rows[:900]), (str(2 * step + 1), rows[900:])])
+        stream = session.readStream.schema("stream_id long, idx long, f1 double, f2 double").option("maxFilesPerTrigger", 1).json(wire)
+        run(stream_trailing(stream, small, keep), out)
+        blocks = state_of(session, f"{out}/state", "blocks").select("key.stream_id", F.length("user_map_value.features").alias("n"))
+        sizes.append({r["stream_id"]: r["n"] // 16 for r in blocks.groupBy("stream_id").agg(F.sum("n").alias("n")).collect()})
+    assert all(s[0] < 2 * length for s in sizes) and [s[1] for s in sizes] == [7, 14, 21, 28]
+    got = sorted(spark.read.parquet(f"{out}/rows").collect(), key=lambda r: (r["stream_id"], r["idx"]))
+    want = []
+    for s, n in ((0, 10_000), (1, 28)):
+        buffer = deque(maxlen=length)
+        for i in range(n):
+            buffer.append(values[s][i])
+            want.append((s, i, len(buffer), i - len(buffer) + 1, min(buffer), max(buffer)))
+    assert [tuple(r) for r in got] == want
+
+
+def test_a_gap_in_features_stops_the_trailing_buffer(spark, tmp_path):
+    feature_files(spark, str(tmp_path / "wire"), [("0", [(0, 0, 1.0), (0, 2, 1.0)])])
+    stream = pl.stateful_session(spark, 1).readStream.schema("stream_id long, idx long, f1 double, f2 double").json(str(tmp_path / "wire"))
+    with pytest.raises(StreamingQueryException, match="1 is next|0 is next"):
+        run(stream_trailing(stream, P), str(tmp_path / "out"))
+
+
+def test_audit_of_waiting_windows(spark, tmp_path):
+    """The audit follows the state batch by batch, for one key a stream and for slot groups."""
+    session, wire = pl.stateful_session(spark, 2), str(tmp_path / "wire")
+    send(spark, wire, "0", window(0, 0) + window(0, 1) + window(1, 0), 0)
+    send(spark, wire, "1", window(0, 2) + window(0, 3), 1)
+    for form, groups in (("sums", 1), ("filled", 2)):
+        out = str(tmp_path / form)
+        run(pl.closed_windows(src.stream_batches(session, wire), P, 3, fill=form == "filled", groups=groups), out)
+        audit = lambda batch=None, out=out: sorted(tuple(r) for r in waiting_windows(session, f"{out}/state", batch=batch).collect())
+        assert audit() == [(0, 0, 3, 1, 3), (1, -3, 1, 0, 0)]
+        assert audit(0) == [(0, -2, 2, 0, 1), (1, -3, 1, 0, 0)]
+        held = state_variables(session, f"{out}/state").first()
+        assert (held["operator_id"], held["partitions"], held["newest"]) == (0, 2, 1)
+    send(spark, wire, "2", [], 2, ended=[0, 1])
+    run(pl.closed_windows(src.stream_batches(session, wire), P, 3), str(tmp_path / "sums"))
+    assert [r["waiting"] for r in waiting_windows(session, str(tmp_path / "sums/state")).collect()] == [0, 0]

@@ -431,6 +431,15 @@ closed AS (SELECT stream_id, step, max(newest) OVER (PARTITION BY stream_id ORDE
         f"""SELECT s.stream_id, i, voltage, current, coalesce(window_no <= before - {PARAMS.max_latency + 1}, false) AS late
           FROM sent s JOIN closed c ON c.stream_id = s.stream_id AND c.step = s.batch_no // s.width"""),
     "stream_from_history": select(*MANY_RESULTS, RESULT_ROWS),
+    "stream_trailing": select(
+        *MANY, f"""SELECT stream_id, idx, count(*) OVER w AS buffered, min(idx) OVER w AS first_idx,
+            round(min(f1) OVER w, 6) AS low, round(max(f1) OVER w, 6) AS high
+          FROM features WINDOW w AS (PARTITION BY stream_id ORDER BY idx ROWS BETWEEN {12 * W2 + 1} PRECEDING AND CURRENT ROW)"""),
+    "state_audit": select(
+        MULTI, f"""sent AS (SELECT *, i // {W1} AS window_no, i // {W1} + (i * 7919) % {PARAMS.max_latency + 1} AS batch_no FROM samples),
+clocks AS (SELECT stream_id, max(batch_no) - {PARAMS.max_latency + 1} AS closed FROM sent GROUP BY ALL)""",
+        """SELECT c.stream_id, closed, count(DISTINCT window_no) AS waiting, min(window_no) AS oldest, max(window_no) AS newest
+          FROM clocks c LEFT JOIN sent s ON s.stream_id = c.stream_id AND s.window_no > c.closed GROUP BY ALL"""),
     "stream_idle_close": select(*MANY, WINDOW_ROWS),
     "stream_verify": select(
         *alone(130), """SELECT r.*, r.event_start IS DISTINCT FROM p.event_start OR r.event_end IS DISTINCT FROM p.event_end AS corrected

@@ -32,9 +32,11 @@ from wattshift.session import scratch_path, settle
 from wattshift.sources import samples as src
 from wattshift.sources.results import ResultTable, result_json
 from wattshift.streaming import pipeline as pl
+from wattshift.streaming.audit import waiting_windows
 from wattshift.streaming.handover import history_state, results_from_history
 from wattshift.streaming.recheck import stream_recheck_points
 from wattshift.streaming.sequence import in_sequence
+from wattshift.streaming.trailing import stream_trailing
 from wattshift.streaming.verify import latest_results, verified_results
 
 WINDOW = ["stream_id", "window_id"]
@@ -709,6 +711,25 @@ def stream_recheck(spark, sf):
     return pl.run_to_files(stream_recheck_points(*sides, PARAMS), spark, "recheck").select("stream_id", "idx", "window_no")
 
 
+@query
+def stream_trailing_rows(spark, sf):
+    """The buffer of last features in the state of four live streams."""
+    session, stream = _replayed(spark, signal_multi(spark, sf))
+    rows = pl.run_to_files(stream_trailing(pl.signal_features(stream, PARAMS, fill=False), PARAMS), spark, "trailing")
+    return rows.select("stream_id", "idx", "buffered", "first_idx", r6("low"), r6("high"))
+
+
+@query
+def state_audit(spark, sf):
+    """What waits in the state of a live query over four streams whose samples lag and which have not ended."""
+    rows = signal_multi(spark, sf).withColumn("batch_no", F.col("batch_no") + (F.col("i") * 7919) % (PARAMS.max_latency + 1))
+    session, stream = _replayed(spark, rows)
+    path = scratch_path(spark, "audit")
+    open_ = pl.closed_windows(stream.filter("not ended"), PARAMS, PARAMS.max_latency + 1)
+    pl.run_available(open_.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state"))
+    return waiting_windows(session, f"{path}/state")
+
+
 def _end_to_end(spark, samples, late):
     """Wire files in, one JSON result per feature out."""
     source, files = write_replay(spark, samples, PARAMS, shuffle_within=PARAMS.max_latency if late else 0)

@@ -20,7 +20,7 @@ from wattshift.streaming.processors import PART_SCHEMA, RESULT_SCHEMA, SignalPro
 
 class ResumedWindowSums(WindowSums):
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.clock.update((int(initialState["closed"].iloc[0]), 0))
+        self.clock.update((int(initialState["closed"].iloc[0]),))
 
 
 class ResumedSignal(SignalProcessor):

@@ -48,7 +48,7 @@ def _sums(v: np.ndarray, c: np.ndarray) -> tuple[int, float, float, float]:
 
 class _Clocked(StatefulProcessor):
     """Values wait under their window until the key's clock closes it. A micro-batch adds one entry per window and Arrow
-    batch; entries are never rewritten."""
+    batch; entries are never rewritten. ``open`` counts the entries of each waiting window, so only those of due windows are read."""
 
     delay: int
     idle: int | None = None     # milliseconds without input after which a key closes what it holds
@@ -56,7 +56,8 @@ class _Clocked(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.clock = handle.getValueState("clock", "closed long, entries long")
+        self.clock = handle.getValueState("clock", "closed long")
+        self.open = handle.getMapState("open", "window_no long", "entries long")
         self.waiting = handle.getMapState("waiting", "window_no long, entry long", "block binary")
         if self.idle is not None:
             self.seen = handle.getValueState("seen", "newest long, due long")
@@ -64,7 +65,7 @@ class _Clocked(StatefulProcessor):
     def absorb(self, rows, windows_of, timers=None) -> tuple[dict[int, list[np.ndarray]], int, int]:
         """Store the rows of open windows; return the windows that close now with their rows, and the closed bounds before
         and after. windows_of turns a packed row into (window numbers, table of values)."""
-        before, entries = self.clock.get() if self.clock.exists() else (OPEN, 0)
+        before = self.clock.get()[0] if self.clock.exists() else OPEN
         closed, arrived, newest, latest = before, [], OPEN, None
         for packed in rows:
             for row in packed.itertuples(index=False):
@@ -78,25 +79,36 @@ class _Clocked(StatefulProcessor):
                 for part in np.split(np.flatnonzero(fresh), np.flatnonzero(np.diff(windows[fresh])) + 1):
                     if len(part):
                         arrived.append((int(windows[part[0]]), table[part]))
-        due = self._due(closed) if closed > before else {}
+        entries = self._entries()
+        due = self._due(entries, closed) if closed > before else {}
+        more: dict[int, int] = {}
         for window, table in arrived:
             if window <= closed:
                 due.setdefault(window, []).append(table)
             else:
-                self.waiting.updateValue((window, entries), (np.ascontiguousarray(table, float).tobytes(),))
-                entries += 1
-        self.clock.update((closed, entries))
+                at = more.get(window, entries.get(window, 0))
+                self.waiting.updateValue((window, at), (np.ascontiguousarray(table, float).tobytes(),))
+                more[window] = at + 1
+        for window, n in more.items():
+            self.open.updateValue((window,), (n,))
+        self.clock.update((closed,))
         if self.idle is not None:
             self._put_off(newest, closed, int(latest) if self.by_arrival else timers.getCurrentProcessingTimeInMs())
         return due, before, closed
 
-    def _due(self, closed: int) -> dict[int, list[np.ndarray]]:
+    def _entries(self) -> dict[int, int]:
+        """Waiting windows and the number of their entries."""
+        return {window: n for (window,), (n,) in self.open.iterator()}
+
+    def _due(self, entries: dict[int, int], closed: int) -> dict[int, list[np.ndarray]]:
         """Take the waiting rows of closed windows out of the state."""
         due: dict[int, list[np.ndarray]] = {}
-        for (window, entry), (block,) in list(self.waiting.iterator()):
-            if window <= closed:
-                due.setdefault(window, []).append(np.frombuffer(block).reshape(-1, self.width))
-                self.waiting.removeKey((window, entry))
+        for window in [w for w in entries if w <= closed]:
+            due[window] = []
+            for at in range(entries[window]):
+                due[window].append(np.frombuffer(self.waiting.getValue((window, at))[0]).reshape(-1, self.width))
+                self.waiting.removeKey((window, at))
+            self.open.removeKey((window,))
         return due
 
     def _put_off(self, newest: int, closed: int, now: int) -> None:
@@ -114,11 +126,11 @@ class _Clocked(StatefulProcessor):
         newest, due = self.seen.get()
         if due != expiredTimerInfo.getExpiryTimeInMs():
             return
-        before, entries = self.clock.get()
+        before = self.clock.get()[0]
         self.seen.update((newest, None))
         if newest > before:
-            self.clock.update((newest, entries))
-            yield from self.released(key, self._due(newest), before, newest)
+            self.clock.update((newest,))
+            yield from self.released(key, self._due(self._entries(), newest), before, newest)
 
     def close(self) -> None:
         pass
