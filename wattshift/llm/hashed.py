@@ -78,7 +78,8 @@ def training_ids(labels: DataFrame, target: Column, max_rows: int) -> DataFrame:
     known = (labels.select("doc_id", target.alias("target")).filter(F.col("doc_id").isNotNull() & F.col("target").isNotNull())
              .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("target").alias("target")))
     share = min(1.0, max_rows / max(1, known.count()))
-    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    bound = min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1)     # of the whole 64-bit range, so no share is too small
+    return known.filter(F.xxhash64("doc_id") <= bound)
 
 
 def training_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
