@@ -106,7 +106,7 @@ def spans(n: int, size: int = BLOCK) -> Iterator[tuple[int, int]]:
 class Shard:
     """Suffixes of a text of small non-negative integers, to be put in order of their first ``depth`` characters."""
 
-    def __init__(self, text: np.ndarray, depth: int, folder: str, memory: int = 1 << 20) -> None:
+    def __init__(self, text: np.ndarray, depth: int, folder: str, memory: int = 1 << 22) -> None:
         self.t, self.depth, self.folder, self.memory = text, depth, folder, max(memory, 1)
         self.budget = Budget(memory)
         n = len(text)
@@ -122,15 +122,24 @@ class Shard:
                 f.write(here[self._is_star(here)].astype(self.kinds[0]).tobytes())
             size = f.tell() // np.dtype(self.kinds[0]).itemsize
         self.star = np.memmap(os.path.join(folder, "stars"), self.kinds[0], "r", shape=size) if size else np.zeros(0, self.kinds[0])
-        self.hash, self.up = (self._file(name, np.uint64, n + 1) for name in ("hash", "powers"))
-        self.hash[0], self.up[0] = 0, 1
+        self.powers = [np.multiply.accumulate(np.append(np.uint64(1), np.full(k, base, np.uint64)))
+                       for k, base in ((BLOCK - 1, BASE), (n // BLOCK, pow(int(BASE), BLOCK, 1 << 64)))]
+        self.hash = self._file("hash", np.uint64, n + 1)
+        self.hash[0] = 0
         for a, b in spans(n):
-            self.up[a + 1: b + 1] = np.multiply.accumulate(np.append(self.up[a], np.full(b - a, BASE, np.uint64)))[1:]
-            self.hash[a + 1: b + 1] = self.hash[a] + np.cumsum((text[a:b].astype(np.uint64) + np.uint64(1)) * self.up[a:b])
+            self.hash[a + 1: b + 1] = self.hash[a] + np.cumsum((text[a:b].astype(np.uint64) + np.uint64(1)) * self._power(np.arange(a, b)))
 
     def _file(self, name: str, kind: type, n: int) -> np.ndarray:
         return np.memmap(os.path.join(self.folder, name), kind, "w+", shape=max(1, n))[:n]
 
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            os.unlink(os.path.join(self.folder, name))
+
+    def _power(self, n: np.ndarray) -> np.ndarray:
+        """Powers of the hash base, from two tables."""
+        return self.powers[0][n % BLOCK] * self.powers[1][n // BLOCK]
+
     def _is_star(self, positions: np.ndarray) -> np.ndarray:
         return (positions > 0) & self.s[positions] & ~self.s[positions - 1]
 
@@ -142,7 +151,7 @@ class Shard:
         first, last = np.minimum(a, b), np.maximum(a, b)
         while np.any(low < high):
             mid = (low + high + 1) >> 1
-            same = (self.hash[first + mid] - self.hash[first]) * self.up[last - first] == self.hash[last + mid] - self.hash[last]
+            same = (self.hash[first + mid] - self.hash[first]) * self._power(last - first) == self.hash[last + mid] - self.hash[last]
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
@@ -235,7 +244,7 @@ class Shard:
         first, last = np.minimum(a, b), np.maximum(a, b)
         fits = np.minimum(size, n - last)
         return (size == stops[b >> 1] - b) & (
-            (self.hash[first + fits] - self.hash[first]) * self.up[last - first] == self.hash[last + fits] - self.hash[last])
+            (self.hash[first + fits] - self.hash[first]) * self._power(last - first) == self.hash[last + fits] - self.hash[last])
 
     def _named(self, order: np.ndarray) -> tuple[np.ndarray, int]:
         """The reduced string (a rank from 1 for every S* substring, in text order) and its number of letters; the order of
@@ -263,9 +272,13 @@ class Shard:
                 order[at: at + len(found)] = found
                 at, rank, last = at + len(found), int(ranks[-1]), found[-1:]
             queue.close()
-        reduced = self._file("reduced", self.kinds[0], m)
+        del stops
+        self._drop("stops")
+        reduced = self._file("ranks-1", self.kinds[0], m)
         for a, b in spans(m):
             reduced[a:b] = names[self._stars(a, b) >> 1]
+        del names
+        self._drop("names")
         return reduced, rank
 
     def _doubled(self, rank: np.ndarray, span: int, order: np.ndarray) -> tuple[np.ndarray, int]:
@@ -275,7 +288,8 @@ class Shard:
         need no sorting, and what lies between two of them, at most ``memory`` pairs over all runs together.
         """
         m, size = len(rank), self.memory
-        keys, places = self._file("keys", np.int64, m), self._file("places", self.kinds[0], m)
+        keys, places = ((np.empty(m, kind) if m <= size else self._file(name, kind, m))
+                        for name, kind in (("keys", np.int64), ("places", self.kinds[0])))
         new = self._file(f"ranks-{2 * span}", self.kinds[0], m)
         runs = list(spans(m, size))
         for a, b in runs:
@@ -312,6 +326,8 @@ class Shard:
                 order[at: at + len(place)] = self.star[place]
                 at += len(place)
             k = stop
+        if m > size:
+            self._drop("keys", "places")
         return new, last
 
     def _star_order(self) -> np.ndarray:
@@ -324,8 +340,9 @@ class Shard:
         span = 1
         while 2 * span <= self.depth and letters < m:          # a substring spans two characters at least
             rank, letters = self._doubled(rank, span, order)
-            os.unlink(os.path.join(self.folder, f"ranks-{span}" if span > 1 else "reduced"))
+            self._drop(f"ranks-{span}")
             span *= 2
+        self._drop(f"ranks-{span}")
         return order
 
     def _with_prefixes(self, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

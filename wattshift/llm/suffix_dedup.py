@@ -300,7 +300,7 @@ def _cut(span: int, full: bool):
     return run
 
 
-def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, memory: int = 1 << 20) -> DataFrame:
+def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, memory: int = 1 << 22) -> DataFrame:
     """(k_id, k_text, at) over keyed documents: the strings first..first+n-1 with at = first * WIDTH + n are repeated."""
     if not 0 <= span - gram < WIDTH - 1:
         raise ValueError(f"span may exceed gram by {WIDTH - 2} at most")
