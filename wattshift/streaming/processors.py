@@ -30,6 +30,9 @@ RESULT_SCHEMA = (
 )
 OPEN = -(1 << 62)   # clock of a stream that has not closed anything
 ENDED = 1 << 62     # clock behind the end mark
+SLICE = 4096        # features judged at once for one stream; about 20 MB at w2 = 100
+RELEASE = 50_000    # sorted samples handed on at once
+CELLS = 1 << 18     # values (windows x slots) filled at once for one key
 
 
 def _power_point(sums: np.ndarray, use_log: bool) -> np.ndarray:
@@ -46,10 +49,28 @@ def _sums(v: np.ndarray, c: np.ndarray) -> tuple[int, float, float, float]:
     return len(v), float((v * c).sum()), float((v * v).sum()), float((c * c).sum())
 
 
+def runs(values: np.ndarray) -> list[slice]:
+    """The runs of equal values in a sorted array."""
+    starts = _starts(values)
+    return [slice(a, b) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(values)])]
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1])))
+
+
+def _by_window(windows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(windows, kind="stable")
+    return windows[order], table[order]
+
+
 class _Clocked(StatefulProcessor):
-    """Values wait under their window until the key's clock closes it. A micro-batch adds one entry per window and Arrow
-    batch; entries are never rewritten. ``open`` counts the entries of each waiting window, so only those of due windows are read."""
+    """Values wait under their window until the key's clock closes it. A micro-batch adds one entry per window that stays open;
+    entries are never rewritten. ``open`` counts the entries of each waiting window, so only those of due windows are read. Rows of
+    windows that close at once never reach the state; they stay in arrays, with no object per window."""
 
+    width: int                  # values of a row
     delay: int
     idle: int | None = None     # milliseconds without input after which a key closes what it holds
     by_arrival = True           # arrival times and watermark, or the clock of the machine
@@ -62,51 +83,52 @@ class _Clocked(StatefulProcessor):
         if self.idle is not None:
             self.seen = handle.getValueState("seen", "newest long, due long")
 
-    def absorb(self, rows, windows_of, timers=None) -> tuple[dict[int, list[np.ndarray]], int, int]:
-        """Store the rows of open windows; return the windows that close now with their rows, and the closed bounds before
-        and after. windows_of turns a packed row into (window numbers, table of values)."""
+    def absorb(self, rows, windows_of, timers=None) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Store the rows of open windows; return the rows of the windows that close now as (window numbers, table of values), in
+        order of windows and, in a window, of arrival, and the closed bounds before and after. windows_of turns a packed row into
+        (window numbers, table of values)."""
         before = self.clock.get()[0] if self.clock.exists() else OPEN
-        closed, arrived, newest, latest = before, [], OPEN, None
+        closed, latest, numbers, tables = before, None, [], []
         for packed in rows:
             for row in packed.itertuples(index=False):
                 closed = max(closed, ENDED if row.ended else row.clock - self.delay)
                 latest = row.arrived if latest is None else max(latest, row.arrived)
                 windows, table = windows_of(row)
-                order = np.argsort(windows, kind="stable")
-                windows, table = windows[order], table[order]
-                fresh = windows > before
-                newest = max(newest, int(windows[-1]) if len(windows) else OPEN)
-                for part in np.split(np.flatnonzero(fresh), np.flatnonzero(np.diff(windows[fresh])) + 1):
-                    if len(part):
-                        arrived.append((int(windows[part[0]]), table[part]))
+                numbers.append(windows)
+                tables.append(table)
+        windows, table = self._joined(numbers, tables)
+        del numbers, tables
+        newest = int(windows.max()) if len(windows) else OPEN
+        fresh = windows > before
+        now, later = fresh & (windows <= closed), fresh & (windows > closed)
         entries = self._entries()
-        due = self._due(entries, closed) if closed > before else {}
-        more: dict[int, int] = {}
-        for window, table in arrived:
-            if window <= closed:
-                due.setdefault(window, []).append(table)
-            else:
-                at = more.get(window, entries.get(window, 0))
-                self.waiting.updateValue((window, at), (np.ascontiguousarray(table, float).tobytes(),))
-                more[window] = at + 1
-        for window, n in more.items():
-            self.open.updateValue((window,), (n,))
+        due = self._due(entries, closed) if closed > before else []
+        due.append((windows[now], table[now]))
+        windows, table = _by_window(windows[later], table[later])
+        for part in runs(windows):
+            window = int(windows[part.start])
+            at = entries.get(window, 0)
+            self.waiting.updateValue((window, at), (np.ascontiguousarray(table[part], float).tobytes(),))
+            self.open.updateValue((window,), (at + 1,))
         self.clock.update((closed,))
         if self.idle is not None:
             self._put_off(newest, closed, int(latest) if self.by_arrival else timers.getCurrentProcessingTimeInMs())
-        return due, before, closed
+        return *_by_window(*self._joined(*zip(*due))), before, closed
+
+    def _joined(self, numbers, tables) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.empty(0, np.int64), *numbers]).astype(np.int64), np.concatenate([np.empty((0, self.width)), *tables])
 
     def _entries(self) -> dict[int, int]:
         """Waiting windows and the number of their entries."""
         return {window: n for (window,), (n,) in self.open.iterator()}
 
-    def _due(self, entries: dict[int, int], closed: int) -> dict[int, list[np.ndarray]]:
+    def _due(self, entries: dict[int, int], closed: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Take the waiting rows of closed windows out of the state."""
-        due: dict[int, list[np.ndarray]] = {}
+        due = []
         for window in [w for w in entries if w <= closed]:
-            due[window] = []
             for at in range(entries[window]):
-                due[window].append(np.frombuffer(self.waiting.getValue((window, at))[0]).reshape(-1, self.width))
+                table = np.frombuffer(self.waiting.getValue((window, at))[0]).reshape(-1, self.width)
+                due.append((np.full(len(table), window, np.int64), table))
                 self.waiting.removeKey((window, at))
             self.open.removeKey((window,))
         return due
@@ -130,7 +152,8 @@ class _Clocked(StatefulProcessor):
         self.seen.update((newest, None))
         if newest > before:
             self.clock.update((newest,))
-            yield from self.released(key, self._due(self._entries(), newest), before, newest)
+            due = self._due(self._entries(), newest)
+            yield from self.released(key, *_by_window(*self._joined(*(zip(*due) if due else ((), ())))), before, newest)
 
     def close(self) -> None:
         pass
@@ -145,18 +168,17 @@ class WindowSums(_Clocked):
         self.delay, self.idle, self.by_arrival, self.marks = delay, idle, by_arrival, marks
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        due, before, closed = self.absorb(
-            rows, lambda r: (np.asarray(r.window_no), np.stack([np.asarray(r.n, float), r.sum_vi, r.sum_vv, r.sum_cc], 1)), timerValues)
-        yield from self.released(key, due, before, closed)
-
-    def released(self, key, due, before: int, closed: int) -> Iterator[pd.DataFrame]:
-        out = []
-        for window, tables in sorted(due.items()):
-            n, vi, vv, cc = np.concatenate(tables).sum(axis=0)
-            out.append((key[0], window, window, int(n), vi, vv, cc, int(n), vi, vv, cc))
+        yield from self.released(key, *self.absorb(
+            rows, lambda r: (np.asarray(r.window_no), np.stack([np.asarray(r.n, float), r.sum_vi, r.sum_vv, r.sum_cc], 1)), timerValues))
+
+    def released(self, key, windows: np.ndarray, table: np.ndarray, before: int, closed: int) -> Iterator[pd.DataFrame]:
+        at = _starts(windows)
+        if len(at):
+            sums = np.add.reduceat(table, at, axis=0)
+            yield _parts(key[0], windows[at], windows[at], sums, sums)
         if self.marks and closed == ENDED and before != ENDED:
-            out.append((key[0], ENDED, ENDED, 0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0))
-        yield _frame(out, PART_SCHEMA)
+            nothing = np.zeros((1, 4))
+            yield _parts(key[0], [ENDED], [ENDED], nothing, nothing)
 
 
 class SlotSums(_Clocked):
@@ -183,37 +205,59 @@ class SlotSums(_Clocked):
 
         yield from self.released(key, *self.absorb(rows, unpack, timerValues))
 
-    def released(self, key, due, before: int, closed: int) -> Iterator[pd.DataFrame]:
-        w1, groups = self.w1, self.groups
+    def released(self, key, windows: np.ndarray, table: np.ndarray, before: int, closed: int) -> Iterator[pd.DataFrame]:
         stored, at = self.last.get() if self.last.exists() else (b"", None)
-        held = np.frombuffer(stored).reshape(3, -1).copy() if stored else np.zeros((3, -(-w1 // groups)))
-        out = []
-
-        def run(first: int, last: int, own) -> None:
-            known = held[0] == 1.0
-            out.append((key[0], first, last, *own, *_sums(held[1, known], held[2, known])))
-
-        for window, tables in sorted(due.items()):
-            if at is not None and window > at + 1:
-                run(at + 1, window - 1, (0, 0.0, 0.0, 0.0))
-            t = np.concatenate(tables)
-            t = t[np.lexsort((t[:, 3], t[:, 2], t[:, 1]))]     # the greatest (batch, voltage, current) of a slot counts
-            slot = t[:, 0].astype(int)
-            held[0, slot], held[1, slot], held[2, slot] = 1.0, t[:, 2], t[:, 3]
-            run(window, window, _sums(t[:, 2], t[:, 3]))
-            at = window
-        if at is not None and closed != ENDED and closed > at:
-            run(at + 1, closed, (0, 0.0, 0.0, 0.0))
-            at = closed
-        elif at is not None and closed == ENDED and before != ENDED:
-            run(at + 1, ENDED, (0, 0.0, 0.0, 0.0))
+        slots = -(-self.w1 // self.groups)
+        held = np.frombuffer(stored).reshape(3, -1).copy() if stored else np.zeros((3, slots))
+        starts = _starts(windows)
+        length = max(1, CELLS // slots)     # windows in one slice
+        for a in range(0, len(starts), length):
+            part = slice(starts[a], starts[a + length] if a + length < len(starts) else len(windows))
+            out, held = self._slice(key, windows[part], table[part], held, at)
+            at = int(windows[part.stop - 1])
+            yield out
         if at is not None:
+            last = closed if closed != ENDED else ENDED if before != ENDED else at
+            if last > at:
+                yield _parts(key[0], [at + 1], [last], np.zeros((1, 4)), _held_sums(held)[None])
+                at = closed if closed != ENDED else at
             self.last.update((held.tobytes(), at))
-        yield _frame(out, PART_SCHEMA)
 
-
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+    def _slice(self, key, windows: np.ndarray, table: np.ndarray, held: np.ndarray, at: int | None):
+        """Rows of a run of windows, and the last readings behind it; all windows at once, one slot per column."""
+        order = np.lexsort((table[:, 3], table[:, 2], table[:, 1], windows))     # the greatest (batch, voltage, current) of a slot counts
+        windows, table = windows[order], table[order]
+        starts = _starts(windows)
+        number = windows[starts]
+        v, c = table[:, 2], table[:, 3]
+        own = np.add.reduceat(np.stack([np.ones(len(v)), v * c, v * v, c * c], 1), starts, axis=0)
+        row, slot = np.searchsorted(number, windows), table[:, 0].astype(int)
+        source = np.full((len(number) + 1, held.shape[1]), -1)       # row of the table that a slot's value comes from; line 0: held before
+        source[row + 1, slot] = np.arange(len(table))                 # the last write of a slot stays
+        source = np.maximum.accumulate(source, axis=0)
+        volt = np.where(source >= 0, v[source], held[1])
+        amp = np.where(source >= 0, c[source], held[2])
+        known = (source >= 0) | (held[0] == 1.0)
+        filled = np.stack([known.sum(axis=1), *[np.where(known, x, 0.0).sum(axis=1) for x in (volt * amp, volt * volt, amp * amp)]], 1)
+        previous = np.concatenate(([number[0] - 1 if at is None else at], number[:-1]))
+        gaps = np.flatnonzero(number > previous + 1)
+        out = _parts(
+            key[0], np.concatenate((number, previous[gaps] + 1)), np.concatenate((number, number[gaps] - 1)),
+            np.concatenate((own, np.zeros((len(gaps), 4)))), np.concatenate((filled[1:], filled[gaps])))
+        return out.sort_values("first_window"), np.stack([known[-1].astype(float), volt[-1], amp[-1]])
+
+
+def _held_sums(held: np.ndarray) -> np.ndarray:
+    known = held[0] == 1.0
+    return np.array(_sums(held[1, known], held[2, known]), float)
+
+
+def _parts(stream: int, first, last, own: np.ndarray, filled: np.ndarray) -> pd.DataFrame:
+    """Rows of ``PART_SCHEMA`` from sums ``(n, vi, vv, cc)``."""
+    columns = [np.asarray(first, np.int64), np.asarray(last, np.int64), own[:, 0].astype(np.int64), *own[:, 1:].T, filled[:, 0].astype(np.int64), *filled[:, 1:].T]
+    out = pd.DataFrame(dict(zip([c.split()[0] for c in PART_SCHEMA.split(", ")][1:], columns)))
+    out.insert(0, "stream_id", stream)
+    return out
 
 
 class SignalProcessor(StatefulProcessor):
@@ -221,7 +265,7 @@ class SignalProcessor(StatefulProcessor):
 
     All slot groups of a stream close the same windows in the same micro-batch; here their shares are added up, so memory
     is one small row per closed window. State: the feature counter, and for detection the last ``w2`` features
-    with the window's start. Detection goes in slices of ``partition`` features.
+    with the window's start. Detection goes in slices of ``SLICE`` features, or of ``partition`` if that is more.
     """
 
     def __init__(self, params: DetectorParams, detect: bool, index: bool = True) -> None:
@@ -233,8 +277,9 @@ class SignalProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         windows, sums = self._add_up(rows)
         count, start, recent = self.state.get() if self.state.exists() else (0, 0, b"")
-        for at in range(0, len(windows), self.params.partition):
-            part = slice(at, at + self.params.partition)
+        length = max(self.params.partition, SLICE)
+        for at in range(0, len(windows), length):
+            part = slice(at, at + length)
             own = (sums[part, 0] >= self.params.w1) | (np.arange(count, count + len(windows[part])) == 0)
             points = _power_point(np.where(own[:, None], sums[part, :4], sums[part, 4:]), self.params.use_log)
             if self.detect:
@@ -251,20 +296,21 @@ class SignalProcessor(StatefulProcessor):
 
     def _add_up(self, rows) -> tuple[np.ndarray, np.ndarray]:
         """Windows with samples, in order, and their summed shares (own four, filled four)."""
-        total: dict[int, np.ndarray] = {}
-        empty: list[tuple[int, int, np.ndarray]] = []
+        bounds, values = [np.empty((0, 2), np.int64)], [np.empty((0, 8))]
         for packed in rows:
-            values = packed.iloc[:, 3:].to_numpy(dtype=float)
-            for first, last, v in zip(packed["first_window"], packed["last_window"], values):
-                if v[0]:
-                    total[first] = total[first] + v if first in total else v
-                else:
-                    empty.append((first, last, v))
-        windows = np.array(sorted(total), np.int64)
-        sums = np.array([total[w] for w in windows.tolist()]).reshape(-1, 8)
-        for first, last, v in empty:
-            a, b = np.searchsorted(windows, (first, last + 1))
-            sums[a:b] += v
+            bounds.append(packed[["first_window", "last_window"]].to_numpy(np.int64))
+            values.append(packed.iloc[:, 3:].to_numpy(dtype=float))
+        bounds, values = np.concatenate(bounds), np.concatenate(values)
+        full = values[:, 0] != 0
+        windows, at = np.unique(bounds[full, 0], return_inverse=True)
+        sums = np.zeros((len(windows), 8))
+        np.add.at(sums, at, values[full])
+        # A run without samples counts in each window of it that has samples of other groups: at most once per window and group.
+        empty = np.flatnonzero(~full)
+        a, b = np.searchsorted(windows, bounds[empty, 0]), np.searchsorted(windows, bounds[empty, 1], "right")
+        n = b - a
+        at = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
+        np.add.at(sums, at, values[np.repeat(empty, n)])
         return windows, sums
 
     def _detect(self, points, count: int, start: int, stored: bytes):
@@ -277,14 +323,12 @@ class SignalProcessor(StatefulProcessor):
         )
         moves, exits = kernel.follow_starts(first, last, w2, {start - count: 1})
         out = pd.DataFrame({"s": np.arange(count, count + len(points))})
-        out["d"], out["event_s"] = False, -1
-        bounds = pd.array([None] * len(points), dtype="Int64")
-        starts, stops = bounds.copy(), bounds
-        for t, _, a, b, _ in moves:
-            if a is not None:
-                starts[t], stops[t] = count + a, count + b
-                out.loc[t, ["d", "event_s"]] = True, (2 * count + a + b) // 2 + 1
-        out["event_start"], out["event_end"] = starts, stops
+        t, a, b = np.array([(t, a, b) for t, _, a, b, _ in moves if a is not None], np.int64).reshape(-1, 3).T
+        found, starts, stops = np.zeros(len(points), bool), np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
+        found[t], starts[t], stops[t] = True, count + a, count + b
+        out["d"] = found
+        out["event_s"] = np.where(found, (starts + stops) // 2 + 1, -1)
+        out["event_start"], out["event_end"] = pd.arrays.IntegerArray(starts, ~found), pd.arrays.IntegerArray(stops, ~found)
         return out, count + exits[0][0], series[-w2:][-(len(before) + len(points)):].tobytes()
 
     def close(self) -> None:
@@ -312,11 +356,18 @@ class EventTimeSorter(_Clocked):
             late.append(table[i // self.w1 <= closed])
             return i // self.w1, table
 
-        due, _, _ = self.absorb(rows, unpack)
-        for mark, tables in [(False, t) for _, t in sorted(due.items())] + [(True, [np.concatenate(late)])] * (self.late and len(late) > 0):
-            t = np.concatenate(tables)
-            out = pd.DataFrame({"i": np.ascontiguousarray(t[:, 0]).view(np.int64), "voltage": t[:, 1], "current": t[:, 2]})
-            out.insert(0, "stream_id", key[0])
+        windows, table, _, _ = self.absorb(rows, unpack)
+        yield from self._sorted(key, windows, table, False)
+        if self.late and late:
+            table = np.concatenate(late)
+            yield from self._sorted(key, np.zeros(len(table), np.int64), table, True)
+
+    def _sorted(self, key, windows: np.ndarray, table: np.ndarray, late: bool) -> Iterator[pd.DataFrame]:
+        i = np.ascontiguousarray(table[:, 0]).view(np.int64)
+        order = np.lexsort((table[:, 2], table[:, 1], i, windows))
+        for at in range(0, len(order), RELEASE):
+            part = order[at: at + RELEASE]
+            out = pd.DataFrame({"stream_id": key[0], "i": i[part], "voltage": table[part, 1], "current": table[part, 2]})
             if self.late:
-                out["late"] = mark
-            yield out.sort_values(["i", "voltage", "current"])
+                out["late"] = late
+            yield out
