@@ -41,8 +41,8 @@ PACKED_READINGS = _CLOCK + "i array<long>, batch array<long>, voltage array<doub
 def stateful_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
     """A session of the same application set up for keyed state.
 
-    State partitions are fixed for the life of a query, so they follow the cluster's cores
-    or the shuffle setting, whichever is larger, unless a number is given.
+    State partitions are fixed for the life of a query and each is committed in every micro-batch, whether it has input or not.
+    So they follow the cluster's cores and not the shuffle setting, which follows the size of tables, unless a number is given.
     """
     session = spark.newSession()
     session.conf.set(
@@ -52,8 +52,7 @@ def stateful_session(spark: SparkSession, partitions: int | None = None) -> Spar
     session.conf.set(
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"
     )
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    session.conf.set("spark.sql.shuffle.partitions", str(partitions or wanted))
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.sparkContext.defaultParallelism))
     session.conf.set("spark.sql.session.timeZone", "UTC")
     return session
 
