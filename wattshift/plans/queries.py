@@ -26,7 +26,7 @@ from wattshift.operators import frames as fr
 from wattshift.operators import reconcile as rc
 from wattshift.operators.ordering import row_chunks
 from wattshift.operators.udtf import detect_steps, detect_udtf
-from wattshift.plans.replay import write_replay, write_timed
+from wattshift.plans.replay import steps_of, write_replay, write_timed
 from wattshift.plans.testbed import BLOCK, PARAMS, events, gappy, signal, signal_multi
 from wattshift.session import scratch_path, settle
 from wattshift.sources import samples as src
@@ -605,16 +605,14 @@ def stream_unequal_clocks(spark, sf):
     """Two streams, one a thousand windows ahead of the other all the time; neither loses or closes anything of the other."""
     ahead = signal(spark, sf).withColumn("stream_id", F.col("i") % 2).withColumn("i", F.col("i") + F.col("stream_id") * 1000 * PARAMS.w1)
     moved = ahead.withColumn("batch_no", batch_tag("i", PARAMS.w1))
-    session = pl.stateful_session(spark)
     # Both streams arrive together: files follow the position in the stream, not the batch number.
-    path = scratch_path(spark, "unequal")
-    part = int_div(F.col("i") - F.col("stream_id") * 1000 * PARAMS.w1, PARAMS.w1) % 1_000_000
-    steps = moved.withColumn("_at", part)
-    last = steps.agg(F.max("_at")).first()[0] or 0
-    for step in range(3):
-        low, high = step * (last // 3 + 1), (step + 1) * (last // 3 + 1)
-        src.to_batches(steps.filter((F.col("_at") >= low) & (F.col("_at") < high))).repartition(1).write.mode("append").text(path)
-    src.end_marks(moved).repartition(1).write.mode("append").text(path)
+    part = int_div(F.col("i") - F.col("stream_id") * 1000 * PARAMS.w1, PARAMS.w1)
+    steps = settle(moved.withColumn("_at", part))
+    bounds = steps.agg(F.max("_at"), F.count(F.lit(1))).first()
+    files = steps_of(bounds[1])
+    step = int_div(F.col("batch_no") - F.col("stream_id") * 1000, (bounds[0] or 0) // files + 1).cast("int").alias("step")
+    texts = src.to_batches(steps.filter("_at >= 0"), [step]).unionByName(src.end_marks(moved, [F.lit(files).alias("step")]))
+    session, path = pl.stateful_session(spark), write_timed(spark, texts, [], "unequal")
     rows = pl.run_to_files(pl.tumbling(src.stream_batches(session, path), PARAMS), spark, "clocks")
     return rows.select("stream_id", "window_no", r6("f1"), r6("f2"), "size")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattshift.config import DetectorParams
+from wattshift.functions.power import int_div
 from wattshift.session import scratch_path, settle
 from wattshift.sources.samples import end_marks, to_batches
 
@@ -19,11 +20,10 @@ def write_replay(
 ) -> tuple[str, int]:
     """Write samples as wire files in arrival order, the end marks last; returns the folder and files per step.
 
-    The file source reads by modification time, so the table is written in steps, one after the
-    other, each one file of at most about ``ROWS_PER_FILE`` rows: any grouping of files into
-    micro-batches keeps the order of arrival. With ``shuffle_within`` samples arrive up to that many windows late.
+    The table is written in one pass, in steps of at most about ``ROWS_PER_FILE`` rows; each step is one file, and
+    file times follow the steps, so any grouping of files into micro-batches keeps the order of arrival. With
+    ``shuffle_within`` samples arrive up to that many windows late.
     """
-    path = scratch_path(spark, label)
     arrival = F.col("batch_no")
     if shuffle_within:
         # Every sample is held back by a fixed, hashed number of windows.
@@ -31,15 +31,19 @@ def write_replay(
     placed = settle(samples.withColumn("batch_no", arrival))
     bounds = placed.agg(F.max("batch_no").alias("last"), F.count(F.lit(1)).alias("rows")).first()
     if not bounds["rows"]:
+        path = scratch_path(spark, label)
         spark.createDataFrame([], "value string").write.text(path)
         return path, 1
-    steps = max(steps, -(-int(bounds["rows"]) // ROWS_PER_FILE))
+    steps = steps_of(int(bounds["rows"]), steps)
     span = int(bounds["last"]) // steps + 1
-    for step in range(steps):
-        part = placed.filter((F.col("batch_no") >= step * span) & (F.col("batch_no") < (step + 1) * span))
-        to_batches(part).repartition(1).write.mode("append").text(path)
-    end_marks(placed).repartition(1).write.mode("append").text(path)
-    return path, 1
+    step = int_div(F.col("batch_no"), span).cast("int").alias("step")
+    texts = to_batches(placed.filter("batch_no >= 0"), [step, "stream_id"]).select("step", "value")
+    return write_timed(spark, texts.unionByName(end_marks(placed, [F.lit(steps).alias("step")])), [], label), 1
+
+
+def steps_of(rows: int, least: int = 3) -> int:
+    """Files of a replay, so that a micro-batch does not grow with the table."""
+    return max(least, -(-rows // ROWS_PER_FILE))
 
 
 def write_timed(spark: SparkSession, texts: DataFrame, keys: list[str], label: str = "timed", spacing: int = 60_000) -> str:
